@@ -15,7 +15,35 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_docs(spark, sf_dir), q=3, num=90, den=100, label="op2").select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+#: Target weights of the mixing query and stage.
+WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.mixing import mix
+
+    columns = ["doc_id", "domain", "lang", "source", "n_tokens", "leaf_budget", "epochs", "prefix_tokens", "taken_tokens"]
+    return mix(_docs(spark, sf_dir), budget=(8, 10), max_epochs=2, weights=WEIGHTS, seed=7).select(*columns)
+
+
+def op3_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.packing import pack
+
+    return pack(_docs(spark, sf_dir), buckets=16, token_budget=65_536, label="op3")
+
+
+def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.sharding import shard_documents
+
+    return shard_documents(_docs(spark, sf_dir), shards=40, label="op4")
+
+
+QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_length_packing": op3_length_packing,
+    "op4_kk_sharding": op4_kk_sharding,
+}
 
 ORACLES: dict[str, str] = {}
 
@@ -32,3 +60,39 @@ l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
 """
+
+
+def _fill(level: str, parent: str, children: str, given: str) -> str:
+    """One level of the tree in SQL: children (parent, name, cap, w, b) -> the same with their share."""
+    over = f"PARTITION BY {parent}" if parent else ""
+    order = f"{over} ORDER BY cap / w, {level}"
+    keep = f"{parent}, {level}" if parent else level
+    return f"""{given}a AS (SELECT *, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef,
+        sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS op FROM {children}),
+    {given}b AS (SELECT *, cap * op <= (b - bef) * w AS fl FROM {given}a),
+    {given}c AS (SELECT *, coalesce(sum(CASE WHEN fl THEN cap END) OVER ({over}), 0) AS used, sum(CASE WHEN NOT fl THEN w END) OVER ({over}) AS rst FROM {given}b),
+    {given} AS (SELECT {keep}, CASE WHEN fl THEN cap ELSE (b - used) * w // rst END AS share FROM {given}c)"""
+
+
+def _case(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+ORACLES["op1_source_mixing"] = rf"""
+WITH d AS (SELECT doc_id, 'domain' || (ascii(right(coalesce(source, ''), 1)) % 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM documents),
+lf AS (SELECT domain, lang, source, sum(n)::HUGEINT AS t, 2 * sum(n)::HUGEINT AS cap FROM d GROUP BY ALL),
+x0 AS (SELECT domain, sum(cap) AS cap, {_case("domain", WEIGHTS["domain"])} AS w, (SELECT sum(t) * 8 // 10 FROM lf) AS b FROM lf GROUP BY domain),
+{_fill("domain", "", "x0", "g0")},
+x1 AS (SELECT domain, lang, sum(cap) AS cap, {_case("lang", WEIGHTS["lang"])} AS w, any_value(share) AS b FROM lf JOIN g0 USING (domain) GROUP BY domain, lang),
+{_fill("lang", "domain", "x1", "g1")},
+x2 AS (SELECT domain, lang, source, cap, 1 AS w, share AS b FROM lf JOIN g1 USING (domain, lang)),
+{_fill("source", "domain, lang", "x2", "g2")},
+pl AS (SELECT *, CASE WHEN t > 0 THEN share // t ELSE 0 END AS e FROM lf JOIN g2 USING (domain, lang, source)),
+k AS (SELECT d.*, share, e, share - e * t AS rest, md5('7:' || e || ':' || doc_id) AS key FROM d JOIN pl USING (domain, lang, source)),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM k),
+f AS (SELECT *, e + CASE WHEN n > 0 AND bef + n < rest OR n = 0 AND bef < rest THEN 1 ELSE 0 END AS ep,
+    CASE WHEN bef < rest AND bef + n >= rest THEN rest - bef ELSE 0 END AS pre FROM c)
+SELECT doc_id, domain, lang, source, n AS n_tokens, share::BIGINT AS leaf_budget, ep::BIGINT AS epochs, pre::BIGINT AS prefix_tokens,
+    (ep * n + pre)::BIGINT AS taken_tokens FROM f
+"""
