@@ -38,11 +38,18 @@ def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), shards=40, label="op4")
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.media import store_and_describe
+
+    return store_and_describe(_docs(spark, sf_dir))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_length_packing": op3_length_packing,
     "op4_kk_sharding": op4_kk_sharding,
+    "op10_media_columns": op10_media_columns,
 }
 
 ORACLES: dict[str, str] = {}
