@@ -38,6 +38,18 @@ def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), shards=40, label="op4")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.licenses import scan_licenses
+
+    return scan_licenses(_docs(spark, sf_dir)).drop("detections")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.toxicity import toxicity
+
+    return toxicity(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.media import store_and_describe
 
@@ -49,6 +61,8 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_length_packing": op3_length_packing,
     "op4_kk_sharding": op4_kk_sharding,
+    "op8_license_scan": op8_license_scan,
+    "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media_columns,
 }
 
