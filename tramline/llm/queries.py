@@ -38,6 +38,15 @@ def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), shards=40, label="op4")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tramline.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.licenses import scan_licenses
 
@@ -61,6 +70,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_length_packing": op3_length_packing,
     "op4_kk_sharding": op4_kk_sharding,
+    "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media_columns,
@@ -117,3 +127,21 @@ f AS (SELECT *, e + CASE WHEN n > 0 AND bef + n < rest OR n = 0 AND bef < rest T
 SELECT doc_id, domain, lang, source, n AS n_tokens, share::BIGINT AS leaf_budget, ep::BIGINT AS epochs, pre::BIGINT AS prefix_tokens,
     (ep * n + pre)::BIGINT AS taken_tokens FROM f
 """
+
+ORACLES["op7_line_dedup"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
+w AS (SELECT doc_id, pos, doc_id * 1000000 + pos AS id, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l),
+e AS (SELECT doc_id, pos, id, list_distinct(w) AS w FROM w WHERE len(w) >= 5),
+k AS (SELECT id, len(w) AS n, unnest(w) AS w FROM e),
+f AS (SELECT w, count(*) AS f FROM k GROUP BY w),
+o AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY f, w) AS r FROM k JOIN f USING (w)),
+p AS (SELECT id, n, w FROM o WHERE r <= n - ceil(n * 8 / 10) + 1),
+c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.w = y.w AND x.id < y.id AND least(x.n, y.n) * 10 >= greatest(x.n, y.n) * 8),
+g AS (SELECT DISTINCT b AS id FROM c JOIN e x ON x.id = a JOIN e y ON y.id = b
+    WHERE len(list_intersect(x.w, y.w)) * 18 >= 8 * (len(x.w) + len(y.w))),
+r AS (SELECT l.doc_id, l.pos, l.line, g.id IS NOT NULL AS gone FROM l LEFT JOIN g ON g.id = l.doc_id * 1000000 + l.pos)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed,
+    coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (gone), '') AS removed,
+    md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_md5 FROM r GROUP BY doc_id
+"""
