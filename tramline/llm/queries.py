@@ -38,6 +38,12 @@ def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), shards=40, label="op4")
 
 
+def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.ppm import score_documents
+
+    return score_documents(_docs(spark, sf_dir), folds=5, fold=1, label="op6")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_length_packing": op3_length_packing,
     "op4_kk_sharding": op4_kk_sharding,
+    "op6_ppm_scoring": op6_ppm_scoring,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
