@@ -38,6 +38,12 @@ def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), shards=40, label="op4")
 
 
+def op5_ibf_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.fingerprint import fingerprints
+
+    return fingerprints(_docs(spark, sf_dir))
+
+
 def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.ppm import score_documents
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_length_packing": op3_length_packing,
     "op4_kk_sharding": op4_kk_sharding,
+    "op5_ibf_fingerprints": op5_ibf_fingerprints,
     "op6_ppm_scoring": op6_ppm_scoring,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_scan": op8_license_scan,
