@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +123,17 @@ def _key(s: np.ndarray) -> int:
     return int(mix(np.add.reduce(mix(s ^ _U(0x8CB92BA72F3D8DD7)), keepdims=True) + _U(len(s)))[0].view(np.int64)) if len(s) else 0
 
 
+#: Parities that tell sets apart before they are compared: bits, in words of 64.
+PARITY_WORDS = 16
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """For each of the cells that features fall into, whether it holds an odd number of them. Every feature
+    that only one of two sets has flips one bit, so at least as many features differ as bits do."""
+    odd = np.bincount((s >> _U(54)).astype(np.int64), minlength=64 * PARITY_WORDS).astype(np.uint8) & 1
+    return np.packbits(odd).view(_U)
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     at = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=at[1:])
@@ -149,7 +160,7 @@ def sketch(docs: DataFrame, q: int, num: int, den: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, q: int) -> DataFrame:
-    """(set_id, features) of the wanted sets, each once. wanted: (doc_id, set_id)."""
+    """(set_id, features, parity) of the wanted sets, each once. wanted: (doc_id, set_id)."""
     n = wanted.count()
     ids = wanted.select("doc_id")
     some = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
@@ -157,9 +168,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, q: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), q))
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets)], names=["set_id", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets), _lists([_parity(s) for s in sets])], names=["set_id", "features", "parity"])
 
-    return some.mapInArrow(run, "set_id long, features array<long>").groupBy("set_id").agg(F.first("features").alias("features"))
+    return some.mapInArrow(run, "set_id long, features array<long>, parity array<long>").groupBy("set_id").agg(F.first("features").alias("features"), F.first("parity").alias("parity"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -172,6 +183,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return joined.withColumn("common", common).filter(den * F.col("common") >= num * (both - F.col("common"))).select("a", "b")
 
 
+def _open_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a signature, lie in different components and may still link.
+
+    rows: (signature, set_id, size, part). Features that no other component's set holds can't be common to
+    such a pair, so two sets have at most the fewer of their other features in common; and where more
+    parities differ than features may, they can't link either."""
+    members = rows.select("set_id", "part").distinct()
+    features = members.join(sets.select("set_id", "features"), "set_id").select("set_id", "part", F.explode("features").alias("feature"))
+    across = features.groupBy("feature").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("feature")
+    usable = features.join(across, "feature", "left_semi").groupBy("set_id").agg(F.count("*").alias("usable"))
+    usable = usable.join(sets.select("set_id", "parity"), "set_id")
+    rows = rows.join(usable, "set_id").filter(F.col("usable") * den >= F.col("size") * num)
+    x = rows.select("signature", F.col("set_id").alias("a"), F.col("part").alias("pa"), F.col("size").alias("na"), F.col("usable").alias("ua"), F.col("parity").alias("wa"))
+    y = rows.select("signature", F.col("set_id").alias("b"), F.col("part").alias("pb"), F.col("size").alias("nb"), F.col("usable").alias("ub"), F.col("parity").alias("wb"))
+    common = F.least("na", "nb", "ua", "ub")
+    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (common * den >= (F.col("na") + F.col("nb") - common) * num)
+    apart = sum((F.bit_count(F.get("wa", F.lit(i)).bitwiseXOR(F.get("wb", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+    fits = fits & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+    return x.join(y, "signature").filter(fits).select("a", "b").distinct()
+
+
 def jaccard_components(docs: DataFrame, q: int = 5, num: int = 8, den: int = 10, label: str = "jaccard") -> DataFrame:
     """Link texts whose sets of word q-grams have Jaccard similarity of num/den or more, and name components.
 
@@ -183,35 +215,32 @@ def jaccard_components(docs: DataFrame, q: int = 5, num: int = 8, den: int = 10,
     repeat a text share a component. Rows of one doc_id with different texts are texts of their own.
     A null doc_id takes part; it is the component_id only where all ids of a component are null.
 
-    First each set is compared with one set of every signature it carries, the smallest id; the links
-    found join most of a group of near copies without listing its pairs. Then only pairs of sets that
-    share a signature and still lie in different components are compared. No link that could join two
-    components is left out.
+    First each set is compared with one set of every signature it carries, the one that meets the most
+    others; the links found join most of a group of near copies without listing its pairs. Then only pairs
+    of sets that share a signature and still lie in different components are compared, if what other
+    components hold of their features leaves room for a link. No link that could join two components is
+    left out.
     """
     small_batches(docs.sparkSession)
     table = materialize(sketch(docs, q, num, den), f"{label}-sketch")
-    owners = table.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"))
+    owners = table.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     rows = table.select(F.explode("signatures").alias("signature"), "set_id", F.col("n_shingles").alias("size"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("signature")
-    shared = rows.withColumns({"a": F.min("set_id").over(w), "z": F.max("set_id").over(w)}).filter("a <> z").drop("z")
+    same = Window.partitionBy("signature")
+    shared = rows.withColumns({"lo": F.min("set_id").over(same), "hi": F.max("set_id").over(same), "others": F.count("*").over(same) - 1}).filter("lo <> hi").drop("lo", "hi")
     shared = materialize(shared, f"{label}-shared")
-    near = shared.filter("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
+    met = shared.groupBy("set_id").agg(F.sum("others").alias("met"))
+    central = shared.join(met, "set_id").withColumn("hub", F.max(F.struct("met", "set_id")).over(same)["set_id"])
+    near = central.filter("hub <> set_id").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
+    near = materialize(near, f"{label}-near")
     wanted = shared.select("set_id").distinct().join(owners, "set_id").select("doc_id", "set_id")
     sets = materialize(_sets(docs, materialize(wanted, f"{label}-wanted"), q), f"{label}-sets")
     edges = materialize(_linked(near, sets, num, den), f"{label}-edges")
     parts = connected_components(edges, f"{label}-cc")
 
     left = shared.select("signature", "set_id", "size").distinct().join(parts, F.col("set_id") == F.col("node"), "left").select("signature", "set_id", "size", F.coalesce("component", "set_id").alias("part"))
-    w = Window.partitionBy("signature")
-    open_ = left.withColumns({"lo": F.min("part").over(w), "hi": F.max("part").over(w)}).filter("lo <> hi").drop("lo", "hi")
+    open_ = left.withColumns({"lo": F.min("part").over(same), "hi": F.max("part").over(same)}).filter("lo <> hi").drop("lo", "hi")
     open_ = materialize(open_, f"{label}-open")
-    x = open_.select("signature", F.col("set_id").alias("a"), F.col("part").alias("pa"), F.col("size").alias("na"))
-    y = open_.select("signature", F.col("set_id").alias("b"), F.col("part").alias("pb"), F.col("size").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    more = x.join(y, "signature").filter(fits).select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
-    found = materialize(_linked(more, sets, num, den), f"{label}-more")
+    found = materialize(_linked(_open_pairs(open_, sets, num, den).join(near, ["a", "b"], "left_anti"), sets, num, den), f"{label}-more")
     if found.limit(1).count():
         parts = connected_components(edges.union(found), f"{label}-cc")
 
