@@ -47,8 +47,8 @@ def footprint(line: Column, width: Column, column: float = 0.35, half: float = 0
 
 
 def displaced(values: Column, baseline: Column, threshold: float = 0.035) -> tuple[Column, Column]:
-    """(share of values more than threshold above the baseline in the frame, largest such displacement)."""
-    d = F.transform(values, lambda v: baseline - v)
+    """(share of values that lie more than threshold below the baseline in the frame, largest such displacement)."""
+    d = F.transform(values, lambda v: v - baseline)
     n = F.size(values)
     share = F.when(n > 0, F.size(F.filter(d, lambda x: x > threshold)) / n).otherwise(F.lit(0.0))
     return share, F.coalesce(F.greatest(F.array_max(d), F.lit(0.0)), F.lit(0.0))

@@ -314,7 +314,7 @@ def luma_normalize(spark, sf):
     return out.select("user_id", "event_id", r(scalar.clip(F.col("l") / F.col("m"), 0.35, 1.8)).alias("light"))
 
 
-@query("""WITH $E SELECT user_id, event_id, round(CASE WHEN value > 0 THEN greatest(0, least(30, 30 * (0.85 * value / 10 + 0.15 * ln(1 + 0.08 * value) / ln(1 + 0.08 * 10)))) ELSE 0 END, 6) AS game FROM e""")
+@query("""WITH $E SELECT user_id, event_id, round(CASE WHEN value > 0 THEN greatest(0, least(10, 10 * (0.85 * value / 30 + 0.15 * ln(1 + 0.08 * value) / ln(1 + 0.08 * 30)))) ELSE 0 END, 6) AS game FROM e""")
 def speed_curve_map(spark, sf):
     return telemetry(spark, sf).select("user_id", "event_id", r(scalar.speed_curve(F.col("value"))).alias("game"))
 
@@ -346,7 +346,7 @@ def hysteresis(spark, sf):
 
 @query("""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: round(v::DOUBLE * 1000)::INT) AS l FROM embeddings),
 y AS (SELECT vec_id, l, list_slice(l, 1 + floor(0.32 * len(l))::INT, ceil(0.38 * len(l))::INT) AS f, list_median(list_filter(l, lambda v: v <> -1)) AS m FROM x)
-SELECT vec_id, round(len(list_filter(l, lambda v: v <> -1)) / len(l), 6) AS valid, round(list_median(f), 6) AS foot, round(len(list_filter(f, lambda v: m - v > 35)) / len(f), 6) AS blocked, round(greatest(0, list_max(list_transform(f, lambda v: m - v))), 6) AS depth FROM y""")
+SELECT vec_id, round(len(list_filter(l, lambda v: v <> -1)) / len(l), 6) AS valid, round(list_median(f), 6) AS foot, round(len(list_filter(f, lambda v: v - m > 35)) / len(f), 6) AS blocked, round(greatest(0, list_max(list_transform(f, lambda v: v - m))), 6) AS depth FROM y""")
 def array_footprint(spark, sf):
     e = _table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.rint(v.cast("double") * 1000).cast("int")).alias("l"))
     foot = e.withColumns({"f": arrays.footprint(F.col("l"), F.size("l")), "m": arrays.array_median(arrays.valid(F.col("l")))})
@@ -411,3 +411,84 @@ SELECT user_id, s::BIGINT AS start_s, count(*) AS n, max(value) AS top FROM w GR
 def sliding_windows(spark, sf):
     e = _table(spark, sf, "events").groupBy("user_id", F.window("ts", "24 hours", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
     return e.select("user_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', w.start)").alias("start_s"), "n", "top")
+
+
+@query()
+def fusion_estimate(spark, sf):
+    from tramline.streaming.fusion import estimate_rides
+
+    e = telemetry(spark, sf).withColumns({"session_id": F.col("user_id").cast("string"), "s": F.col("t") / 3600})
+    fixes = e.filter("event_type <> 'error'").select("session_id", F.col("s").alias("t"), (F.col("value") / 10).alias("speed"), (5.0 + F.col("event_id") % 50).alias("accuracy"), F.lit(None).cast("double").alias("course"))
+    readings = e.filter("event_type = 'error'").select("session_id", F.col("s").alias("t"), (F.col("value") / 100).alias("ax"), F.lit(0.0).alias("ay"), F.lit(0.0).alias("az"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.lit(0.0).alias("qz"), F.lit(1.0).alias("qw"))
+    return estimate_rides(fixes, readings)
+
+
+@query()
+def asym_ema(spark, sf):
+    from tramline.streaming.smooth import asymmetric_ema
+
+    e = telemetry(spark, sf).withColumn("t", F.col("t") / 3600)
+    return asymmetric_ema(e, K, "t", "value", 12.0, 18.0).select("user_id", "event_id", r("smooth").alias("smooth"))
+
+
+@query()
+def conditioned_rate(spark, sf):
+    from tramline.streaming.smooth import condition_rate
+
+    e = telemetry(spark, sf).withColumns({"t": F.col("t") / 3600, "v": F.col("value") / 50})
+    return condition_rate(e, K, "t", "v").select("user_id", "event_id", r("rate").alias("rate"))
+
+
+@query()
+def admission(spark, sf):
+    from tramline.streaming.admission import admit_alerts
+
+    e = telemetry(spark, sf)
+    kind = F.when(F.col("event_type") == "error", "vehicle").when(F.col("event_type") == "view", "hydrant").otherwise("person")
+    surfaces = F.array(F.lit("road"), F.when(F.col("event_id") % 5 == 0, "none").otherwise("sidewalk"), F.lit("path"))
+    d = e.select(F.col("user_id").cast("string").alias("session_id"), (F.col("t") / 36000).alias("t"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).cast("int").alias("lane"), kind.alias("kind"), F.least(F.lit(1.0), F.col("value") / 100).alias("score"), (F.col("value") / 20).alias("speed"), surfaces.alias("surfaces"))
+    return admit_alerts(d)
+
+
+@query("""WITH $E, l AS (SELECT *, value < 20 AS low, lag(value < 20) $W AS p FROM e), i AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> low THEN 1 ELSE 0 END) $W AS run FROM l)
+SELECT user_id, event_id, CASE WHEN low AND row_number() OVER (PARTITION BY user_id, run ORDER BY t) >= 2 THEN 0 ELSE value END AS value FROM i""")
+def low_streak_zero(spark, sf):
+    return series.low_streak(telemetry(spark, sf), K, "t", "value", 20.0, 2).select("user_id", "event_id", "value")
+
+
+@query("""WITH $E, l AS (SELECT *, value >= 20 AS f, lag(value >= 20) $W AS p FROM e), i AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> f THEN 1 ELSE 0 END) $W AS run FROM l)
+SELECT user_id, event_id, CASE WHEN f THEN round(t - min(t) OVER (PARTITION BY user_id, run), 5) END AS held FROM i""")
+def held_flags(spark, sf):
+    return series.held_for(telemetry(spark, sf).withColumn("f", F.col("value") >= 20), K, "t", "f").select("user_id", "event_id", r("held", 5).alias("held"))
+
+
+@query("""WITH $E, s AS (SELECT *, coalesce(value / 50 * (t - lag(t) $W), 0) AS st FROM e)
+SELECT user_id, event_id, round(least(2000000.0, sum(st) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)), 3) AS video_t FROM s""")
+def retimed_ride(spark, sf):
+    e = telemetry(spark, sf).withColumn("rate", F.col("value") / 50)
+    return series.retime(e, K, "t", "rate", 2_000_000.0).select("user_id", "event_id", r("video_t", 3).alias("video_t"))
+
+
+@query("""WITH $E, z AS (SELECT *, t - min(t) OVER (PARTITION BY user_id) AS s FROM e), d AS (SELECT *, max(s) OVER (PARTITION BY user_id) AS m, last_value(value) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fv, row_number() $W AS n FROM z),
+p AS (SELECT user_id, max(t) FILTER (abs(value - fv) > 30 AND n > 1) AS moved, min(t) AS first, max(t) AS last FROM d GROUP BY 1)
+SELECT user_id, CASE WHEN last - coalesce(moved, first) < 86400 THEN last ELSE coalesce(moved, first) END AS parked FROM p""")
+def parked_since(spark, sf):
+    return series.parked_after(telemetry(spark, sf), K, "t", "value", "value", 30.0, 86400.0)
+
+
+@query("""WITH $E, f AS (SELECT user_id, event_id, t / 3600 AS t, 37 + (event_id % 100) / 1000.0 AS lat, -122 + (event_id % 77) / 1000.0 AS lon FROM e),
+p AS (SELECT a.user_id, a.event_id, 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(a.lat - b.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(a.lon - b.lon) / 2), 2)))) / (a.t - b.t) AS v
+FROM f a JOIN f b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 48 AND a.t - 5)
+SELECT f.user_id, f.event_id, round(median(v), 4) AS speed FROM f LEFT JOIN p USING (user_id, event_id) GROUP BY ALL""")
+def windowed_gps_speed(spark, sf):
+    e = telemetry(spark, sf).select("user_id", "event_id", (F.col("t") / 3600).alias("t"), (37 + (F.col("event_id") % 100) / 1000.0).alias("lat"), (-122 + (F.col("event_id") % 77) / 1000.0).alias("lon"))
+    return series.gps_window_speed(e, K, "t", "lat", "lon", 5.0, 48.0, 1000).select("user_id", "event_id", r("window_speed", 4).alias("speed"))
+
+
+@query("""WITH $E, j AS (SELECT user_id, event_id, t / 3600 AS t, CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END AS v FROM e), g AS (SELECT *, lag(v) $W AS was FROM j),
+k AS (SELECT *, last_value(CASE WHEN was <> v THEN t END IGNORE NULLS) OVER w AS t0, last_value(CASE WHEN was <> v THEN was END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN was <> v THEN v END IGNORE NULLS) OVER w AS b FROM g WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, count(*) FILTER (t <= t0 + 20) OVER (PARTITION BY user_id, t0) AS many, (t - t0) / 20 AS x FROM k)
+SELECT user_id, event_id, round(CASE WHEN t <= t0 + 20 AND many >= 2 THEN a + (b - a) * x * x * (3 - 2 * x) ELSE v END, 6) AS eased FROM m""")
+def step_easing(spark, sf):
+    e = telemetry(spark, sf).select("user_id", "event_id", (F.col("t") / 3600).alias("t"), F.when(F.col("value") > 60, 1.0).otherwise(0.0).alias("v"))
+    return series.smooth_step(e, K, "t", "v", 20.0, out="eased").select("user_id", "event_id", r("eased").alias("eased"))
