@@ -40,19 +40,19 @@ def column_profile(surfaces: DataFrame, config: ObstacleConfig = ObstacleConfig(
     median that shrinks on short clips. Columns without ground count as the bottom of the frame."""
     c = config
     w = Window.partitionBy(*K).orderBy("t", "frame")
-    d = surfaces.withColumns({"_i": F.row_number().over(w).cast("double"), "_m": arrays.line_median(F.col("run_line"), F.col("height")), "_n": F.count("*").over(Window.partitionBy(*K)), "frame_height": F.col("height")})
+    d = surfaces.withColumns({"_i": F.row_number().over(w).cast("double"), "_m": arrays.line_median(F.col("run_line"), F.col("height")), "_frames": F.count("*").over(Window.partitionBy(*K)), "frame_height": F.col("height")})
     d = series.fill_linear(d, K, "_i", "_m").withColumn("_m", F.coalesce("_m", F.lit(0.0)))
     smooth = series.median_filter(d, K, "_i", "_m", c.baseline_window, out="baseline")
     # A clip shorter than the window takes the largest odd window that fits; padding makes both the same there.
-    smooth = smooth.withColumn("baseline", F.when(F.col("_n") >= c.baseline_window, F.col("baseline")))
-    short = smooth.filter(F.col("_n") < c.baseline_window)
-    odd = F.when(F.col("_n") % 2 == 1, F.col("_n")).otherwise(F.col("_n") - 1)
+    smooth = smooth.withColumn("baseline", F.when(F.col("_frames") >= c.baseline_window, F.col("baseline")))
+    short = smooth.filter(F.col("_frames") < c.baseline_window)
+    odd = F.when(F.col("_frames") % 2 == 1, F.col("_frames")).otherwise(F.col("_frames") - 1)
     near = Window.partitionBy(*K).orderBy("_i").rowsBetween(-(c.baseline_window // 2), c.baseline_window // 2)
     short = short.withColumn("_all", F.collect_list("_m").over(near)).withColumn("_half", (odd / 2).cast("int"))
     first = F.greatest(F.lit(1), F.col("_i").cast("int") - c.baseline_window // 2)
-    at = F.transform(F.sequence(-F.col("_half"), F.col("_half")), lambda k: F.get("_all", F.greatest(F.lit(1), F.least(F.col("_n").cast("int"), F.col("_i").cast("int") + k)) - first))
+    at = F.transform(F.sequence(-F.col("_half"), F.col("_half")), lambda k: F.get("_all", F.greatest(F.lit(1), F.least(F.col("_frames").cast("int"), F.col("_i").cast("int") + k)) - first))
     short = short.withColumn("baseline", F.when(odd > 1, arrays.array_median(at)).otherwise(F.col("_m"))).drop("_all", "_half")
-    d = smooth.filter(F.col("_n") >= c.baseline_window).unionByName(short)
+    d = smooth.filter(F.col("_frames") >= c.baseline_window).unionByName(short)
     profile = arrays.column_median(F.transform("run_line", lambda v: F.when(v == -1, F.lit(1.0)).otherwise(v / F.col("frame_height"))), c.column_smoothing)
     middle = F.floor(F.col("width") * c.column).cast("int")
     half = F.greatest(F.lit(1), F.floor(F.col("width") * c.half).cast("int"))
@@ -64,7 +64,7 @@ def column_profile(surfaces: DataFrame, config: ObstacleConfig = ObstacleConfig(
     sure = arrays.plausible_ground(F.col("coverage")) & (F.coalesce(arrays.valid_fraction(F.col("run_line")), F.lit(0.0)) >= c.min_valid) & (F.col("profile_height") > F.col("baseline") - c.max_rise)
     d = d.withColumn("trustworthy", F.coalesce(sure, F.lit(False)))
     d = d.withColumn("blocked", F.col("trustworthy") & (F.col("fraction") >= c.blocked_share))
-    return d.withColumn("free_ground", F.col("trustworthy") & ~F.col("blocked")).drop("_i", "_m", "_n", "_foot", "frame_height")
+    return d.withColumn("free_ground", F.col("trustworthy") & ~F.col("blocked")).drop("_i", "_m", "_frames", "_foot", "frame_height")
 
 
 def obstacle_events(surfaces: DataFrame, distance_map: DataFrame, detections: DataFrame, config: ObstacleConfig = ObstacleConfig()) -> DataFrame:
@@ -224,7 +224,8 @@ def ambient_light(samples: DataFrame, patches: DataFrame, stride: int, fps: floa
     d = d.drop("rgb").withColumn("_l", luma(F.col("r"), F.col("g"), F.col("b")))
     m = d.groupBy(*K).agg(F.expr("percentile(_l, 0.5) FILTER (WHERE _l > 0)").alias("_m"))
     d = d.join(m, K)
-    return d.select(*[c for c in d.columns if c not in ("r", "g", "b", "_l", "_m")], *[F.coalesce(clip(F.col(c) / F.col("_m"), 0.35, 1.8), F.lit(1.0)).alias(c) for c in "rgb"])
+    scaled = [F.when(F.col("_m").isNull(), F.lit(1.0)).otherwise(clip(F.col(c) / F.col("_m"), 0.35, 1.8)).alias(c) for c in "rgb"]
+    return d.select(*[c for c in d.columns if c not in ("r", "g", "b", "_l", "_m")], *scaled)
 
 
 def counts(detections: DataFrame) -> DataFrame:
