@@ -73,7 +73,7 @@ def telemetry_gaps(spark, sf):
 
 @query("""WITH $E, p AS (SELECT user_id, t, 37.0 + (event_id % 1000) / 1000.0 AS lat, -122.0 + (event_id % 777) / 777.0 AS lon FROM e),
 q AS (SELECT *, radians(lag(lat) $W) AS a, radians(lat) AS b, radians(lon) - radians(lag(lon) $W) AS dl FROM p)
-SELECT user_id, count(*) AS fixes, round(sum(coalesce(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((b - a) / 2), 2) + cos(a) * cos(b) * pow(sin(dl / 2), 2)))), 0)), 3) AS metres
+SELECT user_id, count(*) AS fixes, round(sum(CASE WHEN a IS NULL THEN 0 ELSE 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((b - a) / 2), 2) + cos(a) * cos(b) * pow(sin(dl / 2), 2)))) END), 3) AS metres
 FROM q GROUP BY user_id""")
 def path_length(spark, sf):
     p = telemetry(spark, sf).withColumns({"lat": 37.0 + (F.col("event_id") % 1000) / 1000.0, "lon": -122.0 + (F.col("event_id") % 777) / 777.0})

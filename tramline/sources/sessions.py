@@ -29,12 +29,12 @@ def gps(log: DataFrame) -> DataFrame:
     def known(c: str) -> Column:
         return F.when(F.col(c) >= 0, F.col(c))
 
-    return log.filter("type = 'gps'").select("session_id", "seq", "t", "unix", "lat", "lon", known("speed").alias("speed"), known("hacc").alias("accuracy"), known("course").alias("course"))
+    return log.filter("type = 'gps' AND NOT _bad").select("session_id", "seq", "t", "unix", "lat", "lon", known("speed").alias("speed"), known("hacc").alias("accuracy"), known("course").alias("course"))
 
 
 def motion(log: DataFrame) -> DataFrame:
     """Motion readings with acceleration in metres per second squared (logged in g) and the attitude as x, y, z, w."""
-    return log.filter("type = 'motion'").select("session_id", "seq", "t", *[(F.col(f"ua{a}") * GRAVITY).alias(f"a{a}") for a in "xyz"], "qx", "qy", "qz", "qw")
+    return log.filter("type = 'motion' AND NOT _bad").select("session_id", "seq", "t", *[(F.col(f"ua{a}") * GRAVITY).alias(f"a{a}") for a in "xyz"], "qx", "qy", "qz", "qw")
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
