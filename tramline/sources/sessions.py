@@ -20,8 +20,9 @@ def _session(path: Column | None = None) -> Column:
 
 def read_sensor_log(spark: SparkSession, path: str) -> DataFrame:
     """All lines of the logs below path; blank ones are skipped, unreadable ones kept in _corrupt_record."""
-    raw = spark.read.schema(schemas.SENSOR_LOG).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return raw.withColumn("session_id", _session()).withColumn("_bad", F.col("_corrupt_record").isNotNull())
+    raw = spark.read.text(path).filter(F.trim("value") != "").withColumn("session_id", _session())
+    row = F.from_json("value", schemas.SENSOR_LOG, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return raw.select("session_id", row.alias("r")).select("session_id", "r.*").withColumn("_bad", F.col("_corrupt_record").isNotNull())
 
 
 def gps(log: DataFrame) -> DataFrame:
