@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tramline.llm._common import materialize, sliced_rank
 
-#: Groups that one task differences at once, and partial partitions that one task of a later round combines.
-BLOCK, FAN_IN = 2048, 256
+#: Groups that one task differences at once; parts of a shard from which a group counts as large (so there are at
+#: most LARGE times as many as shards); and how much smaller each pass is than the one before.
+BLOCK, LARGE, SHRINK = 2048, 64, 16
 
 
 def differencing(vectors: list[list[int]], k: int) -> list[list[int]]:
@@ -45,49 +46,59 @@ def differencing(vectors: list[list[int]], k: int) -> list[list[int]]:
     return out
 
 
-def _items(k: int):
-    """One block of groups (block, key, bytes) -> (block, key, bytes, subset). A group is a partition with one filled subset."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "key"], ascending=False, kind="stable")
-        placed = differencing([[int(b)] + [0] * (k - 1) for b in pdf["bytes"]], k)
-        return pdf.assign(subset=[p[0] for p in placed])[["block", "key", "bytes", "subset"]]
-
-    return run
+def fill(sizes: list[int], load: list[float]) -> list[int]:
+    """Shard of each group, so that the groups level what the shards hold already (load). The load takes part in the
+    differencing as a partial partition of its own, which tells the subsets apart."""
+    k = len(load)
+    placed = differencing([[round(v) for v in load], *([b] + [0] * (k - 1) for b in sizes)], k)
+    shard = {subset: j for j, subset in enumerate(placed[0])}
+    return [shard[p[0]] for p in placed[1:]]
 
 
-def _partials(k: int):
-    """Partial partitions of one group of blocks (above, block, subset, bytes) -> (above, block, subset, bytes, target)."""
+def _filled(load: list[int], total: int):
+    """One block of groups (block, key, bytes) -> (key, bytes, shard), levelling its share of the load."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "subset"])
-        blocks = list(pdf["block"].unique())
-        at = {b: i for i, b in enumerate(blocks)}
-        sums = [[0] * k for _ in blocks]
-        for b, s, v in zip(pdf["block"], pdf["subset"], pdf["bytes"]):
-            sums[at[b]][s] = int(v)
-        placed = differencing(sums, k)
-        return pdf.assign(target=[placed[at[b]][s] for b, s in zip(pdf["block"], pdf["subset"])])
+        pdf = pdf.sort_values(["bytes", "key"], ascending=False, kind="stable")
+        part = float(pdf["bytes"].sum()) / max(1, total)
+        return pdf.assign(shard=fill([int(b) for b in pdf["bytes"]], [v * part for v in load]))[["key", "bytes", "shard"]]
 
     return run
 
 
-def assign_groups(groups: DataFrame, shards: int, block: int = BLOCK, fan_in: int = FAN_IN, label: str = "shards") -> DataFrame:
-    """groups (key long, bytes long), each key once -> (key, shard).
+def assign_groups(groups: DataFrame, shards: int, block: int = BLOCK, label: str = "shards") -> DataFrame:
+    """groups (key long, bytes long), each key once -> (key, bytes, shard).
+
+    The few groups of over 1/LARGE of a shard are differenced together. The others follow in passes, each
+    SHRINK times smaller than the one before. In a pass, blocks of about `block` groups are differenced in
+    parallel, each against its share of what the shards hold by then; so a pass levels what the one before
+    left, and no task holds more than a block, whatever the number of groups."""
+    groups = materialize(groups, f"{label}-groups")
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    limit = total // (shards * LARGE)
+    large = groups.filter(F.col("bytes") > limit)
+    spark, schema = groups.sparkSession, "key long, bytes long, shard int"
+    done = [materialize(large.withColumn("block", F.lit(0)).groupBy("block").applyInPandas(_filled([0] * shards, 1), schema), label)]
+    lots = [1.0]
+    while n * lots[-1] > block:
+        lots.append(lots[-1] / SHRINK)
+    load = _load(done[0], shards)
+    for k, share in enumerate(lots):
+        low, high = (lots[k + 1] if k + 1 < len(lots) else 0.0), share
+        place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+        part = groups.filter((F.col("bytes") <= limit) & (place >= low) & (place < high))
+        count, mass = part.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        dealt = part.select(F.pmod(F.xxhash64("key", F.lit(k)), F.lit(max(1, -(-count // block)))).alias("block"), "key", "bytes")
+        done.append(materialize(dealt.groupBy("block").applyInPandas(_filled(load, mass), schema), label))
+        load = [a + b for a, b in zip(load, _load(done[-1], shards))]
+    out = spark.createDataFrame([], schema)
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
 
-    Blocks of about `block` groups are differenced in parallel. What each gives is a partial partition
-    again, and those are combined by the same rule, `fan_in` to a task, until one is left; so no task
-    holds more than a block, whatever the number of groups."""
-    blocks = max(1, -(-groups.count() // block))
-    items = groups.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "key", "bytes")
-    now = materialize(items.groupBy("block").applyInPandas(_items(shards), "block long, key long, bytes long, subset int"), label)
-    mapped = now.select("key", "block", "subset")
-    sums = now.groupBy("block", "subset").agg(F.sum("bytes").alias("bytes"))
-    while blocks > 1:
-        blocks = -(-blocks // fan_in)
-        step = sums.select(F.pmod("block", F.lit(blocks)).alias("above"), "block", "subset", "bytes")
-        step = materialize(step.groupBy("above").applyInPandas(_partials(shards), "above long, block long, subset int, bytes long, target int"), label)
-        mapped = mapped.join(step.select("block", "subset", "above", "target"), ["block", "subset"]).select("key", F.col("above").alias("block"), F.col("target").alias("subset"))
-        sums = step.groupBy(F.col("above").alias("block"), F.col("target").alias("subset")).agg(F.sum("bytes").alias("bytes"))
-    return mapped.select("key", F.col("subset").alias("shard"))
+def _load(placed: DataFrame, shards: int) -> list[int]:
+    held = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("bytes").alias("n")).collect()}
+    return [held.get(j, 0) for j in range(shards)]
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, group: Column | None = None, overhead: int = 16, label: str = "shards") -> DataFrame:
@@ -105,7 +116,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, group: Column | None = No
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(group if group is not None else text).alias("group_key"))
     rows = materialize(rows, f"{label}-rows")
     groups = rows.groupBy(F.col("group_key").alias("key")).agg(F.sum("size").alias("bytes"))
-    placed = materialize(rows.join(assign_groups(groups, shards, label=label), F.col("group_key") == F.col("key")).drop("key"), f"{label}-placed")
+    placed = materialize(rows.join(assign_groups(groups, shards, label=label).select("key", "shard"), F.col("group_key") == F.col("key")).drop("key"), f"{label}-placed")
     largest = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     out = sliced_rank(placed, ["shard"], [F.col("doc_id").asc_nulls_last(), F.col("group_key")], max(32, -(-largest // 50_000)), F.struct("doc_id", "group_key"), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_key")
