@@ -60,7 +60,7 @@ def fold(text: str) -> str:
     raw = text.encode("utf-8", "surrogatepass")
     if _LEADS.search(raw):
         raw = text.translate(_WIDE).encode("utf-8", "surrogatepass")
-    return f" {' '.join(_SPACES.sub(' ', raw.translate(_ASCII).decode('utf-8', 'replace').lower()).split(' '))} "
+    return f" {_SPACES.sub(' ', raw.translate(_ASCII).decode('utf-8', 'replace').lower()).strip()} "
 
 
 @dataclass
