@@ -152,17 +152,16 @@ def gps_window_speed(df: DataFrame, keys: Sequence[str], t: str, lat: str, lon:
 
 
 def smooth_step(df: DataFrame, keys: Sequence[str], t: str, v: str, ramp: float, out: str | None = None) -> DataFrame:
-    """Each jump of v turned into a cubic ease over `ramp` after it; the last jump governs; a jump with fewer than
-    two rows in its ramp stays."""
+    """Each jump of v turned into a cubic ease of length `ramp` that begins at the row before it. The last jump governs,
+    and v stays at its new value until the next; a jump without a row in its ramp is passed over."""
     w = _w(keys, t)
-    d = df.withColumn("_was", F.lag(v).over(w))
-    d = d.withColumn("_jump", F.when(F.col("_was") != F.col(v), F.struct(F.col(t).alias("t0"), F.col("_was").alias("a"), F.col(v).alias("b"))))
+    d = df.withColumns({"_to": F.lead(v).over(w), "_next": F.lead(t).over(w)})
+    jump = (F.col("_to") != F.col(v)) & (F.col("_next") - F.col(t) <= ramp)
+    d = d.withColumn("_jump", F.when(jump, F.struct(F.col(t).alias("t0"), F.col(v).alias("a"), F.col("_to").alias("b"))))
     d = d.withColumn("_j", F.last("_jump", True).over(w.rowsBetween(*_PAST)))
-    d = d.withColumn("_in", F.col(t) <= F.col("_j.t0") + ramp)
-    d = d.withColumn("_many", F.count_if("_in").over(Window.partitionBy(*keys, "_j.t0")))
-    a = (F.col(t) - F.col("_j.t0")) / ramp
-    eased = F.col("_j.a") + (F.col("_j.b") - F.col("_j.a")) * a * a * (3 - 2 * a)
-    return d.withColumn(out or v, F.when(F.col("_in") & (F.col("_many") >= 2), eased).otherwise(F.col(v).cast("double"))).drop("_was", "_jump", "_j", "_in", "_many")
+    x = (F.col(t) - F.col("_j.t0")) / ramp
+    eased = F.when(x <= 1, F.col("_j.a") + (F.col("_j.b") - F.col("_j.a")) * x * x * (3 - 2 * x)).otherwise(F.col("_j.b"))
+    return d.withColumn(out or v, F.coalesce(eased, F.col(v).cast("double"))).drop("_to", "_next", "_jump", "_j")
 
 
 def resample_even(curve: DataFrame, keys: Sequence[str], x: str, ys: Sequence[str], count: int) -> DataFrame:

@@ -387,7 +387,14 @@ def iou_pairs(spark, sf):
     return j.select("x.k", F.col("x.n").alias("a"), F.col("y.n").alias("b"), r(geometry.iou(box("x"), box("y"))).alias("iou"))
 
 
-@query()
+_CROSS = "greatest(0, least(q.x2, x[1].x2) - greatest(q.x1, x[1].x1)) * greatest(0, least(q.y2, x[1].y2) - greatest(q.y1, x[1].y1))"
+_AREAS = "(q.x2 - q.x1) * (q.y2 - q.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1)"
+
+
+@query(f"""WITH {_BOX}, c AS (SELECT k, n, s, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2 FROM b),
+l AS (SELECT k, list([{{'n': n, 's': s, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY s DESC, x1, y1, x2, y2) AS l FROM c GROUP BY k),
+r AS (SELECT k, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda q: {_CROSS} >= 0.2 * ({_AREAS} - {_CROSS}))) > 0 THEN a ELSE list_concat(a, x) END)) AS b FROM l)
+SELECT k, b.n AS n, b.s AS score FROM r""")
 def nms(spark, sf):
     b = _boxes(spark, sf).select("k", "n", (F.col("cx") - F.col("w") / 2).alias("x1"), (F.col("cy") - F.col("h") / 2).alias("y1"), (F.col("cx") + F.col("w") / 2).alias("x2"), (F.col("cy") + F.col("h") / 2).alias("y2"), F.col("s").alias("score"))
     return tracks.nms(b, ["k"], 0.2).select("k", "n", "score")
@@ -485,10 +492,11 @@ def windowed_gps_speed(spark, sf):
     return series.gps_window_speed(e, K, "t", "lat", "lon", 5.0, 48.0, 1000).select("user_id", "event_id", r("window_speed", 4).alias("speed"))
 
 
-@query("""WITH $E, j AS (SELECT user_id, event_id, t / 3600 AS t, CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END AS v FROM e), g AS (SELECT *, lag(v) $W AS was FROM j),
-k AS (SELECT *, last_value(CASE WHEN was <> v THEN t END IGNORE NULLS) OVER w AS t0, last_value(CASE WHEN was <> v THEN was END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN was <> v THEN v END IGNORE NULLS) OVER w AS b FROM g WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)),
-m AS (SELECT *, count(*) FILTER (t <= t0 + 20) OVER (PARTITION BY user_id, t0) AS many, (t - t0) / 20 AS x FROM k)
-SELECT user_id, event_id, round(CASE WHEN t <= t0 + 20 AND many >= 2 THEN a + (b - a) * x * x * (3 - 2 * x) ELSE v END, 6) AS eased FROM m""")
+@query("""WITH $E, j AS (SELECT user_id, event_id, t / 3600 AS t, CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END AS v FROM e),
+g AS (SELECT *, lead(v) $W AS b, lead(t) $W - t AS gap FROM j),
+k AS (SELECT *, last_value(CASE WHEN b <> v AND gap <= 20 THEN t END IGNORE NULLS) OVER w AS t0, last_value(CASE WHEN b <> v AND gap <= 20 THEN v END IGNORE NULLS) OVER w AS v0,
+    last_value(CASE WHEN b <> v AND gap <= 20 THEN b END IGNORE NULLS) OVER w AS v1 FROM g WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)), m AS (SELECT *, (t - t0) / 20 AS x FROM k)
+SELECT user_id, event_id, round(CASE WHEN t0 IS NULL THEN v WHEN x <= 1 THEN v0 + (v1 - v0) * x * x * (3 - 2 * x) ELSE v1 END, 6) AS eased FROM m""")
 def step_easing(spark, sf):
     e = telemetry(spark, sf).select("user_id", "event_id", (F.col("t") / 3600).alias("t"), F.when(F.col("value") > 60, 1.0).otherwise(0.0).alias("v"))
     return series.smooth_step(e, K, "t", "v", 20.0, out="eased").select("user_id", "event_id", r("eased").alias("eased"))
