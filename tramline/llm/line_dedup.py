@@ -1,33 +1,39 @@
-"""Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
+"""Near-duplicate lines by an exact set-similarity join.
 
 A line is the set of its lower-cased words. Words are ordered by rarity, from a histogram of all words of
 the corpus; two lines with Jaccard similarity of num/den or more share a word among the first few of each
 (prefix filter), at places that leave room for enough common words (positional filter), and are of similar
-size (length filter). Pairs that pass are compared exactly, and of a pair the later line goes.
+size (length filter). Rows of one prefix word meet in one sorted run; pairs that pass are compared exactly,
+and of a pair the later line goes.
+
+Spark does the joins, shuffles and comparisons of sets; cutting texts into word sets and filtering the rows
+of a prefix word are NumPy over Arrow batches. README tells what the same join cost in SQL functions alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm._common import materialize
+from tramline.llm._common import LOWER, chunks, materialize, mix, small_batches, utf8, word_hashes, word_spans
 
 #: Slots of the word histogram. Words that share a slot count together, which can only make a rare word look
 #: commoner: the order stays one order for all lines, so no pair is lost.
-SLOTS = 65_536
-#: Rows of a join side that is sent to all tasks rather than shuffled (some 30 bytes each).
-BROADCAST_ROWS = 1_000_000
+SLOTS = 1 << 16
+#: Rows of a join side that is sent to all tasks rather than shuffled.
+BROADCAST_ROWS = 2_000_000
 #: Lines of fewer words are never compared.
 MIN_WORDS = 5
+#: Partners of a line that one prefix word proposes at first; the others only follow where these all fail.
+AT_FIRST = 1
+#: Sizes and places from here on share one value, with which no filter rejects a pair.
+_FULL = 0xFFFF
 
-_ELIGIBLE = rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{MIN_WORDS - 1}}}[^\x20\x09-\x0D]"
-_LINE = ["id", "tail"]
-_LOW = 0xFFFFFFFF
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " "), "")
+_U = np.uint64
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -36,128 +42,243 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with what identifies them: id (doc_id, or the least number for null) and a hash of the text."""
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "mark": F.xxhash64("text").bitwiseAND(_LOW)})
-
-
-def _lines(rows: DataFrame) -> DataFrame:
-    """All lines: id, tail (line number, then mark; the order of lines is that of id, tail) and line."""
-    split = rows.select("id", "mark", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    tail = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("mark"))
-    return split.select("id", tail.alias("tail"), "line")
-
-
-def _rarity(docs: DataFrame) -> Column:
-    """A constant array: for each slot the rank of its count among all slots, rarest first. It has SLOTS
-    numbers whatever the corpus holds; the counts cover all words of all rows."""
-    word = docs.select(F.explode(_words(F.translate(F.coalesce("text", F.lit("")), "\n", " "))).alias("word"))
-    counts = [0] * SLOTS
-    for slot, n in word.groupBy(F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int").alias("slot")).count().collect():
-        counts[slot] = n
-    ranks = [0] * SLOTS
-    for rank, slot in enumerate(sorted(range(SLOTS), key=lambda i: (counts[i], i))):
-        ranks[slot] = rank
-    return F.from_json(F.lit(str(ranks)), "array<bigint>")
-
-
-def _tokens(line: Column, ranks: Column) -> Column:
-    """Distinct words of a line as numbers, rarest first: the rank of the slot, then the word's hash."""
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, F.pmod(h, F.lit(SLOTS)).cast("int")), 46).bitwiseOR(F.shiftrightunsigned(h, 18))
-
-    return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
-
-
-def _copies(lines: DataFrame) -> DataFrame:
-    """(id, tail) of the lines that repeat an earlier one letter for letter, but for case and outer spaces."""
-    keys = lines.filter(F.col("line").rlike(_ELIGIBLE)).select("id", "tail", F.xxhash64(F.lower(F.trim("line"))).alias("key"))
-    firsts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1").select("key", "first_id")
-    firsts = materialize(firsts, "lines-repeated")
-    repeated = keys.join(_small(firsts), "key")
-    at = repeated.filter("id = first_id").groupBy("key").agg(F.min("tail").alias("first_tail"))
-    at = materialize(at, "lines-first")
-    return repeated.join(_small(at), "key").filter("id <> first_id or tail <> first_tail").select(*_LINE)
-
-
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows (id, mark, ...) with `gone`: the numbers of the lines of each row that are in gone (id, tail), or null."""
-    mark = F.col("tail").bitwiseAND(_LOW)
-    lists = gone.distinct().groupBy("id", mark.alias("mark")).agg(F.sort_array(F.collect_list(F.shiftright("tail", 32).cast("int"))).alias("gone"))
-    return rows.join(_small(materialize(lists, "lines-gone")), ["id", "mark"], "left")
-
-
-def _kept_lines(rows: DataFrame) -> DataFrame:
-    """Lines of rows (id, mark, text, gone) that are not gone and have enough words."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
-    split = rows.select("id", "mark", "gone", F.explode(lines).alias("l")).select("id", "mark", "gone", "l.pos", "l.line")
-    split = split.filter(F.col("line").rlike(_ELIGIBLE) & (F.col("gone").isNull() | ~F.array_contains("gone", F.col("pos"))))
-    tail = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("mark"))
-    return split.select("id", tail.alias("tail"), "line")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, ranks: Column, num: int, den: int) -> DataFrame:
-    """The later lines (id, tail) of those pairs (xid, xtail, id, tail) that reach the threshold."""
-    pairs = materialize(pairs, "lines-pairs")
-    wanted = materialize(pairs.select(*_LINE).union(pairs.select("xid", "xtail")).distinct(), "lines-wanted")
-    ids = materialize(wanted.select("id").distinct(), "lines-ids")
-    some = _kept_lines(rows.join(_small(ids), "id", "left_semi")).join(_small(wanted), _LINE, "left_semi")
-    sets = materialize(some.select(*_LINE, _tokens(F.col("line"), ranks).alias("words")), "lines-sets")
-    both = pairs.join(sets, _LINE).join(sets.select(F.col("id").alias("xid"), F.col("tail").alias("xtail"), F.col("words").alias("xwords")), ["xid", "xtail"])
+    """Rows with what identifies them: id (doc_id, or the least number for null) and mark, a hash of the text."""
+    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "mark": F.xxhash64("text")})
+
+
+def _ranks(docs: DataFrame) -> np.ndarray:
+    """For each slot the rank of its count among all slots, rarest first. It has SLOTS numbers whatever the corpus
+    holds; the counts cover all words of all rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, part, off in chunks(*utf8(batch.column(0))):
+                low = LOWER[part]
+                starts, ends, _ = word_spans(low, off)
+                total += np.bincount((word_hashes(low, starts, ends) & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["slot", "n"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    rows = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    ranks = np.empty(SLOTS, _U)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=_U)
+    return ranks
+
+
+def line_sets(column: pa.Array, ranks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The lines with enough words, a run of texts at a time: (text, line number, bounds, words).
+
+    words[bounds[i]:bounds[i + 1]] are the distinct words of line i as numbers, rarest first: the rank of the
+    slot in 16 bits, then 36 more bits of the word's hash."""
+    data, offsets = utf8(column)
+    for lo, _, part, off in chunks(data, offsets):
+        low = LOWER[part]
+        breaks = np.flatnonzero(part == 0x0A) + 1
+        begin = np.unique(np.concatenate([off[:-1], breaks]))  # an empty text begins where the next one does
+        starts, ends, _ = word_spans(low, off)
+        h = word_hashes(low, starts, ends)
+        code = (ranks[h & _U(SLOTS - 1)] << _U(36)) | (h >> _U(28))
+        at = np.append(np.searchsorted(starts, begin), len(starts))
+        n = np.diff(at)
+        enough = np.flatnonzero(n >= MIN_WORDS)
+        text = np.searchsorted(off, begin[enough], "right") - 1
+        number = np.searchsorted(breaks, begin[enough], "right") - np.searchsorted(breaks, off[text], "right")
+        for i in range(0, len(enough), 4096):
+            some = enough[i : i + 4096]
+            line = np.repeat(np.arange(len(some), dtype=_U), n[some])
+            inside = np.repeat(at[some] - np.concatenate([[0], np.cumsum(n[some])[:-1]]), n[some]) + np.arange(n[some].sum())
+            key = np.unique((line << _U(52)) | code[inside])
+            bounds = np.searchsorted(key, np.arange(len(some) + 1, dtype=_U) << _U(52)) if len(some) < 4096 else np.append(np.searchsorted(key, np.arange(len(some), dtype=_U) << _U(52)), len(key))
+            yield lo + text[i : i + 4096], number[i : i + 4096], bounds, key & _U((1 << 52) - 1)
+
+
+def _prefixes(rows: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFrame:
+    """(kind, word, id, pos, mark, meta, sketch). kind 0: a prefix word of a line, meta its size and place, sketch the
+    parities of the line's words. kind 1: a line that repeats the word set of an earlier one of the same task.
+
+    Of each word set a task emits prefixes only for its first line, and again when an earlier line turns up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for text, number, bounds, words in line_sets(batch.column(2), ranks):
+                if not len(text):
+                    continue
+                size = np.diff(bounds)
+                keys = np.add.reduceat(mix(words + _U(0x5851F42D4C957F2D)), bounds[:-1]) + size.astype(_U)
+                fresh, gone = np.zeros(len(size), bool), []
+                for i, (k, d, p, m) in enumerate(zip(keys.tolist(), ids[text].tolist(), number.tolist(), marks[text].tolist())):
+                    was = first.get(k)
+                    if was is None or (d, p) < was[:2]:
+                        fresh[i] = True
+                        first[k] = (d, p, m)
+                        if was is not None:
+                            gone.append(was)
+                    elif (d, p) > was[:2]:
+                        gone.append((d, p, m))
+                at = np.flatnonzero(fresh)
+                many = size[at] - (-(-size[at] * num // den)) + 1
+                line = np.repeat(at, many)
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                code = words[bounds[line] + place]
+                odd = np.bitwise_xor.reduceat(_U(1) << (words & _U(63)), bounds[:-1])
+                word = ((code ^ (code >> _U(32))) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                meta = (np.minimum(size[line], _FULL) << 16 | np.minimum(place, _FULL)).astype(np.uint32).view(np.int32)
+                g = np.array([x[:3] for x in gone], np.int64).reshape(-1, 3)
+                zero = np.zeros(len(g), np.int32)
+                both = lambda a, b, kind: pa.array(np.concatenate([a, b]).astype(kind))
+                yield pa.RecordBatch.from_arrays([
+                    both(np.zeros(len(line)), zero + 1, np.int32), both(word, zero, np.int32), both(ids[text[line]], g[:, 0], np.int64), both(number[line], g[:, 1], np.int32),
+                    both(marks[text[line]], g[:, 2], np.int64), both(meta, zero, np.int32), both(odd[line].view(np.int64), zero, np.int64),
+                ], names=["kind", "word", "id", "pos", "mark", "meta", "sketch"])
+
+    return rows.select("id", "mark", "text").mapInArrow(run, "kind int, word int, id long, pos int, mark long, meta int, sketch long")
+
+
+def _fits(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], num: int, den: int) -> np.ndarray:
+    """Length, positional and parity filter of rows (size, place, sketch) that share a prefix word."""
+    sx, px, hx = x
+    sy, py, hy = y
+    both = sx + sy
+    ok = (np.minimum(sx - px, sy - py) * (num + den) >= both * num) & (np.bitwise_count(hx ^ hy).astype(np.int64) * (num + den) <= both * (den - num))
+    return ok | (sx >= _FULL) | (sy >= _FULL)
+
+
+def _proposals(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """(xid, xpos, id, pos, word, more): for each line of a prefix word its earlier partners that pass the filters,
+    AT_FIRST of them at most; more: whether there were others. Rows of a word come sorted and are met a lag at a time."""
+    def group(word, ids, pos, size, place, sketch) -> pa.RecordBatch:
+        new = np.concatenate([[True], word[1:] != word[:-1]])
+        depth = np.arange(len(word)) - np.flatnonzero(new)[np.cumsum(new) - 1]  # earlier rows of the same word
+        found = np.zeros(len(word), np.int64)
+        left, right = [], []
+        # The earliest partner first: row j of a group for all rows of the group after it.
+        active = np.flatnonzero(depth > 0)
+        j = 0
+        while len(active):
+            x = active - depth[active] + j
+            ok = _fits((size[x], place[x], sketch[x]), (size[active], place[active], sketch[active]), num, den) & ((ids[x] != ids[active]) | (pos[x] != pos[active]))
+            hit, x = active[ok], x[ok]
+            take = found[hit] < AT_FIRST
+            left.append(x[take])
+            right.append(hit[take])
+            found[hit] += 1
+            j += 1
+            active = active[(depth[active] > j) & (found[active] <= AT_FIRST)]
+        x, y = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(pos[x]), pa.array(ids[y]), pa.array(pos[y]), pa.array(word[y]), pa.array(found[y] > AT_FIRST)], names=["xid", "xpos", "id", "pos", "word", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            meta = batch.column(3).to_numpy().view(np.uint32).astype(np.int64)
+            held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), meta >> 16, meta & 0xFFFF, batch.column(4).to_numpy().view(_U)])
+            rows += batch.num_rows
+            if rows >= 400_000 and held[-1][0][0] != held[-1][0][-1]:  # all but the last word are complete
+                columns = [np.concatenate(c) for c in zip(*held)]
+                cut = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1
+                yield group(*(c[:cut] for c in columns))
+                held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
+        if held:
+            yield group(*(np.concatenate(c) for c in zip(*held)))
+
+    n = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = prefixes.select("word", "id", "pos", "meta", "sketch").repartition(n, "word").sortWithinPartitions("word", "id", "pos")
+    return dealt.mapInArrow(run, "xid long, xpos int, id long, pos int, word int, more boolean")
+
+
+def _parities(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """256 parities of each line's words, as four numbers a line."""
+    if len(bounds) < 2:
+        return np.zeros((0, 4), _U)
+    bit = _U(1) << (words & _U(63))
+    return np.stack([np.bitwise_xor.reduceat(np.where((words >> _U(6)) & _U(3) == _U(k), bit, _U(0)), bounds[:-1]) for k in range(4)], 1)
+
+
+def _later(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFrame:
+    """(id, pos, mark) of the later lines of those pairs (xid, xpos, id, pos; distinct) that reach the threshold.
+
+    Longer parities than the prefixes carry leave few pairs whose words are then brought together."""
+    wanted = pairs.select("id", "pos").union(pairs.select("xid", "xpos")).groupBy("id").agg(F.collect_set("pos").alias("lines"))
+    some = rows.select("id", "mark", "text").join(_small(materialize(wanted, "lines-wanted")), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, marks, lines = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [set(v) for v in batch.column(3).to_pylist()]
+            for text, number, bounds, words in line_sets(batch.column(2), ranks):
+                keep = np.array([p in lines[t] for t, p in zip(text.tolist(), number.tolist())], bool)
+                size = np.diff(bounds)
+                at = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(at), pa.array(words[np.repeat(keep, size)].view(np.int64)))
+                at = np.arange(0, 4 * keep.sum() + 1, 4, dtype=np.int32)
+                odd = pa.ListArray.from_arrays(pa.array(at), pa.array(_parities(words, bounds)[keep].ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text[keep]]), pa.array(number[keep].astype(np.int32)), pa.array(marks[text[keep]]), pa.array(size[keep]), odd, sets], names=["id", "pos", "mark", "size", "parity", "words"])
+
+    sets = materialize(some.mapInArrow(run, "id long, pos int, mark long, size long, parity array<long>, words array<long>"), "lines-sets")
+    left = sets.select(F.col("id").alias("xid"), F.col("pos").alias("xpos"), F.col("size").alias("xsize"), F.col("parity").alias("xparity"))
+    near = pairs.join(sets.drop("words", "mark"), ["id", "pos"]).join(left, ["xid", "xpos"])
+    apart = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("xparity", F.lit(i)))) for i in range(4)), F.lit(0))
+    near = near.filter(apart * (den + num) <= (F.col("size") + F.col("xsize")) * (den - num)).select("xid", "xpos", "id", "pos").distinct()
+    left = sets.select(F.col("id").alias("xid"), F.col("pos").alias("xpos"), F.col("words").alias("xwords"))
+    both = near.join(sets.drop("parity", "size"), ["id", "pos"]).join(left, ["xid", "xpos"])
     common = F.size(F.array_intersect("words", "xwords"))
-    return both.filter(common * (num + den) >= (F.size("words") + F.size("xwords")) * num).select(*_LINE).distinct()
+    return both.filter(common * (num + den) >= (F.size("words") + F.size("xwords")) * num).select("id", "pos", "mark").distinct()
 
 
 def later_lines(docs: DataFrame, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(rows, gone): docs with id and mark, and (id, tail) of every line with an earlier one of similarity num/den.
+    """(rows, gone): docs with id and mark, and (id, pos, mark) of every line with an earlier one of similarity num/den.
 
-    Copies of a line are found first, by one hash; all others meet through their prefixes. There each line
-    is compared with the earliest line of every prefix word before the rest, so that the members of a large
-    group of similar lines go without being paired with each other."""
+    A word first proposes few partners for a line, so the members of a large group of similar lines are not
+    all paired with each other. A line that is still there after those were compared, and had more, is then
+    compared with all its partners."""
+    small_batches(docs.sparkSession)
     rows = _keyed(docs)
-    copies = materialize(_copies(_lines(rows)), "lines-copies")
-    ranks = _rarity(docs)
-    kept = _without(rows, copies)
-    tokens = _kept_lines(kept).select(*_LINE, _tokens(F.col("line"), ranks).alias("words"))
-    size = F.size("words")
-    sketch = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
-    first = size - F.ceil(size * num / den).cast("int") + 1
-    prefix = tokens.select(*_LINE, size.alias("size"), sketch.alias("sketch"), F.posexplode(F.slice("words", F.lit(1), first)).alias("place", "word"))
-
-    def fits(x: str, y: str) -> Column:
-        """Length, positional and sketch filter of the rows x and y of a prefix word."""
-        sx, sy, px, py = (F.col(c) for c in (f"{x}size", f"{y}size", f"{x}place", f"{y}place"))
-        room = F.least(sx - px, sy - py) * (num + den) >= (sx + sy) * num
-        apart = F.bit_count(F.col(f"{x}sketch").bitwiseXOR(F.col(f"{y}sketch"))) * (num + den) <= (sx + sy) * (den - num)
-        return room & apart
-
-    w = Window.partitionBy("word").orderBy(*_LINE)
-    head = prefix.withColumn("x", F.first(F.struct(*_LINE, "size", "place", "sketch")).over(w)).select("*", *(F.col(f"x.{c}").alias(f"x{c}") for c in (*_LINE, "size", "place", "sketch")))
-    stars = head.filter("id <> xid or tail <> xtail").filter(fits("x", "")).select("xid", "xtail", *_LINE).distinct()
-    gone = materialize(_verified(stars, kept, ranks, num, den), "lines-starred")
-
-    all_ = prefix.select("word", *(F.col(c).alias(f"x{c}") for c in (*_LINE, "size", "place", "sketch")))
-    rest = prefix.join(_small(gone), _LINE, "left_anti")
-    more = rest.join(all_, "word").filter("xid < id or xid = id and xtail < tail").filter(fits("x", "")).select("xid", "xtail", *_LINE).distinct()
-    found = _verified(more, kept, ranks, num, den)
-    return rows, materialize(copies.union(gone).union(found), "lines-later")
+    ranks = _ranks(docs)
+    table = materialize(_prefixes(rows, ranks, num, den), "lines-prefixes")
+    prefixes = table.filter("kind = 0")
+    proposed = materialize(_proposals(prefixes, num, den), "lines-proposed")
+    pairs = materialize(proposed.select("xid", "xpos", "id", "pos").distinct(), "lines-pairs")
+    gone = materialize(table.filter("kind = 1").select("id", "pos", "mark").union(_later(pairs, rows, ranks, num, den)).distinct(), "lines-gone")
+
+    crowded = proposed.filter("more").select("id", "pos", "word").distinct()
+    crowded = materialize(crowded.join(_small(gone), ["id", "pos"], "left_anti"), "lines-crowded")
+    if crowded.limit(1).count():
+        size, place = F.shiftrightunsigned("meta", 16), F.col("meta").bitwiseAND(_FULL)
+        full = prefixes.select("word", "id", "pos", size.alias("size"), place.alias("place"), "sketch")
+        y = full.join(_small(crowded), ["word", "id", "pos"], "left_semi")
+        words = materialize(crowded.select("word").distinct(), "lines-words")
+        x = full.join(_small(words), "word", "left_semi").select("word", *(F.col(c).alias(f"x{c}") for c in ("id", "pos", "size", "place", "sketch")))
+        both = F.col("size") + F.col("xsize")
+        room = F.least(F.col("size") - F.col("place"), F.col("xsize") - F.col("xplace")) * (num + den) >= both * num
+        near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("xsketch"))) * (num + den) <= both * (den - num)
+        fits = (room & near) | (F.greatest("size", "xsize") >= _FULL)
+        more = y.join(x, "word").filter("xid < id or xid = id and xpos < pos").filter(fits).select("xid", "xpos", "id", "pos").distinct()
+        more = materialize(more.join(pairs, ["xid", "xpos", "id", "pos"], "left_anti"), "lines-more")
+        gone = materialize(gone.union(_later(more, rows, ranks, num, den)).distinct(), "lines-gone")
+    return rows, gone
 
 
 def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     """docs with the lines gone that are similar to an earlier line; adds n_lines, n_removed, removed (their numbers).
 
     docs: doc_id, text and any further columns, which are kept. Lines end at '\\n'. Two lines are similar if
-    their sets of lower-cased words have Jaccard similarity num/den or more. Earlier means a smaller doc_id,
-    then a smaller line number; a null doc_id comes first. It does not matter whether the earlier line goes
-    itself. Lines of fewer than five words always stay. Null texts stay null with no lines; an empty text is
-    one empty line. Rows that repeat both doc_id and text are one document and keep the same lines. An empty
-    table gives an empty result."""
+    their sets of words (A-Z lower-cased, told apart by 52 bits of a hash) have Jaccard similarity num/den or
+    more. Earlier means a smaller doc_id, then a smaller line number; a null doc_id comes first. It does not
+    matter whether the earlier line goes itself. Lines of fewer than five words always stay. Null texts stay
+    null with no lines; an empty text is one empty line. Rows that repeat both doc_id and text are one document
+    and keep the same lines; lines at one place of different texts of one doc_id are not compared with each
+    other. An empty table gives an empty result."""
     rows, gone = later_lines(docs, num, den)
-    out = _without(rows, gone)
+    lists = gone.groupBy("id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
+    out = rows.join(_small(materialize(lists, "lines-lists")), ["id", "mark"], "left")
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: F.col("gone").isNull() | ~F.array_contains("gone", i))
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    return out.select(*[F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(c) for c in names],
-                      F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
-                      F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-                      F.coalesce("gone", F.array().cast("array<int>")).alias("removed"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text")
+    n_lines = F.coalesce(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0))
+    return out.select(*[text if c == "text" else F.col(c) for c in names], n_lines.cast("long").alias("n_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
