@@ -1,21 +1,21 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Each text becomes the set of its hashed word shingles. Sets of the same band of sizes that are similar
-enough differ in at most k elements. The domain of features is cut into n1 groups of three partitions;
-k differences leave at least one group with one difference at most, so at least one of its three pairs
-of partitions agrees exactly. Every set therefore emits, for each group, the three subsets of two
-partitions as signatures, and similar sets share one. A set whose size lies near the end of its band
-also emits the signatures of the next band.
+enough differ in a bounded number of elements. The domain of features is cut into groups of n2 partitions;
+the differences leave at least one group with one difference at most, so at least one of its subsets of
+n2 - 1 partitions agrees exactly. Every set therefore emits these subsets of its groups as signatures, and
+similar sets share one. A set whose size lies near the end of its band also emits signatures of the next.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,12 +29,13 @@ BROADCAST_IDS = 2_000_000
 
 
 class Bands:
-    """Size bands for a threshold num/den, and for each band how many differences a linked pair may have."""
+    """Size bands for a threshold num/den, and how many groups the sets of a band are cut into and emit."""
 
-    def __init__(self, num: int, den: int, width: float = 3.0):
-        self.num, self.den = num, den
-        self.ratio = (den / num) ** width
+    def __init__(self, num: int, den: int, n2: int = 3):
+        self.num, self.den, self.n2 = num, den, n2
+        self.ratio = (den / num) ** 2
         self.last = [0]
+        self._groups: dict[int, int] = {}
 
     def of(self, n: int) -> int:
         while self.last[-1] < n:
@@ -47,10 +48,33 @@ class Bands:
         b = self.of(n)
         return [b, b + 1] if n * self.den // self.num > self.last[b] else [b]
 
-    def differences(self, band: int) -> int:
+    def differences(self, band: int, n: int) -> int:
+        """Elements in which a set of n elements and a linked one, at this band, may differ."""
         while len(self.last) <= band:
             self.of(self.last[-1] + 1)
-        return 2 * self.last[band] * (self.den - self.num) // (self.den + self.num)
+        return (n + min(self.last[band], n * self.den // self.num)) * (self.den - self.num) // (self.den + self.num)
+
+    def need(self, band: int, n: int) -> int:
+        """Groups of which one has a single difference at most, since two differences spoil one group."""
+        return self.differences(band, n) // 2 + 1
+
+    def filled(self, band: int) -> float:
+        """About the share of groups all of whose signatures are of some feature, in the smallest sets of a band."""
+        low = (self.last[band - 1] + 1) * self.num / self.den
+        gone = math.exp(-low / (self.n2 * self.need(band, self.last[band])))
+        return max(0.05, (1 - gone) ** 2 if self.n2 == 2 else (1 - gone) ** 3 + 3 * gone * (1 - gone) ** 2)
+
+    def emitted(self, band: int, need: int) -> int:
+        """Groups whose signatures are emitted: so many that, but for chance, `need` of them are filled."""
+        p = self.filled(band)
+        return math.ceil(need / p + 3 * math.sqrt(need * (1 - p)) / p) + 1
+
+    def groups(self, band: int) -> int:
+        """Groups that the sets of a band are cut into: as many as its largest set emits."""
+        self.differences(band, 1)
+        if band not in self._groups:
+            self._groups[band] = self.emitted(band, self.need(band, self.last[band]))
+        return self._groups[band]
 
 
 @lru_cache(maxsize=512)
@@ -61,33 +85,41 @@ def _bounds(parts: int) -> np.ndarray:
 @lru_cache(maxsize=512)
 def _salts(level: int, groups: int) -> np.ndarray:
     g = np.arange(groups * 3, dtype=_U).reshape(groups, 3)
-    return mix(g * _U(0xA24BAED4963EE407) + _U(level + 1) * _U(0x9FB21C651E98DF25))
+    return mix(g * _U(0xA24BAED4963EE407) + _U((level + 1) * 0x9FB21C651E98DF25 % 2**64))
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     """Signatures of one sorted array of distinct shingle hashes. Where only equal sets can link, there are none."""
     out = []
-    run = np.zeros(len(s) + 1, _U)
+    n, n2 = len(s), bands.n2
+    run = np.zeros(n + 1, _U)
     np.cumsum(mix(s + _U(0x632BE59BD9B4E019)), out=run[1:])
-    for level in bands.levels(len(s)):
-        k = bands.differences(level)
-        if not k:
+    for level in bands.levels(n):
+        if not bands.differences(level, n):
             continue
-        most = k // 2  # groups that can hold two differences or more
-        groups = most + 2 + most // 64
-        at = np.zeros(3 * groups + 1, np.int64)
-        at[1:-1] = np.searchsorted(s, _bounds(3 * groups))
-        at[-1] = len(s)
-        part = (run[at[1:]] - run[at[:-1]]).reshape(groups, 3)
-        full = np.diff(at).reshape(groups, 3) > 0
-        sig = np.empty((groups, 3), _U)
-        some = np.empty((groups, 3), bool)
-        for j, (x, y) in enumerate(_SUBSETS):
-            sig[:, j] = part[:, x] * _U(0xC2B2AE3D27D4EB4F) + part[:, y] * _U(0x165667B19E3779F9)
-            some[:, j] = full[:, x] | full[:, y]
-        sig = mix(sig + _salts(level, groups))
-        # Empty subsets agree by chance. They are needed only where too few groups have all subsets filled.
-        out.append(sig[some] if some.all(1).sum() > most else sig.ravel())
+        groups, need = bands.groups(level), bands.need(level, n)
+        own = bands.emitted(level, need)
+        at = np.zeros(n2 * groups + 1, np.int64)
+        at[1:-1] = np.searchsorted(s, _bounds(n2 * groups))
+        at[-1] = n
+        part = (run[at[1:]] - run[at[:-1]]).reshape(groups, n2)[:own]
+        full = np.diff(at).reshape(groups, n2)[:own] > 0
+        salts = _salts(level, groups)[:own]
+        if n2 == 2:
+            sig, some = mix(part * _U(0xC2B2AE3D27D4EB4F) + salts[:, :2]), full
+        else:
+            sig, some = np.empty((own, 3), _U), np.empty((own, 3), bool)
+            for j, (x, y) in enumerate(_SUBSETS):
+                sig[:, j] = part[:, x] * _U(0xC2B2AE3D27D4EB4F) + part[:, y] * _U(0x165667B19E3779F9)
+                some[:, j] = full[:, x] | full[:, y]
+            sig = mix(sig + salts)
+        # Empty subsets agree by chance. They are needed only if, for a partner of some size, too few of the
+        # groups that both emit have all subsets filled. It is enough that one of two partners has enough.
+        least = bands.need(level, -(-n * bands.num // bands.den))
+        wants = np.arange(min(least, need), need + 1)
+        filled = np.cumsum(some.all(1))
+        enough = (filled[np.array([bands.emitted(level, int(w)) for w in wants]) - 1] >= wants).all()
+        out.append(sig[some] if enough else sig.ravel())
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
@@ -127,10 +159,14 @@ def _key(s: np.ndarray) -> int:
 PARITY_WORDS = 16
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
+#: The same for sets of many features, whose parities would fill the shorter sketch.
+WIDE_WORDS, WIDE_FROM = 256, 1000
+
+
+def _parity(s: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     """For each of the cells that features fall into, whether it holds an odd number of them. Every feature
     that only one of two sets has flips one bit, so at least as many features differ as bits do."""
-    odd = np.bincount((s >> _U(54)).astype(np.int64), minlength=64 * PARITY_WORDS).astype(np.uint8) & 1
+    odd = np.bincount((s >> _U(58 - words.bit_length() + 1)).astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
     return np.packbits(odd).view(_U)
 
 
@@ -140,76 +176,110 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*values, np.zeros(0, _U)]).view(np.int64)))
 
 
-def sketch(docs: DataFrame, q: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, signatures): signatures only at the first row of each set in a task."""
+def _longs(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.ArrayType(T.LongType())) for n in names]
+
+
+def sketch(docs: DataFrame, q: int) -> DataFrame:
+    """(doc_id, n_shingles, set_id, parity, wide): the sketches only at the first row of each set in a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(num, den), set()
+        seen = set()
         for batch in batches:
-            n, keys, sigs = [], [], []
+            n, keys, odd, wide = [], [], [], []
             for s in shingle_sets(batch.column(1), q):
                 n.append(len(s))
                 keys.append(k := _key(s))
                 fresh = len(s) and k not in seen
                 if fresh:
                     seen.add(k)
-                sigs.append(signatures(s, bands) if fresh else s[:0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), _lists(sigs)], names=["doc_id", "n_shingles", "set_id", "signatures"])
+                odd.append(_parity(s) if fresh else s[:0])
+                wide.append(_parity(s, WIDE_WORDS) if fresh and len(s) >= WIDE_FROM else s[:0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), _lists(odd), _lists(wide)], names=["doc_id", "n_shingles", "set_id", "parity", "wide"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), *_longs("parity", "wide")])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def signed(docs: DataFrame, q: int, num: int, den: int, n2: int) -> DataFrame:
+    """(signature, set_id) of the first row of each set in a task. Signatures go straight into the shuffle: they are many,
+    and made again they cost less than kept."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(num, den, n2), set()
+        keys, sigs, held = [], [], 0
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sigs, np.zeros(0, _U)]).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), [len(v) for v in sigs]))], names=["signature", "set_id"])
+
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), q):
+                if len(s) and (k := _key(s)) not in seen:
+                    seen.add(k)
+                    keys.append(k)
+                    sigs.append(signatures(s, bands))
+                    held += len(sigs[-1])
+                if held > 200_000:
+                    yield full()
+                    keys, sigs, held = [], [], 0
+        yield full()
+
+    return docs.select("text").mapInArrow(run, "signature long, set_id long")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, q: int) -> DataFrame:
-    """(set_id, features, parity) of the wanted sets, each once. wanted: (doc_id, set_id)."""
+    """(set_id, features) of the wanted sets, once for each task that meets one. wanted: (doc_id, set_id)."""
     n = wanted.count()
-    ids = wanted.select("doc_id")
+    ids = wanted.select("doc_id").distinct()
     some = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), q))
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets), _lists([_parity(s) for s in sets])], names=["set_id", "features", "parity"])
+            fresh = {}
+            for s in shingle_sets(batch.column(1), q):
+                if (k := _key(s)) not in seen:
+                    fresh[k] = s
+            seen |= fresh.keys()
+            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), _lists(list(fresh.values()))], names=["set_id", "features"])
+
+    return some.mapInArrow(run, "set_id long, features array<long>")
 
-    return some.mapInArrow(run, "set_id long, features array<long>, parity array<long>").groupBy("set_id").agg(F.first("features").alias("features"), F.first("parity").alias("parity"))
 
+def _close(na: str, nb: str, wa: str, wb: str, num: int, den: int) -> Column:
+    """Whether two sets may link, from their sizes and parities: no more parities differ than features may."""
+    apart = sum((F.bit_count(F.get(wa, F.lit(i)).bitwiseXOR(F.get(wb, F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (apart * (den + num) <= (F.col(na) + F.col(nb)) * (den - num))
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold exactly."""
+
+def _likely(pairs: DataFrame, owners: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may link by size and parities."""
+    x = owners.select(F.col("set_id").alias("a"), F.col("size").alias("na"), F.col("parity").alias("wa"), F.col("wide").alias("va"))
+    y = owners.select(F.col("set_id").alias("b"), F.col("size").alias("nb"), F.col("parity").alias("wb"), F.col("wide").alias("vb"))
+    near = pairs.join(x.drop("va"), "a").join(y.drop("vb"), "b").filter(_close("na", "nb", "wa", "wb", num, den)).select("a", "b", "na", "nb")
+    both = near.filter(F.least("na", "nb") >= WIDE_FROM).join(x.select("a", "va"), "a").join(y.select("b", "vb"), "b")
+    apart = F.aggregate(F.zip_with("va", "vb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    both = both.filter(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
+    return near.filter(F.least("na", "nb") < WIDE_FROM).select("a", "b").union(both.select("a", "b"))
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, owners: DataFrame, q: int, num: int, den: int, label: str) -> DataFrame:
+    """The pairs (a, b; distinct) whose sets reach the threshold exactly. Only the sets they name are made again."""
+    named = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    wanted = materialize(named.join(owners, "set_id").select("doc_id", "set_id"), f"{label}-wanted")
+    sets = materialize(_sets(docs, wanted, q).join(F.broadcast(wanted.select("set_id")) if wanted.count() <= BROADCAST_IDS else wanted.select("set_id"), "set_id", "left_semi"), f"{label}-sets")
     left = sets.select(F.col("set_id").alias("a"), F.col("features").alias("fa"))
     right = sets.select(F.col("set_id").alias("b"), F.col("features").alias("fb"))
     joined = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("fa", "fb")).cast("long")
     both = F.size("fa") + F.size("fb")
-    return joined.withColumn("common", common).filter(den * F.col("common") >= num * (both - F.col("common"))).select("a", "b")
-
-
-def _open_pairs(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a signature, lie in different components and may still link.
-
-    rows: (signature, set_id, size, part). Features that no other component's set holds can't be common to
-    such a pair, so two sets have at most the fewer of their other features in common; and where more
-    parities differ than features may, they can't link either."""
-    members = rows.select("set_id", "part").distinct()
-    features = members.join(sets.select("set_id", "features"), "set_id").select("set_id", "part", F.explode("features").alias("feature"))
-    across = features.groupBy("feature").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("feature")
-    usable = features.join(across, "feature", "left_semi").groupBy("set_id").agg(F.count("*").alias("usable"))
-    usable = usable.join(sets.select("set_id", "parity"), "set_id")
-    rows = rows.join(usable, "set_id").filter(F.col("usable") * den >= F.col("size") * num)
-    x = rows.select("signature", F.col("set_id").alias("a"), F.col("part").alias("pa"), F.col("size").alias("na"), F.col("usable").alias("ua"), F.col("parity").alias("wa"))
-    y = rows.select("signature", F.col("set_id").alias("b"), F.col("part").alias("pb"), F.col("size").alias("nb"), F.col("usable").alias("ub"), F.col("parity").alias("wb"))
-    common = F.least("na", "nb", "ua", "ub")
-    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & (common * den >= (F.col("na") + F.col("nb") - common) * num)
-    apart = sum((F.bit_count(F.get("wa", F.lit(i)).bitwiseXOR(F.get("wb", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
-    fits = fits & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
-    return x.join(y, "signature").filter(fits).select("a", "b").distinct()
-
-
-def jaccard_components(docs: DataFrame, q: int = 5, num: int = 8, den: int = 10, label: str = "jaccard") -> DataFrame:
+    return joined.withColumn("common", common).filter(den * F.col("common") >= num * (both - F.col("common"))).select("a", "b").distinct()
+
+
+def jaccard_components(docs: DataFrame, q: int = 5, num: int = 8, den: int = 10, n2: int = 3, label: str = "jaccard") -> DataFrame:
     """Link texts whose sets of word q-grams have Jaccard similarity of num/den or more, and name components.
 
-    docs: doc_id (an integer), text; other columns are ignored. Returns one row for each row of docs:
-    doc_id, n_shingles, set_id (0 for texts without words), component_id: the smallest doc_id reachable
-    by links, itself included.
+    docs: doc_id (an integer), text; other columns are ignored. n2: partitions of a group, 2 or 3; with 3 there
+    are more signatures, each of more features. Returns one row for each row of docs: doc_id, n_shingles, set_id
+    (0 for texts without words), component_id: the smallest doc_id reachable by links, itself included.
 
     Texts without words, empty and null ones link with nothing and keep their own doc_id. Rows that
     repeat a text share a component. Rows of one doc_id with different texts are texts of their own.
@@ -217,31 +287,36 @@ def jaccard_components(docs: DataFrame, q: int = 5, num: int = 8, den: int = 10,
 
     First each set is compared with one set of every signature it carries, the one that meets the most
     others; the links found join most of a group of near copies without listing its pairs. Then only pairs
-    of sets that share a signature and still lie in different components are compared, if what other
-    components hold of their features leaves room for a link. No link that could join two components is
+    of sets that share a signature and still lie in different components are compared. Before features are
+    compared, sizes and parities must leave room for a link. No link that could join two components is
     left out.
     """
     small_batches(docs.sparkSession)
-    table = materialize(sketch(docs, q, num, den), f"{label}-sketch")
-    owners = table.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    rows = table.select(F.explode("signatures").alias("signature"), "set_id", F.col("n_shingles").alias("size"))
+    table = materialize(sketch(docs, q), f"{label}-sketch")
+    owners = table.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.max("parity").alias("parity"), F.max("wide").alias("wide"))
+    owners = materialize(owners, f"{label}-owners")
+    rows = signed(docs, q, num, den, n2)
     same = Window.partitionBy("signature")
     shared = rows.withColumns({"lo": F.min("set_id").over(same), "hi": F.max("set_id").over(same), "others": F.count("*").over(same) - 1}).filter("lo <> hi").drop("lo", "hi")
     shared = materialize(shared, f"{label}-shared")
     met = shared.groupBy("set_id").agg(F.sum("others").alias("met"))
     central = shared.join(met, "set_id").withColumn("hub", F.max(F.struct("met", "set_id")).over(same)["set_id"])
     near = central.filter("hub <> set_id").select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
-    near = materialize(near, f"{label}-near")
-    wanted = shared.select("set_id").distinct().join(owners, "set_id").select("doc_id", "set_id")
-    sets = materialize(_sets(docs, materialize(wanted, f"{label}-wanted"), q), f"{label}-sets")
-    edges = materialize(_linked(near, sets, num, den), f"{label}-edges")
+    near = materialize(_likely(near, owners, num, den), f"{label}-near")
+    edges = materialize(_linked(docs, near, owners, q, num, den, label), f"{label}-edges")
     parts = connected_components(edges, f"{label}-cc")
 
-    left = shared.select("signature", "set_id", "size").distinct().join(parts, F.col("set_id") == F.col("node"), "left").select("signature", "set_id", "size", F.coalesce("component", "set_id").alias("part"))
+    left = shared.select("signature", "set_id").distinct().join(parts, F.col("set_id") == F.col("node"), "left").select("signature", "set_id", F.coalesce("component", "set_id").alias("part"))
     open_ = left.withColumns({"lo": F.min("part").over(same), "hi": F.max("part").over(same)}).filter("lo <> hi").drop("lo", "hi")
+    open_ = open_.join(owners.select("set_id", "size", "parity"), "set_id")
     open_ = materialize(open_, f"{label}-open")
-    found = materialize(_linked(_open_pairs(open_, sets, num, den).join(near, ["a", "b"], "left_anti"), sets, num, den), f"{label}-more")
-    if found.limit(1).count():
+    x = open_.select("signature", F.col("set_id").alias("a"), F.col("part").alias("pa"), F.col("size").alias("na"), F.col("parity").alias("wa"))
+    y = open_.select("signature", F.col("set_id").alias("b"), F.col("part").alias("pb"), F.col("size").alias("nb"), F.col("parity").alias("wb"))
+    fits = (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & _close("na", "nb", "wa", "wb", num, den)
+    more = x.join(y, "signature").filter(fits).select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
+    more = materialize(_likely(more, owners, num, den), f"{label}-more")
+    if more.limit(1).count():
+        found = materialize(_linked(docs, more, owners, q, num, den, label), f"{label}-found")
         parts = connected_components(edges.union(found), f"{label}-cc")
 
     named = owners.join(parts, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("component", "set_id").alias("part"), "doc_id")
