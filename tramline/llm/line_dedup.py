@@ -32,6 +32,9 @@ MIN_WORDS = 5
 AT_FIRST = 1
 #: Sizes and places from here on share one value, with which no filter rejects a pair.
 _FULL = 0xFFFF
+#: Lines of so many words carry four numbers of parities, shorter ones one; more words would fill a single one.
+LONG = 96
+_ODD = [f"odd{i}" for i in range(4)]
 
 _U = np.uint64
 
@@ -95,8 +98,8 @@ def line_sets(column: pa.Array, ranks: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _prefixes(rows: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFrame:
-    """(kind, word, id, pos, mark, meta, sketch). kind 0: a prefix word of a line, meta its size and place, sketch the
-    parities of the line's words. kind 1: a line that repeats the word set of an earlier one of the same task.
+    """(kind, word, id, pos, mark, meta, odd0 .. odd3). kind 0: a prefix word of a line, meta its size and place, and the
+    parities of the line's words (a short line's in odd0, the others 0). kind 1: a line that repeats the word set of an earlier one of the same task.
 
     Of each word set a task emits prefixes only for its first line, and again when an earlier line turns up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +126,10 @@ def _prefixes(rows: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFra
                 line = np.repeat(at, many)
                 place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 code = words[bounds[line] + place]
-                odd = np.bitwise_xor.reduceat(_U(1) << (words & _U(63)), bounds[:-1])
+                odd = _parities(words, bounds)
+                short = size < LONG
+                odd[short, 0] = np.bitwise_xor.reduce(odd[short], 1)
+                odd[short, 1:] = 0
                 word = ((code ^ (code >> _U(32))) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 meta = (np.minimum(size[line], _FULL) << 16 | np.minimum(place, _FULL)).astype(np.uint32).view(np.int32)
                 g = np.array([x[:3] for x in gone], np.int64).reshape(-1, 3)
@@ -131,25 +137,29 @@ def _prefixes(rows: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFra
                 both = lambda a, b, kind: pa.array(np.concatenate([a, b]).astype(kind))
                 yield pa.RecordBatch.from_arrays([
                     both(np.zeros(len(line)), zero + 1, np.int32), both(word, zero, np.int32), both(ids[text[line]], g[:, 0], np.int64), both(number[line], g[:, 1], np.int32),
-                    both(marks[text[line]], g[:, 2], np.int64), both(meta, zero, np.int32), both(odd[line].view(np.int64), zero, np.int64),
-                ], names=["kind", "word", "id", "pos", "mark", "meta", "sketch"])
+                    both(marks[text[line]], g[:, 2], np.int64), both(meta, zero, np.int32), *(both(odd[line, i].view(np.int64), zero, np.int64) for i in range(4)),
+                ], names=["kind", "word", "id", "pos", "mark", "meta", *_ODD])
 
-    return rows.select("id", "mark", "text").mapInArrow(run, "kind int, word int, id long, pos int, mark long, meta int, sketch long")
+    return rows.select("id", "mark", "text").mapInArrow(run, "kind int, word int, id long, pos int, mark long, meta int, odd0 long, odd1 long, odd2 long, odd3 long")
 
 
-def _fits(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], num: int, den: int) -> np.ndarray:
-    """Length, positional and parity filter of rows (size, place, sketch) that share a prefix word."""
-    sx, px, hx = x
-    sy, py, hy = y
-    both = sx + sy
-    ok = (np.minimum(sx - px, sy - py) * (num + den) >= both * num) & (np.bitwise_count(hx ^ hy).astype(np.int64) * (num + den) <= both * (den - num))
-    return ok | (sx >= _FULL) | (sy >= _FULL)
+def _fits(size: np.ndarray, place: np.ndarray, odd: list[np.ndarray], x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Length, positional and parity filter of the rows x and y that share a prefix word. odd: the four parities, and
+    their exclusive or."""
+    both = size[x] + size[y]
+    most = both * (den - num)
+    ok = (np.minimum(size[x] - place[x], size[y] - place[y]) * (num + den) >= both * num) & (np.bitwise_count(odd[4][x] ^ odd[4][y]).astype(np.int64) * (num + den) <= most)
+    long = np.flatnonzero(ok & (size[x] >= LONG) & (size[y] >= LONG))
+    apart = sum(np.bitwise_count(odd[i][x[long]] ^ odd[i][y[long]]).astype(np.int64) for i in range(4))
+    ok[long] = apart * (num + den) <= most[long]
+    return ok | (size[x] >= _FULL) | (size[y] >= _FULL)
 
 
 def _proposals(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     """(xid, xpos, id, pos, word, more): for each line of a prefix word its earlier partners that pass the filters,
     AT_FIRST of them at most; more: whether there were others. Rows of a word come sorted and are met a lag at a time."""
-    def group(word, ids, pos, size, place, sketch) -> pa.RecordBatch:
+    def group(word, ids, pos, size, place, *odd) -> pa.RecordBatch:
+        odd = [*odd, odd[0] ^ odd[1] ^ odd[2] ^ odd[3]]
         new = np.concatenate([[True], word[1:] != word[:-1]])
         depth = np.arange(len(word)) - np.flatnonzero(new)[np.cumsum(new) - 1]  # earlier rows of the same word
         found = np.zeros(len(word), np.int64)
@@ -159,7 +169,7 @@ def _proposals(prefixes: DataFrame, num: int, den: int) -> DataFrame:
         j = 0
         while len(active):
             x = active - depth[active] + j
-            ok = _fits((size[x], place[x], sketch[x]), (size[active], place[active], sketch[active]), num, den) & ((ids[x] != ids[active]) | (pos[x] != pos[active]))
+            ok = _fits(size, place, odd, x, active, num, den) & ((ids[x] != ids[active]) | (pos[x] != pos[active]))
             hit, x = active[ok], x[ok]
             take = found[hit] < AT_FIRST
             left.append(x[take])
@@ -177,7 +187,7 @@ def _proposals(prefixes: DataFrame, num: int, den: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             meta = batch.column(3).to_numpy().view(np.uint32).astype(np.int64)
-            held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), meta >> 16, meta & 0xFFFF, batch.column(4).to_numpy().view(_U)])
+            held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), meta >> 16, meta & 0xFFFF, *(batch.column(4 + i).to_numpy().view(_U) for i in range(4))])
             rows += batch.num_rows
             if rows >= 400_000 and held[-1][0][0] != held[-1][0][-1]:  # all but the last word are complete
                 columns = [np.concatenate(c) for c in zip(*held)]
@@ -188,7 +198,7 @@ def _proposals(prefixes: DataFrame, num: int, den: int) -> DataFrame:
             yield group(*(np.concatenate(c) for c in zip(*held)))
 
     n = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefixes.select("word", "id", "pos", "meta", "sketch").repartition(n, "word").sortWithinPartitions("word", "id", "pos")
+    dealt = prefixes.select("word", "id", "pos", "meta", *_ODD).repartition(n, "word").sortWithinPartitions("word", "id", "pos")
     return dealt.mapInArrow(run, "xid long, xpos int, id long, pos int, word int, more boolean")
 
 
@@ -249,13 +259,16 @@ def later_lines(docs: DataFrame, num: int = 8, den: int = 10) -> tuple[DataFrame
     crowded = materialize(crowded.join(_small(gone), ["id", "pos"], "left_anti"), "lines-crowded")
     if crowded.limit(1).count():
         size, place = F.shiftrightunsigned("meta", 16), F.col("meta").bitwiseAND(_FULL)
-        full = prefixes.select("word", "id", "pos", size.alias("size"), place.alias("place"), "sketch")
+        full = prefixes.select("word", "id", "pos", size.alias("size"), place.alias("place"), *_ODD)
         y = full.join(_small(crowded), ["word", "id", "pos"], "left_semi")
         words = materialize(crowded.select("word").distinct(), "lines-words")
-        x = full.join(_small(words), "word", "left_semi").select("word", *(F.col(c).alias(f"x{c}") for c in ("id", "pos", "size", "place", "sketch")))
+        x = full.join(_small(words), "word", "left_semi").select("word", *(F.col(c).alias(f"x{c}") for c in ("id", "pos", "size", "place", *_ODD)))
         both = F.col("size") + F.col("xsize")
         room = F.least(F.col("size") - F.col("place"), F.col("xsize") - F.col("xplace")) * (num + den) >= both * num
-        near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("xsketch"))) * (num + den) <= both * (den - num)
+        each = [F.col(c).bitwiseXOR(F.col(f"x{c}")) for c in _ODD]
+        four = sum((F.bit_count(e) for e in each[1:]), F.bit_count(each[0]))
+        one = F.bit_count(each[0].bitwiseXOR(each[1]).bitwiseXOR(each[2]).bitwiseXOR(each[3]))
+        near = F.when(F.least("size", "xsize") >= LONG, four).otherwise(one) * (num + den) <= both * (den - num)
         fits = (room & near) | (F.greatest("size", "xsize") >= _FULL)
         more = y.join(x, "word").filter("xid < id or xid = id and xpos < pos").filter(fits).select("xid", "xpos", "id", "pos").distinct()
         more = materialize(more.join(pairs, ["xid", "xpos", "id", "pos"], "left_anti"), "lines-more")

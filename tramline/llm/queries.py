@@ -12,7 +12,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.jaccard_join import jaccard_components
 
-    return jaccard_components(_docs(spark, sf_dir), q=3, num=90, den=100, label="op2").select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(_docs(spark, sf_dir), q=3, num=90, den=100, n2=3, label="op2").select("doc_id", "n_shingles", "component_id")
 
 
 #: Target weights of the mixing query and stage.
@@ -145,7 +145,7 @@ SELECT doc_id, domain, lang, source, n AS n_tokens, share::BIGINT AS leaf_budget
 ORACLES["op7_line_dedup"] = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
-w AS (SELECT doc_id, pos, doc_id * 1000000 + pos AS id, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l),
+w AS (SELECT doc_id, pos, doc_id * 1000000 + pos AS id, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM l),
 e AS (SELECT doc_id, pos, id, list_distinct(w) AS w FROM w WHERE len(w) >= 5),
 k AS (SELECT id, len(w) AS n, unnest(w) AS w FROM e),
 f AS (SELECT w, count(*) AS f FROM k GROUP BY w),
