@@ -381,6 +381,20 @@ def test_ppm_scores(docs, rows, nothing, monkeypatch):
     assert ppm.score_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 40])
+def test_ppm_scores_do_not_depend_on_the_hot_part(docs, rows, monkeypatch, most):
+    from tramline.llm import ppm
+
+    short = docs.filter("doc_id is null or doc_id not in (1003, 1004)")
+    want = collections.Counter((x.doc_id, round(x.score, 2)) for x in ppm.score_documents(short).collect())
+    monkeypatch.setattr(ppm, "MAX_CONTEXTS", most)  # most grams go through the joins
+    monkeypatch.setattr(ppm, "BROADCAST_ROWS", 100)
+    got = sorted((x.doc_id or -1, x.score) for x in ppm.score_documents(short).collect())
+    assert len(got) == sum(want.values())
+    for (i, a), (j, b) in zip(got, sorted((k[0] or -1, k[1]) for k in want.elements())):
+        assert i == j and abs(a - b) < 0.01 + 1e-5 * abs(b)
+
+
 # ---------------------------------------------------------------- lines
 
 
