@@ -33,8 +33,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents without the lines that are similar to an earlier line; n_chars follows the text.
 
     A document that loses four fifths of its characters or more to earlier documents (or earlier lines of its
-    own) is a copy of them and goes. A document that loses no line stays as it is, also if it is empty."""
-    out = dedup_lines(docs.select(*COLUMNS, F.col("text").alias("before")))
+    own) is a copy of them and goes. A document that loses no line stays as it is, also if it is empty. Lines of
+    any number of words are compared; lines without words stay."""
+    out = dedup_lines(docs.select(*COLUMNS, F.col("text").alias("before")), least=1)
     left = F.char_length(F.trim("text"))
     kept = out.filter((F.col("n_removed") == 0) | ((left > 0) & (left * 5 > F.char_length("before"))))
     return kept.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))

@@ -62,6 +62,15 @@ def test_near_copies_keep_one(spark, made):
     assert not set(ids) & {*range(300, 310), *range(400, 410)} and ids.count(602) == 1 and {*range(200), 600, 601, None} <= set(ids)
 
 
+def test_short_lines_go(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "Home page\nthe first of these texts has words of its own"), (2, "home Page\nanother one has quite different things to tell us"), (3, "home page")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {x.doc_id: x.text for x in p.drop_repeated_lines(spark, docs, "").collect()}
+    assert out == {1: rows[0][1], 2: rows[1][1].split("\n")[1]}
+
+
 def test_empty_tables_pass(spark, made):
     import corpus_pipeline as p
 

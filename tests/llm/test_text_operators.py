@@ -441,6 +441,20 @@ def test_crowded_lines(spark):
     assert got == gone
 
 
+def test_short_lines(spark):
+    """Lines of one to four words too: equal sets, and four words of a line of five."""
+    from tramline.llm.line_dedup import dedup_lines
+
+    r = random.Random(12)
+    rows = [(i, "\n".join(" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 6))) for _ in range(r.randint(1, 5)))) for i in range(60)]
+    rows += [(100, "v w x y z\nv w x y"), (101, "Y x w v v"), (102, "Menu"), (103, "menu\n\n")]
+    lines = sorted((i, k, frozenset(words(l))) for i, t in rows for k, l in enumerate(t.split("\n")))
+    gone = {(j, m) for (i, k, a), (j, m, b) in itertools.combinations(lines, 2) if a and b and 10 * len(a & b) >= 8 * len(a | b)}
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), least=1).collect()
+    assert {(x.doc_id, k) for x in out for k in x.removed} == gone and {(100, 1), (101, 0), (103, 0)} <= gone
+    assert {x.doc_id: x.text for x in out}[103] == "\n"
+
+
 # ---------------------------------------------------------------- licenses
 
 

@@ -26,7 +26,7 @@ from tramline.llm._common import LOWER, chunks, materialize, mix, small_batches,
 SLOTS = 1 << 16
 #: Rows of a join side that is sent to all tasks rather than shuffled.
 BROADCAST_ROWS = 2_000_000
-#: Lines of fewer words are never compared.
+#: Lines of fewer words are not compared, unless the caller names another least number.
 MIN_WORDS = 5
 #: Partners of a line that one prefix word proposes at first; the others only follow where these all fail.
 AT_FIRST = 1
@@ -70,7 +70,7 @@ def _ranks(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
-def line_sets(column: pa.Array, ranks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def line_sets(column: pa.Array, ranks: np.ndarray, least: int = MIN_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The lines with enough words, a run of texts at a time: (text, line number, bounds, words).
 
     words[bounds[i]:bounds[i + 1]] are the distinct words of line i as numbers, rarest first: the rank of the
@@ -85,7 +85,7 @@ def line_sets(column: pa.Array, ranks: np.ndarray) -> Iterator[tuple[np.ndarray,
         code = (ranks[h & _U(SLOTS - 1)] << _U(36)) | (h >> _U(28))
         at = np.append(np.searchsorted(starts, begin), len(starts))
         n = np.diff(at)
-        enough = np.flatnonzero(n >= MIN_WORDS)
+        enough = np.flatnonzero(n >= max(1, least))
         text = np.searchsorted(off, begin[enough], "right") - 1
         number = np.searchsorted(breaks, begin[enough], "right") - np.searchsorted(breaks, off[text], "right")
         for i in range(0, len(enough), 4096):
@@ -97,7 +97,7 @@ def line_sets(column: pa.Array, ranks: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield lo + text[i : i + 4096], number[i : i + 4096], bounds, key & _U((1 << 52) - 1)
 
 
-def _prefixes(rows: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFrame:
+def _prefixes(rows: DataFrame, ranks: np.ndarray, num: int, den: int, least: int) -> DataFrame:
     """(kind, word, id, pos, mark, meta, odd0 .. odd3). kind 0: a prefix word of a line, meta its size and place, and the
     parities of the line's words (a short line's in odd0, the others 0). kind 1: a line that repeats the word set of an earlier one of the same task.
 
@@ -106,7 +106,7 @@ def _prefixes(rows: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFra
         first: dict[int, tuple[int, int]] = {}
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for text, number, bounds, words in line_sets(batch.column(2), ranks):
+            for text, number, bounds, words in line_sets(batch.column(2), ranks, least):
                 if not len(text):
                     continue
                 size = np.diff(bounds)
@@ -210,7 +210,7 @@ def _parities(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where((words >> _U(6)) & _U(3) == _U(k), bit, _U(0)), bounds[:-1]) for k in range(4)], 1)
 
 
-def _later(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, num: int, den: int) -> DataFrame:
+def _later(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, num: int, den: int, least: int) -> DataFrame:
     """(id, pos, mark) of the later lines of those pairs (xid, xpos, id, pos; distinct) that reach the threshold.
 
     Longer parities than the prefixes carry leave few pairs whose words are then brought together."""
@@ -220,7 +220,7 @@ def _later(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, num: int, den:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks, lines = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [set(v) for v in batch.column(3).to_pylist()]
-            for text, number, bounds, words in line_sets(batch.column(2), ranks):
+            for text, number, bounds, words in line_sets(batch.column(2), ranks, least):
                 keep = np.array([p in lines[t] for t, p in zip(text.tolist(), number.tolist())], bool)
                 size = np.diff(bounds)
                 at = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
@@ -240,7 +240,7 @@ def _later(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, num: int, den:
     return both.filter(common * (num + den) >= (F.size("words") + F.size("xwords")) * num).select("id", "pos", "mark").distinct()
 
 
-def later_lines(docs: DataFrame, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
+def later_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(rows, gone): docs with id and mark, and (id, pos, mark) of every line with an earlier one of similarity num/den.
 
     A word first proposes few partners for a line, so the members of a large group of similar lines are not
@@ -249,11 +249,11 @@ def later_lines(docs: DataFrame, num: int = 8, den: int = 10) -> tuple[DataFrame
     small_batches(docs.sparkSession)
     rows = _keyed(docs)
     ranks = _ranks(docs)
-    table = materialize(_prefixes(rows, ranks, num, den), "lines-prefixes")
+    table = materialize(_prefixes(rows, ranks, num, den, least), "lines-prefixes")
     prefixes = table.filter("kind = 0")
     proposed = materialize(_proposals(prefixes, num, den), "lines-proposed")
     pairs = materialize(proposed.select("xid", "xpos", "id", "pos").distinct(), "lines-pairs")
-    gone = materialize(table.filter("kind = 1").select("id", "pos", "mark").union(_later(pairs, rows, ranks, num, den)).distinct(), "lines-gone")
+    gone = materialize(table.filter("kind = 1").select("id", "pos", "mark").union(_later(pairs, rows, ranks, num, den, least)).distinct(), "lines-gone")
 
     crowded = proposed.filter("more").select("id", "pos", "word").distinct()
     crowded = materialize(crowded.join(_small(gone), ["id", "pos"], "left_anti"), "lines-crowded")
@@ -272,21 +272,22 @@ def later_lines(docs: DataFrame, num: int = 8, den: int = 10) -> tuple[DataFrame
         fits = (room & near) | (F.greatest("size", "xsize") >= _FULL)
         more = y.join(x, "word").filter("xid < id or xid = id and xpos < pos").filter(fits).select("xid", "xpos", "id", "pos").distinct()
         more = materialize(more.join(pairs, ["xid", "xpos", "id", "pos"], "left_anti"), "lines-more")
-        gone = materialize(gone.union(_later(more, rows, ranks, num, den)).distinct(), "lines-gone")
+        gone = materialize(gone.union(_later(more, rows, ranks, num, den, least)).distinct(), "lines-gone")
     return rows, gone
 
 
-def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_WORDS) -> DataFrame:
     """docs with the lines gone that are similar to an earlier line; adds n_lines, n_removed, removed (their numbers).
 
     docs: doc_id, text and any further columns, which are kept. Lines end at '\\n'. Two lines are similar if
     their sets of words (A-Z lower-cased, told apart by 52 bits of a hash) have Jaccard similarity num/den or
     more. Earlier means a smaller doc_id, then a smaller line number; a null doc_id comes first. It does not
-    matter whether the earlier line goes itself. Lines of fewer than five words always stay. Null texts stay
+    matter whether the earlier line goes itself. Lines of fewer words than `least` (five, as the query's SQL has it;
+    1 compares all that have words) always stay. Null texts stay
     null with no lines; an empty text is one empty line. Rows that repeat both doc_id and text are one document
     and keep the same lines; lines at one place of different texts of one doc_id are not compared with each
     other. An empty table gives an empty result."""
-    rows, gone = later_lines(docs, num, den)
+    rows, gone = later_lines(docs, num, den, least)
     lists = gone.groupBy("id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
     out = rows.join(_small(materialize(lists, "lines-lists")), ["id", "mark"], "left")
     lines = F.split("text", "\n")
