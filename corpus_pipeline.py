@@ -42,21 +42,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by word 5-grams of Jaccard similarity 0.8 or more: the smallest doc_id.
-
-    Texts without words are no group. Of rows that repeat a doc_id one stays; a row without doc_id stays if
-    no linked row has one."""
-    found = jaccard_components(docs, q=5, num=8, den=10, label="near").select("doc_id", "component_id")
-    found = materialize(found, "near-found")
-    gone = materialize(found.filter("not doc_id <=> component_id").distinct(), "near-gone")
-    ids = gone.select("doc_id").filter("doc_id is not null")
-    stay = docs.select(*COLUMNS).join(F.broadcast(ids) if gone.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
-    again = materialize(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-again")
+    """One row of each group linked by word 5-grams of Jaccard similarity 0.8 or more: the one with the smallest doc_id,
+    then the smallest hash of its text; a row without doc_id comes after those with one.
+
+    Rows are told apart by doc_id and text, so different texts of one doc_id stay or go by themselves. Texts without
+    words are no group and stay."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("mark")).alias("key")
+    found = jaccard_components(docs.select(key.alias("doc_id"), "text"), q=5, num=8, den=10, label="near").filter("n_shingles > 0")
+    found = materialize(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("first")), "near-found")
+    gone = materialize(found.filter("key <> first").select("key").distinct(), "near-gone")
+    stay = docs.select(*COLUMNS, key).join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "key", "left_anti")
+    again = materialize(found.filter("key = first").groupBy("key").count().filter("count > 1").select("key"), "near-again")
     n = again.count()
     if not n:
-        return stay
+        return stay.drop("key")
     again = F.broadcast(again) if n <= BROADCAST_IDS else again
-    return stay.join(again, "doc_id", "left_anti").unionByName(stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return stay.join(again, "key", "left_anti").unionByName(stay.join(again, "key", "left_semi").dropDuplicates(["key"])).drop("key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,22 @@ def test_short_lines_go(spark):
     assert out == {1: rows[0][1], 2: rows[1][1].split("\n")[1]}
 
 
+def test_near_copies_are_rows(spark):
+    """Different texts of one doc_id stay or go by themselves, and rows without doc_id are copies like any others."""
+    import corpus_pipeline as p
+
+    def text(k, last=""):
+        return " ".join(f"{k}w{i}" for i in range(40)) + last
+
+    rows = [(1, text("a")), (2, text("a", " more")), (2, text("b")), (3, text("c")), (3, text("d")), (3, text("d")), (None, text("c", " more"))]
+    rows += [(None, text("e")), (None, text("e", " more")), (None, text("e")), (None, text("f")), (4, "\n"), (5, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = sorted(((x.doc_id, x.text) for x in p.keep_one_of_near_copies(spark, docs, "").collect()), key=repr)
+    rest = [x for x in out if x not in [(None, text("e")), (None, text("e", " more"))]]
+    assert len(out) - len(rest) == 1
+    assert rest == sorted([(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("f")), (4, "\n"), (5, None), (None, None)], key=repr)
+
+
 def test_empty_tables_pass(spark, made):
     import corpus_pipeline as p
 
