@@ -20,12 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options: object) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation. The files stay until the owner of the folder clears it."""
+    executor costs no recomputation. The files stay until the owner of the folder clears it.
+    options: those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tramline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

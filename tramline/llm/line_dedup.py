@@ -1,298 +1,184 @@
-"""Near-duplicate lines by an exact set-similarity join.
+"""Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its lower-cased words. Words are ordered by rarity, from a histogram of all words of
 the corpus; two lines with Jaccard similarity of num/den or more share a word among the first few of each
 (prefix filter), at places that leave room for enough common words (positional filter), and are of similar
-size (length filter). Rows of one prefix word meet in one sorted run; pairs that pass are compared exactly,
-and of a pair the later line goes.
+size (length filter). Parities of the words leave few of these pairs, which are compared exactly; of a pair
+the later line goes.
 
-Spark does the joins, shuffles and comparisons of sets; cutting texts into word sets and filtering the rows
-of a prefix word are NumPy over Arrow batches. README tells what the same join cost in SQL functions alone.
+Lines of one word set are one line from the start. Before all pairs of a prefix word meet, each line meets
+the earliest line that shares one of a few of its prefix words: most members of a large group of similar
+lines go there, and only lines that are still open are looked up among all others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm._common import LOWER, chunks, materialize, mix, small_batches, utf8, word_hashes, word_spans
+from tramline.llm._common import materialize
 
-#: Slots of the word histogram. Words that share a slot count together, which can only make a rare word look
-#: commoner: the order stays one order for all lines, so no pair is lost.
-SLOTS = 1 << 16
-#: Rows of a join side that is sent to all tasks rather than shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Slots of the word histogram, a power of two. Words that share a slot count together, which can only make a rare
+#: word look commoner: the order stays one order for all lines, so no pair is lost.
+SLOTS = 1 << 18
+#: Rows, or entries of lists, of a join side that is sent to all tasks rather than shuffled.
+BROADCAST_VALUES = 1_000_000
 #: Lines of fewer words are not compared, unless the caller names another least number.
 MIN_WORDS = 5
-#: Partners of a line that one prefix word proposes at first; the others only follow where these all fail.
-AT_FIRST = 1
-#: Sizes and places from here on share one value, with which no filter rejects a pair.
-_FULL = 0xFFFF
+#: Prefix words, least by hash, by which a line first meets one earlier line.
+FIRST_WORDS = 2
 #: Lines of so many words carry four numbers of parities, shorter ones one; more words would fill a single one.
 LONG = 96
 _ODD = [f"odd{i}" for i in range(4)]
-
-_U = np.uint64
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has been counted and is short; df must be a written table."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with what identifies them: id (doc_id, or the least number for null) and mark, a hash of the text."""
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "mark": F.xxhash64("text")})
-
-
-def _ranks(docs: DataFrame) -> np.ndarray:
-    """For each slot the rank of its count among all slots, rarest first. It has SLOTS numbers whatever the corpus
-    holds; the counts cover all words of all rows."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for _, _, part, off in chunks(*utf8(batch.column(0))):
-                low = LOWER[part]
-                starts, ends, _ = word_spans(low, off)
-                total += np.bincount((word_hashes(low, starts, ends) & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["slot", "n"])
-
-    counts = np.zeros(SLOTS, np.int64)
-    rows = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    ranks = np.empty(SLOTS, _U)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=_U)
-    return ranks
-
-
-def line_sets(column: pa.Array, ranks: np.ndarray, least: int = MIN_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The lines with enough words, a run of texts at a time: (text, line number, bounds, words).
-
-    words[bounds[i]:bounds[i + 1]] are the distinct words of line i as numbers, rarest first: the rank of the
-    slot in 16 bits, then 36 more bits of the word's hash."""
-    data, offsets = utf8(column)
-    for lo, _, part, off in chunks(data, offsets):
-        low = LOWER[part]
-        breaks = np.flatnonzero(part == 0x0A) + 1
-        begin = np.unique(np.concatenate([off[:-1], breaks]))  # an empty text begins where the next one does
-        starts, ends, _ = word_spans(low, off)
-        h = word_hashes(low, starts, ends)
-        code = (ranks[h & _U(SLOTS - 1)] << _U(36)) | (h >> _U(28))
-        at = np.append(np.searchsorted(starts, begin), len(starts))
-        n = np.diff(at)
-        enough = np.flatnonzero(n >= max(1, least))
-        text = np.searchsorted(off, begin[enough], "right") - 1
-        number = np.searchsorted(breaks, begin[enough], "right") - np.searchsorted(breaks, off[text], "right")
-        for i in range(0, len(enough), 4096):
-            some = enough[i : i + 4096]
-            line = np.repeat(np.arange(len(some), dtype=_U), n[some])
-            inside = np.repeat(at[some] - np.concatenate([[0], np.cumsum(n[some])[:-1]]), n[some]) + np.arange(n[some].sum())
-            key = np.unique((line << _U(52)) | code[inside])
-            bounds = np.searchsorted(key, np.arange(len(some) + 1, dtype=_U) << _U(52)) if len(some) < 4096 else np.append(np.searchsorted(key, np.arange(len(some), dtype=_U) << _U(52)), len(key))
-            yield lo + text[i : i + 4096], number[i : i + 4096], bounds, key & _U((1 << 52) - 1)
-
-
-def _prefixes(rows: DataFrame, ranks: np.ndarray, num: int, den: int, least: int) -> DataFrame:
-    """(kind, word, id, pos, mark, meta, odd0 .. odd3). kind 0: a prefix word of a line, meta its size and place, and the
-    parities of the line's words (a short line's in odd0, the others 0). kind 1: a line that repeats the word set of an earlier one of the same task.
-
-    Of each word set a task emits prefixes only for its first line, and again when an earlier line turns up."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[int, tuple[int, int]] = {}
-        for batch in batches:
-            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for text, number, bounds, words in line_sets(batch.column(2), ranks, least):
-                if not len(text):
-                    continue
-                size = np.diff(bounds)
-                keys = np.add.reduceat(mix(words + _U(0x5851F42D4C957F2D)), bounds[:-1]) + size.astype(_U)
-                fresh, gone = np.zeros(len(size), bool), []
-                for i, (k, d, p, m) in enumerate(zip(keys.tolist(), ids[text].tolist(), number.tolist(), marks[text].tolist())):
-                    was = first.get(k)
-                    if was is None or (d, p) < was[:2]:
-                        fresh[i] = True
-                        first[k] = (d, p, m)
-                        if was is not None:
-                            gone.append(was)
-                    elif (d, p) > was[:2]:
-                        gone.append((d, p, m))
-                at = np.flatnonzero(fresh)
-                many = size[at] - (-(-size[at] * num // den)) + 1
-                line = np.repeat(at, many)
-                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                code = words[bounds[line] + place]
-                odd = _parities(words, bounds)
-                short = size < LONG
-                odd[short, 0] = np.bitwise_xor.reduce(odd[short], 1)
-                odd[short, 1:] = 0
-                word = ((code ^ (code >> _U(32))) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                meta = (np.minimum(size[line], _FULL) << 16 | np.minimum(place, _FULL)).astype(np.uint32).view(np.int32)
-                g = np.array([x[:3] for x in gone], np.int64).reshape(-1, 3)
-                zero = np.zeros(len(g), np.int32)
-                both = lambda a, b, kind: pa.array(np.concatenate([a, b]).astype(kind))
-                yield pa.RecordBatch.from_arrays([
-                    both(np.zeros(len(line)), zero + 1, np.int32), both(word, zero, np.int32), both(ids[text[line]], g[:, 0], np.int64), both(number[line], g[:, 1], np.int32),
-                    both(marks[text[line]], g[:, 2], np.int64), both(meta, zero, np.int32), *(both(odd[line, i].view(np.int64), zero, np.int64) for i in range(4)),
-                ], names=["kind", "word", "id", "pos", "mark", "meta", *_ODD])
-
-    return rows.select("id", "mark", "text").mapInArrow(run, "kind int, word int, id long, pos int, mark long, meta int, odd0 long, odd1 long, odd2 long, odd3 long")
-
-
-def _fits(size: np.ndarray, place: np.ndarray, odd: list[np.ndarray], x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Length, positional and parity filter of the rows x and y that share a prefix word. odd: the four parities, and
-    their exclusive or."""
-    both = size[x] + size[y]
-    most = both * (den - num)
-    ok = (np.minimum(size[x] - place[x], size[y] - place[y]) * (num + den) >= both * num) & (np.bitwise_count(odd[4][x] ^ odd[4][y]).astype(np.int64) * (num + den) <= most)
-    long = np.flatnonzero(ok & (size[x] >= LONG) & (size[y] >= LONG))
-    apart = sum(np.bitwise_count(odd[i][x[long]] ^ odd[i][y[long]]).astype(np.int64) for i in range(4))
-    ok[long] = apart * (num + den) <= most[long]
-    return ok | (size[x] >= _FULL) | (size[y] >= _FULL)
-
-
-def _proposals(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """(xid, xpos, id, pos, word, more): for each line of a prefix word its earlier partners that pass the filters,
-    AT_FIRST of them at most; more: whether there were others. Rows of a word come sorted and are met a lag at a time."""
-    def group(word, ids, pos, size, place, *odd) -> pa.RecordBatch:
-        odd = [*odd, odd[0] ^ odd[1] ^ odd[2] ^ odd[3]]
-        new = np.concatenate([[True], word[1:] != word[:-1]])
-        depth = np.arange(len(word)) - np.flatnonzero(new)[np.cumsum(new) - 1]  # earlier rows of the same word
-        found = np.zeros(len(word), np.int64)
-        left, right = [], []
-        # The earliest partner first: row j of a group for all rows of the group after it.
-        active = np.flatnonzero(depth > 0)
-        j = 0
-        while len(active):
-            x = active - depth[active] + j
-            ok = _fits(size, place, odd, x, active, num, den) & ((ids[x] != ids[active]) | (pos[x] != pos[active]))
-            hit, x = active[ok], x[ok]
-            take = found[hit] < AT_FIRST
-            left.append(x[take])
-            right.append(hit[take])
-            found[hit] += 1
-            j += 1
-            active = active[(depth[active] > j) & (found[active] <= AT_FIRST)]
-        x, y = (np.concatenate(a) if a else np.zeros(0, np.int64) for a in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(pos[x]), pa.array(ids[y]), pa.array(pos[y]), pa.array(word[y]), pa.array(found[y] > AT_FIRST)], names=["xid", "xpos", "id", "pos", "word", "more"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            meta = batch.column(3).to_numpy().view(np.uint32).astype(np.int64)
-            held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), meta >> 16, meta & 0xFFFF, *(batch.column(4 + i).to_numpy().view(_U) for i in range(4))])
-            rows += batch.num_rows
-            if rows >= 400_000 and held[-1][0][0] != held[-1][0][-1]:  # all but the last word are complete
-                columns = [np.concatenate(c) for c in zip(*held)]
-                cut = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1
-                yield group(*(c[:cut] for c in columns))
-                held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
-        if held:
-            yield group(*(np.concatenate(c) for c in zip(*held)))
-
-    n = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefixes.select("word", "id", "pos", "meta", *_ODD).repartition(n, "word").sortWithinPartitions("word", "id", "pos")
-    return dealt.mapInArrow(run, "xid long, xpos int, id long, pos int, word int, more boolean")
-
-
-def _parities(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """256 parities of each line's words, as four numbers a line."""
-    if len(bounds) < 2:
-        return np.zeros((0, 4), _U)
-    bit = _U(1) << (words & _U(63))
-    return np.stack([np.bitwise_xor.reduceat(np.where((words >> _U(6)) & _U(3) == _U(k), bit, _U(0)), bounds[:-1]) for k in range(4)], 1)
-
-
-def _later(pairs: DataFrame, rows: DataFrame, ranks: np.ndarray, num: int, den: int, least: int) -> DataFrame:
-    """(id, pos, mark) of the later lines of those pairs (xid, xpos, id, pos; distinct) that reach the threshold.
-
-    Longer parities than the prefixes carry leave few pairs whose words are then brought together."""
-    wanted = pairs.select("id", "pos").union(pairs.select("xid", "xpos")).groupBy("id").agg(F.collect_set("pos").alias("lines"))
-    some = rows.select("id", "mark", "text").join(_small(materialize(wanted, "lines-wanted")), "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, marks, lines = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [set(v) for v in batch.column(3).to_pylist()]
-            for text, number, bounds, words in line_sets(batch.column(2), ranks, least):
-                keep = np.array([p in lines[t] for t, p in zip(text.tolist(), number.tolist())], bool)
-                size = np.diff(bounds)
-                at = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(at), pa.array(words[np.repeat(keep, size)].view(np.int64)))
-                at = np.arange(0, 4 * keep.sum() + 1, 4, dtype=np.int32)
-                odd = pa.ListArray.from_arrays(pa.array(at), pa.array(_parities(words, bounds)[keep].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text[keep]]), pa.array(number[keep].astype(np.int32)), pa.array(marks[text[keep]]), pa.array(size[keep]), odd, sets], names=["id", "pos", "mark", "size", "parity", "words"])
-
-    sets = materialize(some.mapInArrow(run, "id long, pos int, mark long, size long, parity array<long>, words array<long>"), "lines-sets")
-    left = sets.select(F.col("id").alias("xid"), F.col("pos").alias("xpos"), F.col("size").alias("xsize"), F.col("parity").alias("xparity"))
-    near = pairs.join(sets.drop("words", "mark"), ["id", "pos"]).join(left, ["xid", "xpos"])
-    apart = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("xparity", F.lit(i)))) for i in range(4)), F.lit(0))
-    near = near.filter(apart * (den + num) <= (F.col("size") + F.col("xsize")) * (den - num)).select("xid", "xpos", "id", "pos").distinct()
-    left = sets.select(F.col("id").alias("xid"), F.col("pos").alias("xpos"), F.col("words").alias("xwords"))
-    both = near.join(sets.drop("parity", "size"), ["id", "pos"]).join(left, ["xid", "xpos"])
-    common = F.size(F.array_intersect("words", "xwords"))
-    return both.filter(common * (num + den) >= (F.size("words") + F.size("xwords")) * num).select("id", "pos", "mark").distinct()
-
-
-def later_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(rows, gone): docs with id and mark, and (id, pos, mark) of every line with an earlier one of similarity num/den.
-
-    A word first proposes few partners for a line, so the members of a large group of similar lines are not
-    all paired with each other. A line that is still there after those were compared, and had more, is then
-    compared with all its partners."""
-    small_batches(docs.sparkSession)
-    rows = _keyed(docs)
-    ranks = _ranks(docs)
-    table = materialize(_prefixes(rows, ranks, num, den, least), "lines-prefixes")
-    prefixes = table.filter("kind = 0")
-    proposed = materialize(_proposals(prefixes, num, den), "lines-proposed")
-    pairs = materialize(proposed.select("xid", "xpos", "id", "pos").distinct(), "lines-pairs")
-    gone = materialize(table.filter("kind = 1").select("id", "pos", "mark").union(_later(pairs, rows, ranks, num, den, least)).distinct(), "lines-gone")
-
-    crowded = proposed.filter("more").select("id", "pos", "word").distinct()
-    crowded = materialize(crowded.join(_small(gone), ["id", "pos"], "left_anti"), "lines-crowded")
-    if crowded.limit(1).count():
-        size, place = F.shiftrightunsigned("meta", 16), F.col("meta").bitwiseAND(_FULL)
-        full = prefixes.select("word", "id", "pos", size.alias("size"), place.alias("place"), *_ODD)
-        y = full.join(_small(crowded), ["word", "id", "pos"], "left_semi")
-        words = materialize(crowded.select("word").distinct(), "lines-words")
-        x = full.join(_small(words), "word", "left_semi").select("word", *(F.col(c).alias(f"x{c}") for c in ("id", "pos", "size", "place", *_ODD)))
-        both = F.col("size") + F.col("xsize")
-        room = F.least(F.col("size") - F.col("place"), F.col("xsize") - F.col("xplace")) * (num + den) >= both * num
-        each = [F.col(c).bitwiseXOR(F.col(f"x{c}")) for c in _ODD]
-        four = sum((F.bit_count(e) for e in each[1:]), F.bit_count(each[0]))
-        one = F.bit_count(each[0].bitwiseXOR(each[1]).bitwiseXOR(each[2]).bitwiseXOR(each[3]))
-        near = F.when(F.least("size", "xsize") >= LONG, four).otherwise(one) * (num + den) <= both * (den - num)
-        fits = (room & near) | (F.greatest("size", "xsize") >= _FULL)
-        more = y.join(x, "word").filter("xid < id or xid = id and xpos < pos").filter(fits).select("xid", "xpos", "id", "pos").distinct()
-        more = materialize(more.join(pairs, ["xid", "xpos", "id", "pos"], "left_anti"), "lines-more")
-        gone = materialize(gone.union(_later(more, rows, ranks, num, den, least)).distinct(), "lines-gone")
-    return rows, gone
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _small(df: DataFrame, values: str = "1") -> DataFrame:
+    """df, marked for broadcast if its values were counted and are few; df must be a written table."""
+    return F.broadcast(df) if (df.agg(F.sum(F.expr(values))).first()[0] or 0) <= BROADCAST_VALUES else df
+
+
+def _keyed() -> list[Column]:
+    """What tells rows apart: id is doc_id, or the least number for null; mark is a hash of the text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("mark")]
+
+
+def _bit(word: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(63).cast("int"))
+
+
+def _parities(words: str) -> dict[str, Column]:
+    """odd0 .. odd3: 256 parities of the words, each word in one of four numbers; of a short line only odd0, with the 64
+    that these fold to. Every word that only one of two lines has flips one bit."""
+    every = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(_bit(w)))
+    some = lambda k: F.aggregate(words, F.lit(0).cast("long"), lambda a, w: F.when(F.shiftright(w, 6).bitwiseAND(3) == k, a.bitwiseXOR(_bit(w))).otherwise(a))
+    return {"odd0": every, **{f"odd{k}": F.when(F.size(words) >= LONG, some(k)) for k in (1, 2, 3)}}
+
+
+def line_sets(docs: DataFrame) -> DataFrame:
+    """(id, mark, pos, n, words, key, odd0 .. odd3) of every line of docs (doc_id, text) that has words: n words, of which
+    words are the distinct ones' hashes, in order; key stands for the set."""
+    text = F.translate("text", _UPPER + "\t\x0b\f\r", _LOWER + "    ")
+    lines = docs.select(*_keyed(), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    hashes = F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    words = lines.select("id", "mark", "pos", hashes.alias("h"))
+    words = words.select("id", "mark", "pos", F.size("h").alias("n"), F.sort_array(F.array_distinct("h")).alias("words"))
+    return words.withColumns({"key": F.xxhash64("words"), **_parities("words")})
+
+
+def rarity(lines: DataFrame, slots: int = SLOTS) -> Column:
+    """For each slot a class of its count over the words of all lines, rarer words first. It has `slots` small numbers
+    whatever the corpus holds, and is a constant of the plans it is used in."""
+    counts = lines.select(F.explode("words").alias("h")).groupBy(F.col("h").bitwiseAND(slots - 1).alias("slot")).count()
+    classes = counts.select("slot", F.floor(F.log2("count") * 3 + 1).cast("int").alias("c"))
+    every = lines.sparkSession.range(slots).select(F.col("id").alias("slot")).join(classes, "slot", "left").select("slot", F.coalesce("c", F.lit(0)).alias("c"))
+    packed = every.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("slot", "c"))), lambda e: e["c"])).alias("j")).first()[0]
+    return F.from_json(F.lit(packed), "array<int>")
+
+
+def prefix(words: str, classes: Column, num: int, den: int, slots: int = SLOTS) -> Column:
+    """32 bits of each prefix word: the words are put in order, rarest first, by the class of their slot, then their hash."""
+    code = F.transform(words, lambda x: F.shiftleft(F.coalesce(F.get(classes, x.bitwiseAND(slots - 1).cast("int")), F.lit(0)).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(F.coalesce(x, F.lit(0)), 12)))
+    size = F.size(words)
+    some = F.slice(F.sort_array(code), 1, size - F.ceil(size * F.lit(num) / den).cast("int") + 1)
+    return F.transform(some, lambda w: w.bitwiseXOR(F.shiftrightunsigned(w, 21)).bitwiseAND(0x7FFFFFFF).cast("int"))
+
+
+def _fits(num: int, den: int, places: bool) -> Column:
+    """Whether line x<...> may be similar to line y<...>: length, positional (with places) and parity filter."""
+    both = F.col("xsize") + F.col("ysize")
+    ok = F.least("xsize", "ysize") * den >= F.greatest("xsize", "ysize") * num
+    if places:
+        ok = ok & (F.least(F.col("xsize") - F.col("xplace"), F.col("ysize") - F.col("yplace")) * (num + den) >= both * num)
+    apart = [F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}")) for c in _ODD]
+    own = apart[0].bitwiseXOR(apart[1]).bitwiseXOR(apart[2]).bitwiseXOR(apart[3])  # odd0 holds the other three as well
+    four = sum((F.bit_count(a) for a in apart[1:]), F.bit_count(own))
+    return ok & (F.bit_count(apart[0]) * (num + den) <= both * (den - num)) & ((F.least("xsize", "ysize") < LONG) | (four * (num + den) <= both * (den - num)))
+
+
+def _first_pairs(lines: DataFrame, num: int, den: int) -> DataFrame:
+    """Each line and the earliest one with which it shares a word that is among the FIRST_WORDS least ones, by hash, of both
+    prefixes; of these pairs those that may be similar: (x, y)."""
+    line = ["id", "pos", "key", "size", *_ODD]
+    rows = lines.select(F.explode(F.slice(F.sort_array("prefix"), 1, FIRST_WORDS)).alias("word"), *line)
+    hubs = rows.groupBy("word").agg(F.min(F.struct(*line)).alias("x"), F.count("*").alias("n")).filter("n > 1")
+    both = rows.select("word", *(F.col(c).alias(f"y{c}") for c in line)).join(hubs.select("word", *(F.col(f"x.{c}").alias(f"x{c}") for c in line)), "word")
+    return both.filter("xkey <> ykey").filter(_fits(num, den, False)).select(F.col("xkey").alias("x"), F.col("ykey").alias("y"))
+
+
+def _all_pairs(lines: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of lines, one of them open, that share a prefix word and may be similar.
+
+    x is the smaller line, of whose prefix fewer words are enough. Both sides are dealt by word and a band of sizes that
+    doubles; x also goes to the next band where partners may lie there."""
+    size = F.col("size")
+    own, top = (F.floor(F.log2(n + 0.5)).cast("int") for n in (size, F.expr(f"size * {den} div {num}")))
+    few = size - F.ceil(size * F.lit(2 * num) / (num + den)).cast("int") + 1
+    meta = F.shiftleft(size.cast("long"), 32).bitwiseOR(F.shiftleft("place", 1)).bitwiseOR(F.col("open").cast("int"))  # fewer columns to shuffle
+    small = lines.select(F.explode(F.sequence(own, top)).alias("band"), F.slice("prefix", 1, few).alias("prefix"), "key", "size", "open", *_ODD)
+    x, y = (
+        d.select(F.posexplode("prefix").alias("place", "word"), "band", "key", "size", "open", *_ODD).select(F.hash("word", "band").alias("dealt"), F.col("key").alias(s), meta.alias(f"{s}meta"), *(F.col(c).alias(s + c) for c in _ODD))
+        for s, d in (("x", small), ("y", lines.withColumn("band", own)))
+    )
+    both = x.join(y, "dealt").filter(F.col("xmeta").bitwiseOR(F.col("ymeta")).bitwiseAND(1) == 1)
+    for s in "xy":
+        both = both.withColumns({f"{s}size": F.shiftright(f"{s}meta", 32), f"{s}place": F.shiftright(f"{s}meta", 1).bitwiseAND(0x7FFFFFFF)})
+    return both.filter("xsize < ysize OR xsize = ysize AND x < y").filter(_fits(num, den, True)).select("x", "y")
+
+
+def _later(pairs: DataFrame, lines: DataFrame, unique: DataFrame, num: int, den: int) -> DataFrame:
+    """The keys of the later lines of those pairs (x, y; distinct) whose word sets reach the threshold."""
+    ends = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
+    wanted = materialize(unique.select("key", "id", "pos", "mark").join(_small(materialize(ends, "lines-ends")), "key"), "lines-wanted")
+    sets = materialize(lines.select("id", "pos", "mark", "words").join(_small(wanted), ["id", "pos", "mark"]).select("key", "id", "pos", "words"), "lines-sets")
+    joined = pairs
+    for s in "xy":
+        joined = joined.join(sets.select(F.col("key").alias(s), F.struct("id", "pos").alias(f"{s}at"), F.col("words").alias(f"{s}words")), s)
+    common = F.size(F.array_intersect("xwords", "ywords"))
+    found = joined.filter(common * (num + den) >= (F.size("xwords") + F.size("ywords")) * num)
+    return found.filter("xat <> yat").select(F.when(F.col("xat") < F.col("yat"), F.col("y")).otherwise(F.col("x")).alias("key")).distinct()
+
+
+def later_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_WORDS) -> DataFrame:
+    """(id, pos, mark) of every line with an earlier one of similarity num/den: id and mark tell the rows of docs, pos
+    is the line's number."""
+    lines = materialize(line_sets(docs), "lines-words", **{"parquet.dictionary.page.size": 16 << 20}).filter(F.col("n") >= max(1, least))
+    classes = rarity(lines)
+    sized = lines.select("key", "id", "pos", "mark", F.size("words").alias("size"), prefix("words", classes, num, den).alias("prefix"), *_ODD)
+    whole = [F.first(c).alias(c) for c in ("size", "prefix", *_ODD)]  # the same for all lines of a word set
+    unique = sized.groupBy("key").agg(F.min(F.struct("id", "pos", "mark")).alias("f"), F.count("*").alias("copies"), *whole)
+    unique = materialize(unique.select("key", "f.*", "copies", "size", "prefix", *_ODD), "lines-unique")
+
+    copied = materialize(unique.filter("copies > 1").select("key", F.struct("id", "pos").alias("first")), "lines-copied")
+    again = lines.select("key", "id", "pos", "mark").join(_small(copied), "key").filter(F.struct("id", "pos") > F.col("first")).select("id", "pos", "mark")
+    pairs = materialize(_first_pairs(unique, num, den).distinct(), "lines-first")
+    near = materialize(_later(pairs, lines, unique, num, den), "lines-near")
+
+    rest = unique.join(_small(near).withColumn("open", F.lit(False)), "key", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    pairs = materialize(_all_pairs(rest, num, den).distinct(), "lines-pairs")
+    near = materialize(near.union(_later(pairs, lines, unique, num, den)).distinct(), "lines-gone")
+    return again.union(unique.join(_small(near), "key", "left_semi").select("id", "pos", "mark")).distinct()
 
 
 def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_WORDS) -> DataFrame:
     """docs with the lines gone that are similar to an earlier line; adds n_lines, n_removed, removed (their numbers).
 
-    docs: doc_id, text and any further columns, which are kept. Lines end at '\\n'. Two lines are similar if
-    their sets of words (A-Z lower-cased, told apart by 52 bits of a hash) have Jaccard similarity num/den or
+    docs: doc_id, text and any further columns, which are kept whatever their names (but for those three, which
+    are replaced). Lines end at '\\n'. Two lines are similar if
+    their sets of words (A-Z lower-cased, told apart by 64 bits of a hash) have Jaccard similarity num/den or
     more. Earlier means a smaller doc_id, then a smaller line number; a null doc_id comes first. It does not
     matter whether the earlier line goes itself. Lines of fewer words than `least` (five, as the query's SQL has it;
     1 compares all that have words) always stay. Null texts stay
     null with no lines; an empty text is one empty line. Rows that repeat both doc_id and text are one document
     and keep the same lines; lines at one place of different texts of one doc_id are not compared with each
     other. An empty table gives an empty result."""
-    rows, gone = later_lines(docs, num, den, least)
-    lists = gone.groupBy("id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
-    out = rows.join(_small(materialize(lists, "lines-lists")), ["id", "mark"], "left")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    gone = later_lines(docs, num, den, least)
+    lists = materialize(gone.groupBy("id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "lines-lists")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text")
-    n_lines = F.coalesce(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0))
-    return out.select(*[text if c == "text" else F.col(c) for c in names], n_lines.cast("long").alias("n_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
+    rows = docs.select(F.struct(*names).alias("row"), *_keyed())
+    out = rows.join(_small(lists, "size(gone)"), ["id", "mark"], "left")
+    text, gone_ = F.col("row.text"), F.col("gone")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone_, i)), "\n")
+    n_lines = F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"))) + 1, F.lit(0))
+    kept = [F.when(gone_.isNull(), text).otherwise(left).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names]
+    return out.select(*kept, n_lines.cast("long").alias("n_lines"), F.coalesce(F.array_size(gone_), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(gone_, F.array().cast("array<int>")).alias("removed"))
