@@ -27,9 +27,9 @@ BROADCAST_VALUES = 1_000_000
 MIN_WORDS = 5
 #: Prefix words, least by hash, by which a line first meets one earlier line.
 FIRST_WORDS = 2
-#: Lines of so many words carry four numbers of parities, shorter ones one; more words would fill a single one.
+#: Lines of so many words carry two numbers of parities, shorter ones one; more words would fill a single one.
 LONG = 96
-_ODD = [f"odd{i}" for i in range(4)]
+_ODD = ["odd0", "odd1"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,15 +48,15 @@ def _bit(word: Column) -> Column:
 
 
 def _parities(words: str) -> dict[str, Column]:
-    """odd0 .. odd3: 256 parities of the words, each word in one of four numbers; of a short line only odd0, with the 64
-    that these fold to. Every word that only one of two lines has flips one bit."""
+    """odd0: 64 parities of the words; odd1: the same of half of them, for long lines. Every word that only one of two
+    lines has flips one bit of odd0, and one of 128 if odd1 is taken apart from it."""
     every = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(_bit(w)))
-    some = lambda k: F.aggregate(words, F.lit(0).cast("long"), lambda a, w: F.when(F.shiftright(w, 6).bitwiseAND(3) == k, a.bitwiseXOR(_bit(w))).otherwise(a))
-    return {"odd0": every, **{f"odd{k}": F.when(F.size(words) >= LONG, some(k)) for k in (1, 2, 3)}}
+    half = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: F.when(w.bitwiseAND(64) == 0, a.bitwiseXOR(_bit(w))).otherwise(a))
+    return {"odd0": every, "odd1": F.when(F.size(words) >= LONG, half)}
 
 
 def line_sets(docs: DataFrame) -> DataFrame:
-    """(id, mark, pos, n, words, key, odd0 .. odd3) of every line of docs (doc_id, text) that has words: n words, of which
+    """(id, mark, pos, n, words, key, odd0, odd1) of every line of docs (doc_id, text) that has words: n words, of which
     words are the distinct ones' hashes, in order; key stands for the set."""
     text = F.translate("text", _UPPER + "\t\x0b\f\r", _LOWER + "    ")
     lines = docs.select(*_keyed(), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
@@ -90,53 +90,45 @@ def _fits(num: int, den: int, places: bool) -> Column:
     ok = F.least("xsize", "ysize") * den >= F.greatest("xsize", "ysize") * num
     if places:
         ok = ok & (F.least(F.col("xsize") - F.col("xplace"), F.col("ysize") - F.col("yplace")) * (num + den) >= both * num)
-    apart = [F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}")) for c in _ODD]
-    own = apart[0].bitwiseXOR(apart[1]).bitwiseXOR(apart[2]).bitwiseXOR(apart[3])  # odd0 holds the other three as well
-    four = sum((F.bit_count(a) for a in apart[1:]), F.bit_count(own))
-    return ok & (F.bit_count(apart[0]) * (num + den) <= both * (den - num)) & ((F.least("xsize", "ysize") < LONG) | (four * (num + den) <= both * (den - num)))
+    every, half = (F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}")) for c in _ODD)
+    two = F.bit_count(half) + F.bit_count(every.bitwiseXOR(half))
+    return ok & (F.bit_count(every) * (num + den) <= both * (den - num)) & ((F.least("xsize", "ysize") < LONG) | (two * (num + den) <= both * (den - num)))
 
 
 def _first_pairs(lines: DataFrame, num: int, den: int) -> DataFrame:
     """Each line and the earliest one with which it shares a word that is among the FIRST_WORDS least ones, by hash, of both
     prefixes; of these pairs those that may be similar: (x, y)."""
-    line = ["id", "pos", "key", "size", *_ODD]
+    line = ["id", "pos", "line", "size", *_ODD]
     rows = lines.select(F.explode(F.slice(F.sort_array("prefix"), 1, FIRST_WORDS)).alias("word"), *line)
     hubs = rows.groupBy("word").agg(F.min(F.struct(*line)).alias("x"), F.count("*").alias("n")).filter("n > 1")
     both = rows.select("word", *(F.col(c).alias(f"y{c}") for c in line)).join(hubs.select("word", *(F.col(f"x.{c}").alias(f"x{c}") for c in line)), "word")
-    return both.filter("xkey <> ykey").filter(_fits(num, den, False)).select(F.col("xkey").alias("x"), F.col("ykey").alias("y"))
+    return both.filter("xline <> yline").filter(_fits(num, den, False)).select(F.col("xline").alias("x"), F.col("yline").alias("y"))
 
 
 def _all_pairs(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y) of lines, one of them open, that share a prefix word and may be similar.
-
-    x is the smaller line, of whose prefix fewer words are enough. Both sides are dealt by word and a band of sizes that
-    doubles; x also goes to the next band where partners may lie there."""
-    size = F.col("size")
-    own, top = (F.floor(F.log2(n + 0.5)).cast("int") for n in (size, F.expr(f"size * {den} div {num}")))
-    few = size - F.ceil(size * F.lit(2 * num) / (num + den)).cast("int") + 1
-    meta = F.shiftleft(size.cast("long"), 32).bitwiseOR(F.shiftleft("place", 1)).bitwiseOR(F.col("open").cast("int"))  # fewer columns to shuffle
-    small = lines.select(F.explode(F.sequence(own, top)).alias("band"), F.slice("prefix", 1, few).alias("prefix"), "key", "size", "open", *_ODD)
-    x, y = (
-        d.select(F.posexplode("prefix").alias("place", "word"), "band", "key", "size", "open", *_ODD).select(F.hash("word", "band").alias("dealt"), F.col("key").alias(s), meta.alias(f"{s}meta"), *(F.col(c).alias(s + c) for c in _ODD))
-        for s, d in (("x", small), ("y", lines.withColumn("band", own)))
-    )
-    both = x.join(y, "dealt").filter(F.col("xmeta").bitwiseOR(F.col("ymeta")).bitwiseAND(1) == 1)
+    """Pairs (x, y) of lines, one of them open, that share a prefix word and may be similar. Both sides of the join are the
+    same rows, which are shuffled once."""
+    rows = lines.select(F.posexplode("prefix").alias("place", "word"), "line", "size", "open", *_ODD)
+    meta = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.shiftleft("place", 1)).bitwiseOR(F.col("open").cast("int"))  # fewer columns to shuffle
+    x, y = (rows.select("word", F.col("line").alias(s), meta.alias(f"{s}meta"), *(F.col(c).alias(s + c) for c in _ODD)) for s in "xy")
+    both = x.join(y.withColumnRenamed("word", "same"), F.col("word") == F.col("same"))
+    both = both.filter("x < y").filter(F.col("xmeta").bitwiseOR(F.col("ymeta")).bitwiseAND(1) == 1)
     for s in "xy":
         both = both.withColumns({f"{s}size": F.shiftright(f"{s}meta", 32), f"{s}place": F.shiftright(f"{s}meta", 1).bitwiseAND(0x7FFFFFFF)})
-    return both.filter("xsize < ysize OR xsize = ysize AND x < y").filter(_fits(num, den, True)).select("x", "y")
+    return both.filter(_fits(num, den, True)).select("x", "y")
 
 
 def _later(pairs: DataFrame, lines: DataFrame, unique: DataFrame, num: int, den: int) -> DataFrame:
-    """The keys of the later lines of those pairs (x, y; distinct) whose word sets reach the threshold."""
-    ends = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
-    wanted = materialize(unique.select("key", "id", "pos", "mark").join(_small(materialize(ends, "lines-ends")), "key"), "lines-wanted")
-    sets = materialize(lines.select("id", "pos", "mark", "words").join(_small(wanted), ["id", "pos", "mark"]).select("key", "id", "pos", "words"), "lines-sets")
+    """The later lines (line) of those pairs (x, y; distinct) whose word sets reach the threshold."""
+    ends = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct()
+    wanted = materialize(unique.select("line", "id", "pos", "mark").join(_small(materialize(ends, "lines-ends")), "line"), "lines-wanted")
+    sets = materialize(lines.select("id", "pos", "mark", "words").join(_small(wanted), ["id", "pos", "mark"]).select("line", "id", "pos", "words"), "lines-sets")
     joined = pairs
     for s in "xy":
-        joined = joined.join(sets.select(F.col("key").alias(s), F.struct("id", "pos").alias(f"{s}at"), F.col("words").alias(f"{s}words")), s)
+        joined = joined.join(sets.select(F.col("line").alias(s), F.struct("id", "pos").alias(f"{s}at"), F.col("words").alias(f"{s}words")), s)
     common = F.size(F.array_intersect("xwords", "ywords"))
     found = joined.filter(common * (num + den) >= (F.size("xwords") + F.size("ywords")) * num)
-    return found.filter("xat <> yat").select(F.when(F.col("xat") < F.col("yat"), F.col("y")).otherwise(F.col("x")).alias("key")).distinct()
+    return found.filter("xat <> yat").select(F.when(F.col("xat") < F.col("yat"), F.col("y")).otherwise(F.col("x")).alias("line")).distinct()
 
 
 def later_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_WORDS) -> DataFrame:
@@ -147,17 +139,17 @@ def later_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_W
     sized = lines.select("key", "id", "pos", "mark", F.size("words").alias("size"), prefix("words", classes, num, den).alias("prefix"), *_ODD)
     whole = [F.first(c).alias(c) for c in ("size", "prefix", *_ODD)]  # the same for all lines of a word set
     unique = sized.groupBy("key").agg(F.min(F.struct("id", "pos", "mark")).alias("f"), F.count("*").alias("copies"), *whole)
-    unique = materialize(unique.select("key", "f.*", "copies", "size", "prefix", *_ODD), "lines-unique")
+    unique = materialize(unique.select(F.monotonically_increasing_id().alias("line"), "key", "f.*", "copies", "size", "prefix", *_ODD), "lines-unique")
 
     copied = materialize(unique.filter("copies > 1").select("key", F.struct("id", "pos").alias("first")), "lines-copied")
     again = lines.select("key", "id", "pos", "mark").join(_small(copied), "key").filter(F.struct("id", "pos") > F.col("first")).select("id", "pos", "mark")
     pairs = materialize(_first_pairs(unique, num, den).distinct(), "lines-first")
     near = materialize(_later(pairs, lines, unique, num, den), "lines-near")
 
-    rest = unique.join(_small(near).withColumn("open", F.lit(False)), "key", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    rest = unique.join(_small(near).withColumn("open", F.lit(False)), "line", "left").withColumn("open", F.coalesce("open", F.lit(True)))
     pairs = materialize(_all_pairs(rest, num, den).distinct(), "lines-pairs")
     near = materialize(near.union(_later(pairs, lines, unique, num, den)).distinct(), "lines-gone")
-    return again.union(unique.join(_small(near), "key", "left_semi").select("id", "pos", "mark")).distinct()
+    return again.union(unique.join(_small(near), "line", "left_semi").select("id", "pos", "mark")).distinct()
 
 
 def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_WORDS) -> DataFrame:
