@@ -228,3 +228,26 @@ def test_shuffled_rows_change_nothing(spark):
     a = series.median_filter(series.integrate(frame(spark, t, v), K, "t", "v"), K, "t", "d", 7)
     b = series.median_filter(series.integrate(frame(spark, *zip(*rows)).repartition(7), K, "t", "v"), K, "t", "d", 7)
     assert column(a, "d") == column(b, "d")
+
+
+def test_facts_without_a_place(spark):
+    """They are nobody's neighbour, and probes without a place have none."""
+    facts = spark.createDataFrame([(1, None, 9.0), (1, 5.0, 3.0)], "k int, t double, v double")
+    probes = spark.createDataFrame([(1, 1.0), (1, 6.0), (1, None)], "k int, t double")
+    got = lambda df: {x.t: x.v for x in df.collect()}
+    assert got(asof.asof_backward(probes, facts, ["k"], "t")) == {1.0: None, 6.0: 3.0, None: None}
+    assert got(asof.interp_join(probes, facts, ["k"], "t", ["v"])) == {1.0: 3.0, 6.0: 3.0, None: None}
+    assert got(asof.asof_nearest(probes, facts, ["k"], "t")) == {1.0: 3.0, 6.0: 3.0, None: None}
+
+
+def test_match_boxes_one_to_one(spark):
+    rows = [(7, 0, 0, 0.05), (7, 0, 1, 0.01), (7, 1, 0, 0.02), (7, 1, 1, 0.03), (7, 2, 2, 0.14), (8, 0, 0, 0.1)]
+    pairs = spark.createDataFrame(rows, "pair_id long, left long, right long, distance double").repartition(5)
+    assert {tuple(x) for x in tracks.match_boxes(pairs, ["pair_id"]).collect()} == {rows[1], rows[2], rows[5]}
+
+
+def test_clean_line_by_its_median(spark):
+    """One median of the whole line, as a loop says it."""
+    line = list(range(100))
+    out = spark.createDataFrame([(line, 20.0)], "l array<int>, s double").select(arrays.clean_line("l", "s").alias("o")).first().o
+    assert [i for i, v in enumerate(out) if v != -1] == [i for i in range(100) if abs(i - 49.5) <= 20]

@@ -4,9 +4,11 @@ import os
 
 import pytest
 
-from tramline.plans import driver_queries
+from tramline.plans import driver_queries, function_queries
 
 DIR = "/root/testdata/sf0.001"
+QUERIES = driver_queries.QUERIES | function_queries.QUERIES
+ORACLES = driver_queries.ORACLES | function_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -28,15 +30,15 @@ def rows(names, found):
     return sorted((tuple(norm(r[n]) for n in names) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(driver_queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_oracle(spark, duck, name):
-    df = driver_queries.QUERIES[name](spark, DIR)
-    want = duck.sql(driver_queries.ORACLES[name])
+    df = QUERIES[name](spark, DIR)
+    want = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     names = sorted(df.columns)
     assert rows(names, df.collect()) == rows(names, [dict(zip(want.columns, r)) for r in want.fetchall()])
 
 
-@pytest.mark.parametrize("name", sorted(set(driver_queries.QUERIES) - set(driver_queries.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_oracle_runs(spark, duck, name):
-    assert driver_queries.QUERIES[name](spark, DIR).count() > 0
+    assert QUERIES[name](spark, DIR).count() > 0

@@ -64,7 +64,7 @@ def column_median(line: Column, window: int = 9) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def clean_line(lines: pd.Series, max_step: pd.Series) -> pd.Series:
-    """Lines without jumps: values too far from their running median go, gaps between kept ones are bridged,
+    """Lines without jumps: values too far from the line's median go, gaps between kept ones are bridged,
     a box of 15 smooths, and only the observed interior stays. Fewer than 8 values: unchanged."""
     def one(line, step):
         if line is None:
@@ -73,9 +73,7 @@ def clean_line(lines: pd.Series, max_step: pd.Series) -> pd.Series:
         seen = np.flatnonzero(y != -1)
         if len(seen) < 8:
             return [int(v) for v in y]
-        pad = np.pad(y[seen], 7, mode="edge")
-        middle = np.median(np.lib.stride_tricks.sliding_window_view(pad, 15), axis=1)
-        kept = seen[np.abs(y[seen] - middle) <= step]
+        kept = seen[np.abs(y[seen] - np.median(y[seen])) <= step]
         if len(kept) < 8:
             return [int(v) for v in y]
         inside = np.arange(kept[0], kept[-1] + 1)
@@ -86,3 +84,16 @@ def clean_line(lines: pd.Series, max_step: pd.Series) -> pd.Series:
         return out.tolist()
 
     return pd.Series([one(a, b) for a, b in zip(lines, max_step)])
+
+
+def on_ground(line: Column, row: Column, column: Column) -> Column:
+    """Whether a pixel (row, column from 0) lies in the ground: at or below the line of its column."""
+    y = F.get(line, column)
+    return F.coalesce((y != -1) & (row >= y), F.lit(False))
+
+
+def mask_coverage(mask: Column, low: float = 0.02, high: float = 0.98) -> Column:
+    """Share of true cells of a mask; null outside low .. high, where the mask says nothing of a silhouette."""
+    n = F.size(mask)
+    share = F.when(n > 0, F.size(F.filter(mask, lambda v: v)) / n)
+    return F.when((share > low) & (share < high), share)

@@ -41,3 +41,7 @@ def to_kmh(mps: Column) -> Column:
 
 def deg_per_metre() -> float:
     return 180.0 / (math.pi * EARTH_M)
+
+
+def frame_widths_per_second(px_per_second: Column, width: Column) -> Column:
+    return F.when(width > 0, px_per_second / width)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,15 +91,42 @@ def follow_marker(candidates: DataFrame, keys: Sequence[str], max_jump: float =
     return candidates.groupBy(*keys).applyInPandas(run, schema)
 
 
-def match_boxes(pairs: Iterator[pd.DataFrame], max_distance: float = 0.14) -> Iterator[pd.DataFrame]:
-    """mapInPandas body over frames' box pairs (pair_id, left, right, distance): greedy one-to-one, nearest first."""
-    for pdf in pairs:
-        out = []
-        for _, frame in pdf.groupby("pair_id", sort=False):
-            left, right = set(), set()
-            for row in frame.sort_values(["distance", "left", "right"], kind="stable").itertuples():
-                if row.distance < max_distance and row.left not in left and row.right not in right:
-                    left.add(row.left)
-                    right.add(row.right)
-                    out.append(row.Index)
-        yield pdf.loc[out]
+def match_boxes(pairs: DataFrame, keys: Sequence[str], max_distance: float = 0.14) -> DataFrame:
+    """The one-to-one matches among candidate pairs (keys, left, right, distance, ...): nearest first, each left and each
+    right once, none at max_distance or beyond; ties by left, then right.
+
+    keys name a frame pair, whose candidates are few; all of its rows are taken together."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, out = set(), set(), []
+        for row in pdf.sort_values(["distance", "left", "right"], kind="stable").itertuples():
+            if row.left not in left and row.right not in right:
+                left.add(row.left)
+                right.add(row.right)
+                out.append(row.Index)
+        return pdf.loc[out]
+
+    return pairs.filter(F.col("distance") < max_distance).groupBy(*keys).applyInPandas(run, pairs.schema)
+
+
+def nearest_sighting(sightings: DataFrame, track: Sequence[str], distance: str, *tie: str) -> DataFrame:
+    """The sighting of each track that is nearest; of equal ones the first by tie."""
+    return first_by(sightings, track, F.col(distance), *(F.col(t) for t in tie))
+
+
+def worst(found: DataFrame, by: str, n: int = 10, tie: Sequence[str] = ()) -> DataFrame:
+    """The n rows with the largest `by`, for a report."""
+    return found.orderBy(F.col(by).desc_nulls_last(), *tie).limit(n)
+
+
+def track_stats(strips: DataFrame, keys: Sequence[str], track: str, silhouette: Column) -> DataFrame:
+    """(keys, tracks, samples, silhouettes): how many tracks and samples, and how many samples have a silhouette."""
+    return strips.groupBy(*keys).agg(F.count_distinct(track).alias("tracks"), F.count("*").alias("samples"), F.count_if(silhouette).alias("silhouettes"))
+
+
+def labels_to_classes(df: DataFrame, label: str, mapping: Sequence[tuple[str, str]], out: str = "classes") -> DataFrame:
+    """df with the sorted classes whose keywords its label contains, lower-cased; null where no keyword fits.
+
+    mapping: (keyword, class) pairs, a fixed short list."""
+    low = F.lower(F.coalesce(F.col(label), F.lit("")))
+    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k)), F.lit(c)) for k, c in mapping)))
+    return df.withColumn(out, F.when(F.size(found) > 0, F.array_sort(F.array_distinct(found))))

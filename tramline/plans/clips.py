@@ -233,6 +233,13 @@ def counts(detections: DataFrame) -> DataFrame:
     return detections.groupBy(*K, "label").agg(F.count("*").alias("n")).orderBy(*K, F.desc("n"), "label")
 
 
+def event_counts(events: DataFrame) -> DataFrame:
+    """Events of each clip by type and source, and the mean distance from one event to the next of that kind."""
+    w = Window.partitionBy(*K, "type", "source").orderBy("time")
+    d = events.withColumn("_step", F.col("time") - F.lag("time").over(w))
+    return d.groupBy(*K, "type", "source").agg(F.count("*").alias("n"), F.avg("_step").alias("spacing"))
+
+
 def surface_summary(surfaces: DataFrame) -> DataFrame:
     """Median coverage and valid share of each clip, and frames with less than a fifth valid."""
     d = surfaces.withColumn("_v", F.coalesce(arrays.valid_fraction(F.col("run_line")), F.lit(0.0)))

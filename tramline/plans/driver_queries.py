@@ -271,10 +271,9 @@ _CLASSES = {"ring": ["round", "metal"], "red": ["bright"], "widget": ["part", "m
 @query("""WITH m(k, c) AS (VALUES ('ring', 'round'), ('ring', 'metal'), ('red', 'bright'), ('widget', 'part'), ('widget', 'metal'))
 SELECT p_partkey, string_agg(DISTINCT c, ',' ORDER BY c) AS classes FROM part JOIN m ON contains(lower(p_name), k) GROUP BY p_partkey""")
 def label_classes(spark, sf):
-    rows = spark.createDataFrame([(k, c) for k, cs in _CLASSES.items() for c in cs], "keyword string, class string")
-    p = _table(spark, sf, "part")
-    joined = p.join(F.broadcast(rows), F.contains(F.lower("p_name"), F.col("keyword")))
-    return joined.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes"))
+    pairs = [(k, c) for k, cs in _CLASSES.items() for c in cs]
+    named = tracks.labels_to_classes(_table(spark, sf, "part"), "p_name", pairs).filter("classes IS NOT NULL")
+    return named.select("p_partkey", F.array_join("classes", ",").alias("classes"))
 
 
 @query("""WITH $E, l AS (SELECT user_id, list_sort(list(value)) AS v FROM e GROUP BY 1)
