@@ -172,5 +172,9 @@ def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_W
     text, gone_ = F.col("row.text"), F.col("gone")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone_, i)), "\n")
     n_lines = F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"))) + 1, F.lit(0))
-    kept = [F.when(gone_.isNull(), text).otherwise(left).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names]
-    return out.select(*kept, n_lines.cast("long").alias("n_lines"), F.coalesce(F.array_size(gone_), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(gone_, F.array().cast("array<int>")).alias("removed"))
+    new = F.struct(
+        F.when(gone_.isNull(), text).otherwise(left).alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.array_size(gone_), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(gone_, F.array().cast("array<int>")).alias("removed"),
+    )
+    out = out.select("row", new.alias("new"))
+    return out.select(*(F.col("new" if c == "text" else "row").getField(c).alias(c) for c in names), "new.n_lines", "new.n_removed", "new.removed")
