@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tramline.llm._common import chunks, small_batches, utf8, word_spans
+from tramline.llm.license_wording import CLAUSES, SURE, WEAK
 
 #: What separates words: everything below 0x80 that is neither a letter nor a digit.
 SEPARATOR = np.ones(256, bool)
@@ -82,21 +83,6 @@ GRANTS = [
     ("published under", 90), ("provided under", 90), ("covered by", 80), ("subject to", 75), ("governed by", 75), ("under the terms of", 90),
 ]
 
-# Wording of license texts themselves, without a name.
-SENTENCES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 97),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 97),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 97),
-    ("zlib", "altered source versions must be plainly marked as such", 90),
-    ("gpl", "either version 2 of the license or at your option any later version", 90),
-    ("gpl", "either version 3 of the license or at your option any later version", 90),
-    ("unlicense", "this is free and unencumbered software released into the public domain", 97),
-    ("public-domain", "dedicated to the public domain", 85),
-    ("public-domain", "released into the public domain", 85),
-    ("all-rights-reserved", "all rights reserved", 60),
-]
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -107,8 +93,22 @@ class Rule:
     base: bool = False
 
 
+def _words(phrase: str) -> list[str]:
+    return re.findall(r"\([^)]*\)|[^\s.()]+", phrase)
+
+
 def _phrase(words: str) -> bytes:
-    return (_SEP + b"+").join(re.escape(w.encode()) for w in words.replace(".", " ").split())
+    """Expression of a phrase. (a|b) is one of several words or runs of words; a word with ? may be left out."""
+    out, sep = b"", _SEP + b"+"
+    for w in _words(words):
+        if w[0] == "(":
+            one = b"(?:" + b"|".join(_phrase(x) for x in w[1:-1].split("|")) + b")"
+            out += (sep if out else b"") + one
+        elif w[-1] == "?":
+            out += b"(?:" + sep + re.escape(w[:-1].encode()) + b")?"
+        else:
+            out += (sep if out else b"") + re.escape(w.encode())
+    return out
 
 
 def _edges(body: bytes) -> bytes:
@@ -116,13 +116,14 @@ def _edges(body: bytes) -> bytes:
 
 
 def _keyword(words: str) -> bytes:
-    """The longest word of a phrase: what its rules wait for."""
-    return max(words.replace(".", " ").split(), key=len).encode()
+    """The longest word that a phrase always has: what its rules wait for."""
+    return max((w for w in _words(words) if w[0] != "(" and w[-1] != "?"), key=len).encode()
 
 
 def build_rules() -> list[Rule]:
-    """All rules, by falling priority: license sentences, identifiers, grants, names with a version, names, base phrases."""
-    rules = [Rule(label, _keyword(text), _edges(_phrase(text)), 100, sure) for label, text, sure in SENTENCES]
+    """All rules, by falling priority: license wording, identifiers, grants, names with a version, names, base phrases."""
+    rules = [Rule(label, _keyword(text), _edges(_phrase(text)), 100, WEAK.get(label, SURE)) for label, texts in CLAUSES.items() for text in texts]
+    seen: set[tuple[str, bytes]] = set()
     sep = _SEP + b"+"
     grants = b"(?:" + b"|".join(_phrase(g) for g, _ in sorted(GRANTS, key=lambda g: -len(g[0]))) + b")"
     for label, names, versions in FAMILIES:
@@ -136,6 +137,7 @@ def build_rules() -> list[Rule]:
                 rules.append(Rule(f"{label}-{version}", key, _edges(body + sep + b"(?:version" + sep + b"|v)?" + re.escape(version.encode()) + rb"(?![.][0-9])"), 85, 95))
             rules.append(Rule(label, key, _edges(body), 60 + len(name.split()), 80))
     rules += [Rule(label, _keyword(text), _edges(_phrase(text)), 10, 80, base=True) for text, label in BASE_PHRASES.items()]
+    rules = [r for r in rules if (r.label + str(r.base), r.pattern) not in seen and not seen.add((r.label + str(r.base), r.pattern))]
     return sorted(rules, key=lambda r: -r.priority)
 
 
