@@ -85,23 +85,33 @@ def order_key(seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
-def mix(docs: DataFrame, budget: tuple[int, int] = (8, 10), max_epochs: int = 2, weights: Mapping[str, Mapping[str, int]] | None = None, seed: int = 7, domain: Column | None = None) -> DataFrame:
+#: Columns that mix adds; the caller's of these names are replaced.
+ADDED = ["domain", "n_tokens", "leaf_budget", "epochs", "prefix_tokens", "taken_tokens"]
+
+
+def mix(docs: DataFrame, budget: tuple[int, int] = (8, 10), max_epochs: int = 2, weights: Mapping[str, Mapping[str, int]] | None = None, seed: int = 7, domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
     """How often, and how far, each document is read so that the mix meets the target weights.
 
-    docs: doc_id, text, lang, source; further columns are kept. budget: tokens to give out, as a part of all
+    docs: doc_id, text (not needed with tokens, which counts a row's tokens), lang, source; further columns are kept
+    whatever their names, but for those that are added. budget: tokens to give out, as a part of all
     tokens. weights: for each level (domain, lang, source) the weight of each name, 1 where none is given.
-    A leaf gives at most max_epochs times its tokens. Adds domain, n_tokens (words), leaf_budget, epochs
+    A leaf gives at most max_epochs times its tokens. Adds domain (by default told from the source's last
+    character), n_tokens (words), leaf_budget, epochs
     (whole passes over the document), prefix_tokens (tokens of one more, cut pass; only at the one document
     where its leaf's budget ends) and taken_tokens.
 
     Null names of a level are the name ''. Documents without words take nothing and are read as often as
     their place in the order says. Rows that repeat a doc_id in a leaf are taken alike. A leaf without tokens
     gets no budget. An empty table gives an empty result."""
-    weights = weights or {}
-    named = docs.withColumns({"domain": domain if domain is not None else default_domain(), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit("")), "n_tokens": words_of(F.col("text"))})
+    keep = [c for c in docs.columns if c not in ADDED]
+    named = docs.select(
+        F.struct(*keep).alias("row"), "doc_id", (domain if domain is not None else default_domain()).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
+        (tokens if tokens is not None else words_of(F.col("text"))).cast("long").alias("n_tokens"),
+    )
     rows = materialize(named.select("doc_id", *_LEVELS, "n_tokens"), "mixing-rows")
-    plan = materialize(leaf_plan(rows, budget, max_epochs, weights, seed), "mixing-plan")
-    return named.join(plan, list(_LEVELS)).withColumn("_key", order_key(seed)).withColumns({
-        "epochs": F.col("full_epochs") + F.coalesce((F.col("_key") < F.col("cut_key")).cast("long"), F.lit(0)),
-        "prefix_tokens": F.when(F.col("_key") == F.col("cut_key"), F.least("cut_tokens", "n_tokens")).otherwise(0).cast("long"),
-    }).withColumn("taken_tokens", F.col("epochs") * F.col("n_tokens") + F.col("prefix_tokens")).drop("tokens", "full_epochs", "cut_key", "cut_tokens", "_key")
+    plan = materialize(leaf_plan(rows, budget, max_epochs, weights or {}, seed), "mixing-plan")
+    out = named.join(plan, list(_LEVELS)).withColumn("key", order_key(seed)).withColumns({
+        "epochs": F.col("full_epochs") + F.coalesce((F.col("key") < F.col("cut_key")).cast("long"), F.lit(0)),
+        "prefix_tokens": F.when(F.col("key") == F.col("cut_key"), F.least("cut_tokens", "n_tokens")).otherwise(0).cast("long"),
+    }).withColumn("taken_tokens", F.col("epochs") * F.col("n_tokens") + F.col("prefix_tokens"))
+    return out.select(*(F.col(c) if c in ("lang", "source") else F.col("row").getField(c).alias(c) for c in keep), *ADDED)

@@ -20,10 +20,15 @@ WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tramline.llm._common import materialize
     from tramline.llm.mixing import mix
+    from tramline.llm.packing import words_of
 
     columns = ["doc_id", "domain", "lang", "source", "n_tokens", "leaf_budget", "epochs", "prefix_tokens", "taken_tokens"]
-    return mix(_docs(spark, sf_dir), budget=(8, 10), max_epochs=2, weights=WEIGHTS, seed=7).select(*columns)
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", "source", words_of(F.col("text")).alias("n"))  # no text is needed beyond its count
+    return mix(materialize(docs, "op1-counted"), budget=(8, 10), max_epochs=2, weights=WEIGHTS, seed=7, tokens=F.col("n")).select(*columns)
 
 
 def op3_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
