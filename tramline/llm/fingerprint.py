@@ -67,13 +67,13 @@ def difference_sql(a: str, b: str, base_a: str, base_b: str) -> str:
     """SQL of the number of digests that only one of a and b has, from their sketches.
 
     First the two fingerprints subtract. If they don't peel, the digests go to groups, and each group tries
-    larger and larger sketches, none too small for the difference of its counts. A group that the largest
-    one fails too counts as different throughout."""
+    larger and larger sketches, none too small for the difference of its counts. For a group that
+    the largest one fails too, the digests themselves are compared."""
     tries = ", ".join(f"if(abs(size(g.a) - size(g.b)) > {2 * m}, NULL, {peel_sql(subtract_sql(cells_sql('g.a', m), cells_sql('g.b', m)), m)})" for m in RETRIES)
     groups = f"greatest(1, cast(ceil(greatest(size({a}), size({b})) / {GROUP}) AS int))"
     part = "if({n} = 1, {v}, filter({v}, u -> pmod(xxhash64(u), {n}) = j))"
     split = f"transform(sequence(0, {groups} - 1), j -> named_struct('a', {part.format(n=groups, v=a)}, 'b', {part.format(n=groups, v=b)}))"
-    retry = f"aggregate({split}, 0, (t, g) -> t + coalesce({tries}, size(g.a) + size(g.b)))"
+    retry = f"aggregate({split}, 0, (t, g) -> t + coalesce({tries}, size(array_except(g.a, g.b)) + size(array_except(g.b, g.a))))"
     return f"coalesce(if(abs(size({a}) - size({b})) > {2 * BASE}, NULL, {peel_sql(subtract_sql(base_a, base_b), BASE)}), {retry})"
 
 
@@ -91,14 +91,19 @@ def with_next(rows: DataFrame, columns: list[str], per_bucket: int = 1024) -> Da
     """rows (id, tie, ...) with next_<column> of the row that follows in order of id (null first), tie; the last is followed by the first.
 
     Rows go to ranges of ids of about `per_bucket` rows, and each range also gets the first row of the next
-    one, so no task sees more than a range. Ids that lie in a few far clusters make uneven ranges."""
+    one, so no task sees more than a range. Ranges are of one width first; one with many more rows, as where ids
+    lie in far clusters, is cut again between its own least and largest id."""
     lo, hi, n = rows.agg(F.min("id"), F.max("id"), F.count("id")).first()
     if lo is None:
         lo, hi, n = 0, 0, 1
     width = max(1.0, (hi - lo + 1) * per_bucket / n)
     bucket = F.coalesce(((F.col("id").cast("double") - float(lo)) / width).cast("long"), F.lit(-1))
-    rows = rows.withColumn("bucket", bucket)
-    firsts = rows.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("first")).withColumn("above", F.expr(f"bucket div {per_bucket}"))
+    crowds = rows.select("id", bucket.alias("wide")).groupBy("wide").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+    crowds = materialize(crowds.filter(f"n > {4 * per_bucket} AND lo < hi"), "next-crowds")
+    rows = rows.withColumn("wide", bucket).join(F.broadcast(crowds) if crowds.count() <= 500_000 else crowds, "wide", "left")
+    fine = F.floor((F.col("id").cast("double") - F.col("lo")) / F.greatest(F.lit(1.0), (F.col("hi").cast("double") - F.col("lo") + 1) * per_bucket / F.col("n")))
+    rows = rows.withColumn("bucket", F.struct("wide", F.coalesce(fine, F.lit(0)).alias("fine"))).drop("wide", "lo", "hi", "n")
+    firsts = rows.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("first")).withColumn("above", F.expr(f"bucket.wide div {per_bucket}"))
     firsts = materialize(firsts, "next-firsts")
     inside = Window.partitionBy("above").orderBy("bucket")
     tops = firsts.groupBy("above").agg(F.max("bucket").alias("last"))
@@ -120,7 +125,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of
     the next row's text, by ascending doc_id; the first row follows the last. Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (Jaccard likeness of the piece
-    sets, as recovered from the sketches), n_pieces.
+    sets, as recovered from the sketches), n_pieces. The strings hold the smallest sketch; where two of them differ
+    in more pieces than it can tell, likeness comes from larger sketches of the same texts, which are not returned.
 
     Null texts count as empty. Rows that repeat a doc_id follow each other by a hash of the text. A null
     doc_id comes first. Equal texts have equal fingerprints. A single row follows itself; an empty table
