@@ -89,6 +89,19 @@ def test_mixing_meets_its_budget(docs, rows, nothing):
     assert mix(nothing).count() == 0
 
 
+def test_columns_that_clash(spark):
+    """Columns of the caller keep their values, whatever they are called, but for those that are added."""
+    from tramline.llm.line_dedup import dedup_lines
+    from tramline.llm.mixing import mix
+
+    extra = {"id": 77, "mark": "m", "row": 5, "gone": 6, "line": 7, "full_epochs": 8, "cut_key": 9, "tokens": 10, "key": 11, "leaf_budget": 12}
+    docs = spark.createDataFrame([{"doc_id": i, "text": f"one two three four five {i // 2}", "lang": "en", "source": "s", **extra} for i in range(4)])
+    names = [c for c in extra if c != "leaf_budget"]
+    assert all(x[c] == extra[c] for x in mix(docs).collect() for c in names)
+    out = dedup_lines(docs).collect()
+    assert sum(x.n_removed for x in out) == 2 and all(x[c] == extra[c] for x in out for c in extra)
+
+
 def test_shortage_goes_to_siblings_first(spark):
     from tramline.llm.mixing import leaf_plan
 
@@ -203,6 +216,24 @@ def test_boundaries_are_optimal():
     assert optimal_boundaries([], [], [], 4) == []
 
 
+def test_boundaries_of_many_lengths():
+    """Over thousands of exact lengths, as the plain recurrence over all of them says."""
+    import numpy as np
+    from tramline.llm.packing import optimal_boundaries
+
+    r = np.random.default_rng(5)
+    tops = np.unique(np.concatenate([np.arange(0, 300), r.integers(300, 20_000, 900)]))
+    counts = r.integers(1, 1000, len(tops))
+    ends = optimal_boundaries(counts, counts * tops, tops, 6)
+    c, s = (np.concatenate([[0.0], np.cumsum(x)]) for x in (counts, counts * tops))
+    best = np.where(np.arange(len(tops) + 1) == 0, 0.0, np.inf)
+    for _ in range(6):
+        cost = best[:-1, None] + (c[None, 1:] - c[:-1, None]) * tops[None, :] - (s[None, 1:] - s[:-1, None])
+        best = np.concatenate([[np.inf], np.where(np.tri(len(tops), k=-1, dtype=bool), np.inf, cost).min(0)])
+    got = sum(int(n) * int(ends[np.searchsorted(ends, t)] - t) for t, n in zip(tops, counts))
+    assert len(ends) == 6 and ends[-1] == tops[-1] and got == best[-1]
+
+
 def test_batches_are_full(docs, rows, nothing):
     from tramline.llm.packing import pack
 
@@ -458,6 +489,25 @@ def test_short_lines(spark):
 # ---------------------------------------------------------------- licenses
 
 
+def test_each_wording_is_found():
+    """Every signature finds itself in capitals and other separators, gives its label, and not with a word left out."""
+    from tramline.llm import licenses
+    from tramline.llm.license_wording import CLAUSES
+
+    scanner = licenses.Scanner(licenses.build_rules())
+    patterns = [r.pattern for r in scanner.rules if not r.base]
+    assert len(scanner.rules) > 550 and len({(r.label, r.pattern) for r in scanner.rules if not r.base}) == len(patterns)
+    for label, texts in CLAUSES.items():
+        for text in texts:
+            said = re.sub(r"\(([^|)]*)[^)]*\)", r"\1", text).replace("?", "")
+            shown = ("see: " + said.upper().replace(" ", ",\n * ", 1) + ".").lower().encode()
+            rule = next(r for r in scanner.rules if r.priority == 100 and r.label == label and r.pattern == licenses._edges(licenses._phrase(text)))
+            found = scanner.scan(shown, {rule.keyword})
+            assert any(scanner.rules[d[3]].label == label and d[0] == 100 for d in found), text
+            cut = shown.replace(rule.keyword, b"x" + rule.keyword)
+            assert not re.search(rule.pattern, cut), text
+
+
 def test_license_places(docs, rows, nothing, spark):
     from tramline.llm.licenses import BASE_PHRASES, scan_licenses
 

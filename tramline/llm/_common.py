@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -11,13 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where checkpoints go when the session names no shared folder (single-machine tests only).
+#: Where checkpoints go when a local session names no shared folder.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: `spark.checkpoint.dir` of the session."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """Folder that the driver and all executors see: `spark.checkpoint.dir` of the session. Only a session whose
+    executors are its own process may go without; on a cluster a missing setting is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def materialize(df: DataFrame, label: str, **options: object) -> DataFrame:

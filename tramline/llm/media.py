@@ -160,11 +160,11 @@ class _Reader(DataSourceReader):
         """One member by its offset; each try opens the archive anew. A member that fails to the end fails the task."""
         why: Exception | None = None
         for k in range(self.tries):
+            f = source if not k else self._open(name)
             try:
-                f = source if not k else self._open(name)
                 f.seek(info.header_offset)
                 head = f.read(30)
-                if head[:4] != b"PK\x03\x04":
+                if len(head) < 30 or head[:4] != b"PK\x03\x04":
                     raise OSError("no member at this offset")
                 f.seek(info.header_offset + 30 + sum(struct.unpack("<HH", head[26:30])))
                 body = f.read(info.compress_size)
@@ -173,6 +173,9 @@ class _Reader(DataSourceReader):
                 return body
             except OSError as e:
                 why = e
+            finally:
+                if k:
+                    f.close()
         raise OSError(f"{name}: {info.filename} at {info.header_offset}: {why}")
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:

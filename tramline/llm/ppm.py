@@ -13,6 +13,7 @@ answered from the tables of all counts, by joins over the distinct grams that th
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -270,10 +271,10 @@ def train(docs: DataFrame, label: str = "ppm") -> tuple[DataFrame, list[DataFram
                 table = table.withColumn("context", _context("code", k)).join(F.broadcast(hotter), "context", "left_semi").select("code", "n")
         kept = table.toArrow()
         pairs.append((kept["code"].to_numpy().astype(_I), kept["n"].to_numpy().astype(np.float64)))
-    return words, tables, contexts, {"whole": whole, "pairs": pairs, "words": codes[order], "counts": hot["n"].to_numpy()[order], "texts": texts, "total": total + texts, "kinds": kinds + 1}
+    return words, tables, contexts, {"name": uuid.uuid4().hex, "whole": whole, "pairs": pairs, "words": codes[order], "counts": hot["n"].to_numpy()[order], "texts": texts, "total": total + texts, "kinds": kinds + 1}
 
 
-_TRIES: dict[int, Trie] = {}
+_TRIES: dict[str, Trie] = {}  # the one of the model last used, by the model's name
 
 
 class _Rare:
@@ -314,10 +315,10 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, label: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if id(m) not in _TRIES:
+        if m["name"] not in _TRIES:
             _TRIES.clear()
-            _TRIES[id(m)] = Trie(m["pairs"])
-        trie = _TRIES[id(m)]
+            _TRIES[m["name"]] = Trie(m["pairs"])
+        trie = _TRIES[m["name"]]
         known, logs = m["words"], np.log10((m["counts"] + 0.5) / scale)
         end = np.log10((m["texts"] + 0.5) / scale)
         for batch in batches:

@@ -118,7 +118,7 @@ def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out("doc_id", 5, 0))
     n = known.count()
     if n > bound:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * bound // n)
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (1 << 40) * bound // n)
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
