@@ -26,7 +26,7 @@ BROADCAST_VALUES = 1_000_000
 #: Lines of fewer words are not compared, unless the caller names another least number.
 MIN_WORDS = 5
 #: Prefix words, least by hash, by which a line first meets one earlier line.
-FIRST_WORDS = 2
+FIRST_WORDS = 4
 #: Lines of so many words carry two numbers of parities, shorter ones one; more words would fill a single one.
 LONG = 96
 _ODD = ["odd0", "odd1"]
