@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Where checkpoints go when a local session names no shared folder.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+#: Spark's setting that removes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str, **options: object) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation. The files stay until the owner of the folder clears it.
+    executor costs no recomputation. The files stay until the owner of the folder clears it; the shuffle
+    files of the write, which nothing reads again, go when it ends.
     options: those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tramline/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
