@@ -13,6 +13,8 @@ lines go there, and only lines that are still open are looked up among all other
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ BROADCAST_VALUES = 1_000_000
 MIN_WORDS = 5
 #: Prefix words, least by hash, by which a line first meets one earlier line.
 FIRST_WORDS = 4
+#: Passes over the prefix words of all lines, each over the words of one remainder: only one pass's rows are on disk.
+PASSES = 2
 #: Lines of so many words carry two numbers of parities, shorter ones one; more words would fill a single one.
 LONG = 96
 _ODD = ["odd0", "odd1"]
@@ -105,10 +109,10 @@ def _first_pairs(lines: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter("xline <> yline").filter(_fits(num, den, False)).select(F.col("xline").alias("x"), F.col("yline").alias("y"))
 
 
-def _all_pairs(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y) of lines, one of them open, that share a prefix word and may be similar. Both sides of the join are the
-    same rows, which are shuffled once."""
-    rows = lines.select(F.posexplode("prefix").alias("place", "word"), "line", "size", "open", *_ODD)
+def _all_pairs(lines: DataFrame, num: int, den: int, part: int) -> DataFrame:
+    """Pairs (x, y) of lines, one of them open, that share a prefix word of this part and may be similar. Both sides of the
+    join are the same rows, which are shuffled once."""
+    rows = lines.select(F.posexplode("prefix").alias("place", "word"), "line", "size", "open", *_ODD).filter(F.col("word") % PASSES == part)
     meta = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.shiftleft("place", 1)).bitwiseOR(F.col("open").cast("int"))  # fewer columns to shuffle
     x, y = (rows.select("word", F.col("line").alias(s), meta.alias(f"{s}meta"), *(F.col(c).alias(s + c) for c in _ODD)) for s in "xy")
     both = x.join(y.withColumnRenamed("word", "same"), F.col("word") == F.col("same"))
@@ -147,7 +151,8 @@ def later_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_W
     near = materialize(_later(pairs, lines, unique, num, den), "lines-near")
 
     rest = unique.join(_small(near).withColumn("open", F.lit(False)), "line", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    pairs = materialize(_all_pairs(rest, num, den).distinct(), "lines-pairs")
+    parts = [materialize(_all_pairs(rest, num, den, part).distinct(), "lines-pairs") for part in range(PASSES)]
+    pairs = materialize(reduce(DataFrame.union, parts).distinct(), "lines-pairs")
     near = materialize(near.union(_later(pairs, lines, unique, num, den)).distinct(), "lines-gone")
     return again.union(unique.join(_small(near), "line", "left_semi").select("id", "pos", "mark")).distinct()
 
