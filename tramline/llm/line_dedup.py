@@ -34,7 +34,7 @@ PASSES = 2
 #: Lines of so many words carry two numbers of parities, shorter ones one; more words would fill a single one.
 LONG = 96
 _ODD = ["odd0", "odd1"]
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_UPPER, _LOWER, _SPACES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "\t\x0b\f\r"
 
 
 def _small(df: DataFrame, values: str = "1") -> DataFrame:
@@ -51,6 +51,15 @@ def _bit(word: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(63).cast("int"))
 
 
+def _folded(text: Column) -> Column:
+    """A-Z lower-cased, white space but line ends as spaces. Texts of ASCII alone without other white space, by far the most,
+    go the shorter way, which gives the same."""
+    plain = F.octet_length(text) == F.char_length(text)
+    for c in _SPACES:
+        plain = plain & ~F.contains(text, F.lit(c))
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER + _SPACES, _LOWER + " " * len(_SPACES)))
+
+
 def _parities(words: str) -> dict[str, Column]:
     """odd0: 64 parities of the words; odd1: the same of half of them, for long lines. Every word that only one of two
     lines has flips one bit of odd0, and one of 128 if odd1 is taken apart from it."""
@@ -62,8 +71,7 @@ def _parities(words: str) -> dict[str, Column]:
 def line_sets(docs: DataFrame) -> DataFrame:
     """(id, mark, pos, n, words, key, odd0, odd1) of every line of docs (doc_id, text) that has words: n words, of which
     words are the distinct ones' hashes, in order; key stands for the set."""
-    text = F.translate("text", _UPPER + "\t\x0b\f\r", _LOWER + "    ")
-    lines = docs.select(*_keyed(), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = docs.select(*_keyed(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("pos", "line"))
     hashes = F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
     words = lines.select("id", "mark", "pos", hashes.alias("h"))
     words = words.select("id", "mark", "pos", F.size("h").alias("n"), F.sort_array(F.array_distinct("h")).alias("words"))
@@ -82,7 +90,7 @@ def rarity(lines: DataFrame, slots: int = SLOTS) -> Column:
 
 def prefix(words: str, classes: Column, num: int, den: int, slots: int = SLOTS) -> Column:
     """32 bits of each prefix word: the words are put in order, rarest first, by the class of their slot, then their hash."""
-    code = F.transform(words, lambda x: F.shiftleft(F.coalesce(F.get(classes, x.bitwiseAND(slots - 1).cast("int")), F.lit(0)).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(F.coalesce(x, F.lit(0)), 12)))
+    code = F.transform(words, lambda x: F.coalesce(F.shiftleft(F.get(classes, x.bitwiseAND(slots - 1).cast("int")).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(x, 12)), F.lit(0).cast("long")))
     size = F.size(words)
     some = F.slice(F.sort_array(code), 1, size - F.ceil(size * F.lit(num) / den).cast("int") + 1)
     return F.transform(some, lambda w: w.bitwiseXOR(F.shiftrightunsigned(w, 21)).bitwiseAND(0x7FFFFFFF).cast("int"))
@@ -176,7 +184,7 @@ def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_W
     out = rows.join(_small(lists, "size(gone)"), ["id", "mark"], "left")
     text, gone_ = F.col("row.text"), F.col("gone")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone_, i)), "\n")
-    n_lines = F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"))) + 1, F.lit(0))
+    n_lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1, F.lit(0))
     new = F.struct(
         F.when(gone_.isNull(), text).otherwise(left).alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.array_size(gone_), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(gone_, F.array().cast("array<int>")).alias("removed"),
