@@ -646,3 +646,12 @@ def test_members_are_retried(tmp_path):
     damaged[45] ^= 1
     with pytest.raises(ValueError):
         decode_png(bytes(damaged))
+
+
+def test_folded_is_the_same_both_ways(spark):
+    from tramline.llm.line_dedup import _LOWER, _SPACES, _UPPER, _folded
+
+    texts = [None, "", "Plain ABC xyz\nTWO", "Tab\tHERE", "Feed\fA\x0bB\rC", "ÉTÉ Straße ABC İ", "日本 ABC\n\tÄ", "\x00A\x7fZ[@"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = F.translate("text", _UPPER + _SPACES, _LOWER + " " * len(_SPACES))
+    assert rows.filter(~_folded(F.col("text")).eqNullSafe(want)).count() == 0
