@@ -2,7 +2,7 @@
 
 A line is the set of its lower-cased words. Words are ordered by rarity, from a histogram of all words of
 the corpus; two lines with Jaccard similarity of num/den or more share a word among the first few of each
-(prefix filter), at places that leave room for enough common words (positional filter), and are of similar
+(prefix filter; fewer of the shorter line), at places that leave room for enough common words (positional filter), and are of similar
 size (length filter). Parities of the words leave few of these pairs, which are compared exactly; of a pair
 the later line goes.
 
@@ -118,15 +118,22 @@ def _first_pairs(lines: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _all_pairs(lines: DataFrame, num: int, den: int, part: int) -> DataFrame:
-    """Pairs (x, y) of lines, one of them open, that share a prefix word of this part and may be similar. Both sides of the
-    join are the same rows, which are shuffled once."""
-    rows = lines.select(F.posexplode("prefix").alias("place", "word"), "line", "size", "open", *_ODD).filter(F.col("word") % PASSES == part)
+    """Pairs (x, y) of lines, one of them open, that share a prefix word of this part and may be similar.
+
+    x is the shorter line, or the one of smaller number. Two similar lines have num/(num+den) of their words in common, so
+    their first common word, in the order of rarity, is found among fewer words of x than of y."""
+    of_x = F.slice("prefix", 1, F.col("size") - F.ceil(F.col("size") * F.lit(2 * num) / (num + den)).cast("int") + 1)
     meta = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.shiftleft("place", 1)).bitwiseOR(F.col("open").cast("int"))  # fewer columns to shuffle
-    x, y = (rows.select("word", F.col("line").alias(s), meta.alias(f"{s}meta"), *(F.col(c).alias(s + c) for c in _ODD)) for s in "xy")
-    both = x.join(y.withColumnRenamed("word", "same"), F.col("word") == F.col("same"))
-    both = both.filter("x < y").filter(F.col("xmeta").bitwiseOR(F.col("ymeta")).bitwiseAND(1) == 1)
+
+    def rows(words: Column, word: str, s: str) -> DataFrame:
+        out = lines.select(F.posexplode(words).alias("place", word), "line", "size", "open", *_ODD).filter(F.col(word) % PASSES == part)
+        return out.select(word, F.col("line").alias(s), meta.alias(f"{s}meta"), *(F.col(c).alias(s + c) for c in _ODD))
+
+    both = rows(of_x, "word", "x").join(rows(F.col("prefix"), "same", "y"), F.col("word") == F.col("same"))
+    both = both.filter(F.col("xmeta").bitwiseOR(F.col("ymeta")).bitwiseAND(1) == 1)
     for s in "xy":
         both = both.withColumns({f"{s}size": F.shiftright(f"{s}meta", 32), f"{s}place": F.shiftright(f"{s}meta", 1).bitwiseAND(0x7FFFFFFF)})
+    both = both.filter((F.col("xsize") < F.col("ysize")) | ((F.col("xsize") == F.col("ysize")) & (F.col("x") < F.col("y"))))
     return both.filter(_fits(num, den, True)).select("x", "y")
 
 
