@@ -82,6 +82,12 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_describe(_docs(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.collocations import collocations
+
+    return collocations(_docs(spark, sf_dir), least=30, top=2000, label="op11")
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media_columns,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLES: dict[str, str] = {}
@@ -164,3 +171,22 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
     coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (gone), '') AS removed,
     md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_md5 FROM r GROUP BY doc_id
 """
+
+ORACLES["op11_collocations"] = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, unnest(ps) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) t(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+j AS (SELECT *, unnest(range(1, k)) AS i FROM c),
+p2 AS MATERIALIZED (SELECT lang, phrase, a, i, array_to_string(w[:i], ' ') AS one, array_to_string(w[i + 1:], ' ') AS two FROM j),
+s AS (SELECT p2.lang, p2.phrase, a, i, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS score FROM p2 JOIN f x ON x.lang = p2.lang AND x.phrase = one JOIN f y ON y.lang = p2.lang AND y.phrase = two),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+m AS (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2),
+x AS (SELECT *, unnest(range(1, k - m + 2)) AS i FROM m),
+i AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM x GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
