@@ -88,6 +88,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_docs(spark, sf_dir), least=30, top=2000, label="op11")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.conversations import damaged, repair_conversations
+
+    return repair_conversations(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), label="op12")
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -100,6 +106,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media_columns,
     "op11_collocations": op11_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {}
@@ -190,3 +197,45 @@ i AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS lon
 o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
 """
+
+
+def _repair_sql() -> str:
+    """Forward over the rows: for each state the least (cost, audit) and its lines; equal costs never have one audit begin another."""
+
+    def least(*ways: str) -> str:
+        return f"list_sort([{', '.join(ways)}])[1]"
+
+    def way(frm: str, cost: str, letter: str, line: str, when: str = "") -> str:
+        made = f"{{'c': {frm}.c + {cost}, 'a': {frm}.a || '{letter}', 't': {f'list_append({frm}.t, {line})' if line else f'{frm}.t'}}}"
+        return f"CASE WHEN {when} THEN {made} ELSE {never} END" if when else made
+
+    never = "{'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]}"
+    stays, own = "fault NOT IN (1, 2)", "role || ':' || text"
+    kept = lambda s, i: way(f"s{s}", "cut", "K", own, f"{stays} AND ini = '{i}'")
+    turned = lambda s, to: way(f"s{s}", "2 + cut", "R", f"'{to}:' || text", stays)
+    gone = [way(f"s{s}", "3", "D", "") for s in range(4)]
+    step = [gone[0], least(gone[1], kept(0, "s")), least(gone[2], *(f(s, x) for s in (0, 1, 3) for f, x in ((kept, "u"), (turned, "user")))), least(gone[3], kept(2, "a"), turned(2, "assistant"))]
+    into_user = least("s2", *(way(s, "2", "I", "'user:'") for s in ("s0", "s1", "s3")))
+    return rf"""
+WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+c AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(name) + 1), lambda i: ascii(name[i])::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS what FROM x),
+e AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE what WHEN 3 THEN [0, 1] WHEN 0 THEN [] ELSE [0] END) AS k FROM c),
+o AS (SELECT *, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM e),
+f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS i, left(role, 1) AS ini, CASE WHEN bare = '' THEN 1 WHEN again THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM o),
+p AS (SELECT *, coalesce(lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au'), false) AS bad FROM f),
+n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (bad) AS illegal FROM p GROUP BY conv_id),
+d AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s0, {never} AS s1, {{'c': 2::BIGINT, 'a': 'I', 't': ['user:']}} AS s2, {{'c': 4::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} AS s3 FROM n
+    UNION ALL
+    SELECT conv_id, i, s0, s1, s2, {least("s3", way("s2", "2", "I", "'assistant:'"))} FROM (
+    SELECT conv_id, i, s0, s1, {into_user} AS s2, s3 FROM (
+    SELECT d.conv_id, d.i + 1 AS i, {", ".join(f"{sql} AS s{k}" for k, sql in enumerate(step))} FROM d JOIN (SELECT *, (fault = 3)::BIGINT AS cut FROM f) f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1))),
+b AS (SELECT n.*, list_sort([s0, s3])[1] AS b FROM n JOIN d ON d.conv_id IS NOT DISTINCT FROM n.conv_id AND d.i = n.rows)
+SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    coalesce(b.b.c, 0)::BIGINT AS cost, coalesce(b.b.a, '') AS audit, sha256(coalesce(array_to_string(b.b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM v.conv_id
+"""
+
+
+ORACLES["op12_conversation_repair"] = _repair_sql()
