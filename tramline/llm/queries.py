@@ -94,6 +94,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), label="op12")
 
 
+def op13_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.hnsw import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9, label="op13")
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -107,6 +113,7 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
     "op11_collocations": op11_collocations,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_hnsw_near_dedup": op13_hnsw_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
@@ -239,3 +246,13 @@ FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN b ON b.conv_id IS
 
 
 ORACLES["op12_conversation_repair"] = _repair_sql()
+
+ORACLES["op13_hnsw_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER () AS i, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+u AS MATERIALIZED (SELECT *, coalesce(len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_sum(list_transform(x, lambda y: y * y)) > 0, false) AS ok FROM v),
+l AS MATERIALIZED (SELECT p.i AS a, q.i AS b FROM (FROM u WHERE ok) p JOIN (FROM u WHERE ok) q ON p.i <> q.i AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.9),
+r AS (SELECT i AS a, i AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS i, min(u.vec_id) AS component_id FROM r JOIN u ON u.i = r.b GROUP BY r.a),
+n AS (SELECT a AS i, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM u JOIN c USING (i) LEFT JOIN n USING (i)
+"""
