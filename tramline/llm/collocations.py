@@ -173,6 +173,7 @@ def count_phrases(docs: DataFrame, least: int, label: str = "collocations", text
         bits[row.block * (BLOCK // 8) : (row.block + 1) * (BLOCK // 8)] = np.frombuffer(row.bits, np.uint8)
     leads = [f"w{k}" for k in range(1, LONGEST + 1)]
     windows = slim.mapInArrow(_windows(spark.sparkContext.broadcast(bits.tobytes())), "lang string, " + ", ".join(f"{w} string" for w in leads) + ", n long")
+    windows = windows.groupBy("lang", *leads).agg(F.sum("n").alias("n"))
     sums = windows.rollup("lang", *leads).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
     kept = F.lit(False)
     for k in range(1, LONGEST + 1):  # k words are left where the others are rolled up; a padded place is no word
