@@ -22,11 +22,11 @@ from tramline.llm._common import materialize, mix, small_batches
 from tramline.llm.components import connected_components
 
 #: Links of a node: on the ground layer and above; candidates looked at when a node is linked; first width of a beam.
-GROUND, UPPER, BUILD, BEAM = 32, 16, 64, 64
+GROUND, UPPER, BUILD, BEAM = 32, 16, 64, 32
 #: Nodes expanded together in a step, nodes linked together, queries searched together.
 WIDE, INSERT, ASK = 4, 512, 512
-#: Sampled queries of a block's audit and the recall it must reach.
-AUDIT, RECALL = 32, 0.97
+#: Sampled queries of a block's audit, and as many probes, and the recall it must reach.
+AUDIT, RECALL = 128, 0.98
 #: Shards at least, leaders of a shard, queries of a block.
 SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 100_000, 16_384
 #: Planes whose signs make a bundle's key, and the least cosine of a member to its leader.
@@ -172,15 +172,19 @@ def hits(graph: Graph, q: np.ndarray, least: np.ndarray, width: int) -> tuple[np
 
 
 def audited(graph: Graph, q: np.ndarray, least: np.ndarray, sample: np.ndarray, width: int = BEAM) -> int:
-    """The width of the beam with which the sampled queries find enough of their nearest node and of all nodes that are near enough."""
-    n = len(graph.v)
-    sims = q[sample] @ graph.v.T
-    top = np.where(sims < 0.9999, sims, -2).max(1)  # besides itself
-    truth = set(zip(*np.nonzero(sims >= np.minimum(least[sample], top)[:, None])))
+    """The width of the beam that finds enough of the nodes within `least`: of those of the sampled queries, and of probes
+    laid at just that cosine from nodes of the graph, since most queries have none. Truth is a comparison with all nodes."""
+    n, low = len(graph.v), least[sample]
+    noise = np.random.default_rng(n)
+    of = graph.v[noise.integers(0, n, len(sample))]
+    aside = noise.standard_normal(of.shape).astype(np.float32)
+    aside -= np.einsum("ij,ij->i", aside, of)[:, None] * of
+    probes = low[:, None] * of + np.sqrt(1 - low**2)[:, None] * aside / np.maximum(np.linalg.norm(aside, axis=1), 1e-9)[:, None]
+    asked, low = np.concatenate([q[sample], probes.astype(np.float32)]), np.concatenate([low, low]) - np.float32(1e-5)
+    truth = set(zip(*np.nonzero(asked @ graph.v.T >= low[:, None])))
     while width < n:
-        ids, _ = graph.search(q[sample], width)
-        found = {(r, x) for r, row in enumerate(ids.tolist()) for x in row}
-        if len(truth & found) >= RECALL * len(truth):
+        i, j = hits(graph, asked, low, width)
+        if len(truth & set(zip(i, j))) >= RECALL * len(truth):
             break
         width *= 2
     return width
