@@ -228,3 +228,16 @@ def scoring_windows(events: DataFrame, keys: Sequence[str], t: str, hop: str) ->
     window = F.greatest(F.lit(0.24), F.least(F.lit(0.7), 0.8 * F.least("_p", "_n")))
     lead = F.greatest(F.lit(0.45), F.least(F.lit(0.9), 0.7 * F.col("_p")))
     return d.withColumns({"window_s": F.when(F.col(hop), F.lit(0.0)).otherwise(window), "lead": F.when(F.col(hop), F.lit(0.0)).otherwise(lead)}).drop("_p", "_n")
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], v: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, <name> ...): of each key's n sorted values the one at floor(n * share), counted from 0; nulls are left out.
+
+    A window numbers the rows and only the wanted ones are kept; no array of a key's values is made."""
+    w = Window.partitionBy(*keys)
+    d = df.filter(F.col(v).isNotNull()).select(*keys, F.col(v).alias("_v"), (F.row_number().over(w.orderBy(v)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
+    at = {name: F.col("_i") == F.floor(F.col("_n") * share) for name, share in shares.items()}
+    hit = F.lit(False)
+    for c in at.values():
+        hit |= c
+    return d.filter(hit).groupBy(*keys).agg(*[F.max(F.when(c, F.col("_v"))).alias(name) for name, c in at.items()])

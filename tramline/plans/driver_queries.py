@@ -280,11 +280,10 @@ def label_classes(spark, sf):
 SELECT user_id, CASE WHEN ok THEN a ELSE 0.45 END AS lo, CASE WHEN ok THEN b ELSE 0.95 END AS hi FROM
 (SELECT user_id, v[1 + (len(v) * 0.05)::DOUBLE::INT - CASE WHEN (len(v) * 0.05)::DOUBLE::INT > len(v) * 0.05 THEN 1 ELSE 0 END] AS a, v[1 + floor(len(v) * 0.95::DOUBLE)::INT] AS b, len(v) >= 60 AS ok FROM l)""")
 def order_stat_range(spark, sf):
-    v = F.array_sort(F.collect_list("value"))
-    g = telemetry(spark, sf).groupBy(*K).agg(v.alias("v"))
-    n = F.size("v")
-    ok = n >= 60
-    return g.select("user_id", F.when(ok, F.get("v", F.floor(n * 0.05).cast("int"))).otherwise(0.45).alias("lo"), F.when(ok, F.get("v", F.floor(n * 0.95).cast("int"))).otherwise(0.95).alias("hi"))
+    e = telemetry(spark, sf)
+    g = e.groupBy(*K).agg(F.count("value").alias("n")).join(series.order_statistics(e, K, "value", {"a": 0.05, "b": 0.95}), K)
+    ok = F.col("n") >= 60
+    return g.select("user_id", F.when(ok, F.col("a")).otherwise(0.45).alias("lo"), F.when(ok, F.col("b")).otherwise(0.95).alias("hi"))
 
 
 @query("""WITH $E SELECT user_id, quantile_disc(value, 0.95) AS p95, round(avg(value) FILTER (value >= 10), 6) AS mean_moving, count(*) FILTER (value < 5) AS slow FROM e GROUP BY 1""")
