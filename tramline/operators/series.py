@@ -140,12 +140,16 @@ def parked_after(df: DataFrame, keys: Sequence[str], t: str, x: str, y: str, tol
     return out.select(*keys, F.when(F.col("_end") - since < minimum_span, F.col("_end")).otherwise(since).alias("parked"))
 
 
-def gps_window_speed(df: DataFrame, keys: Sequence[str], t: str, lat: str, lon: str, min_baseline: float = 2.5, max_baseline: float = 6.0, max_samples: int = 32) -> DataFrame:
+def gps_window_speed(df: DataFrame, keys: Sequence[str], t: str, lat: str, lon: str, min_baseline: float = 2.5, max_baseline: float = 6.0, max_samples: int | None = 32) -> DataFrame:
     """Adds window_speed: median of distance over time from each fix of the last max_baseline seconds that is at
-    least min_baseline old; and window_course from the oldest of them. Null where there is none."""
+    least min_baseline old; and window_course from the oldest of them. Null where there is none. max_samples: the most
+    fixes of a window, the newest (None: all of its time)."""
     past = range_frame(f"collect_list(struct(`{t}` AS t, `{lat}` AS lat, `{lon}` AS lon))", keys, t, max_baseline, 0.0)
     d = df.withColumn("_past", past)
-    d = d.withColumn("_past", F.filter(F.slice(F.array_sort("_past"), -F.least(F.size("_past"), F.lit(max_samples)), max_samples), lambda p: F.col(t) - p["t"] >= min_baseline))
+    past = F.array_sort("_past")
+    if max_samples:
+        past = F.slice(past, -F.least(F.size("_past"), F.lit(max_samples)), max_samples)
+    d = d.withColumn("_past", F.filter(past, lambda p: F.col(t) - p["t"] >= min_baseline))
     speeds = F.transform("_past", lambda p: haversine_m(p["lat"], p["lon"], F.col(lat), F.col(lon)) / (F.col(t) - p["t"]))
     oldest = F.get("_past", F.lit(0))
     return d.withColumns({"window_speed": array_median(speeds), "window_course": bearing_deg(oldest["lat"], oldest["lon"], F.col(lat), F.col(lon))}).drop("_past")

@@ -487,7 +487,7 @@ FROM f a JOIN f b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 48 AND a.t - 5)
 SELECT f.user_id, f.event_id, round(median(v), 4) AS speed FROM f LEFT JOIN p USING (user_id, event_id) GROUP BY ALL""")
 def windowed_gps_speed(spark, sf):
     e = telemetry(spark, sf).select("user_id", "event_id", (F.col("t") / 3600).alias("t"), (37 + (F.col("event_id") % 100) / 1000.0).alias("lat"), (-122 + (F.col("event_id") % 77) / 1000.0).alias("lon"))
-    return series.gps_window_speed(e, K, "t", "lat", "lon", 5.0, 48.0, 1000).select("user_id", "event_id", r("window_speed", 4).alias("speed"))
+    return series.gps_window_speed(e, K, "t", "lat", "lon", 5.0, 48.0, None).select("user_id", "event_id", r("window_speed", 4).alias("speed"))
 
 
 @query("""WITH $E, j AS (SELECT user_id, event_id, t / 3600 AS t, CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END AS v FROM e),
