@@ -1,21 +1,70 @@
-"""From evidence and a timeline to a route: the path a ball rolls on, its cues and what surrounds them.
-
-The path's snap to ledges and its clamp to the segmented ground are not built yet; `operators.asof.range_median` and
-`plans.audit.evidence` are the pieces for them.
-"""
+"""From evidence and a timeline to a route: the path a ball rolls on, its cues and what surrounds them."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.functions.arrays import array_median, plausible_ground
 from tramline.functions.scalar import clip, smoothstep
 from tramline.operators import series, spans
-from tramline.operators.asof import asof_backward, interp_join
+from tramline.operators.asof import asof_backward, asof_nearest, interp_join, range_rows
+from tramline.operators.lineage import cut
 
 K = ["clip_id"]
+# Surfaces that are ground; reach in time and columns of ledges and of the ground's edge; how far a ledge may lie from the
+# path around it; least number, spread, lowest place and rim of edges; smoothing after a clamp.
+GROUND = ["floor", "sidewalk", "grass"]
+LEDGE_NEAR, LEDGE_COLUMNS, LEDGE_REACH, LEDGE_OFF = 0.5, 20, 0.5, 0.35
+EDGE_NEAR, EDGE_COLUMNS, EDGES, EDGE_SPREAD, EDGE_LOW, EDGE_RIM, SETTLE = 0.25, 25, 2, 0.15, 0.88, 0.02, 0.15
+
+
+def _line_at(line: str, columns: int) -> Column:
+    """Height of a line near column x: the median of what is seen within `columns` of it, as a share; null where nothing is."""
+    px = F.greatest(F.lit(0), F.least(F.col("width") - 1, (F.col("x") * F.col("width")).cast("int")))
+    low = F.greatest(F.lit(0), px - columns)
+    return array_median(F.filter(F.slice(line, low + 1, px + columns + 1 - low), lambda v: v != -1)) / F.col("height")
+
+
+def snap_to_ledges(p: DataFrame, ledges: DataFrame, until: DataFrame) -> DataFrame:
+    """Samples (clip_id, i, t, y, x, s, ...) with y on the ledge of the surface they name.
+
+    ledges: (clip_id, t, surface, line, width, height); until: (clip_id, animated_until), the end of the marker's lead. Up to then a
+    sample is measured in the nearest frame of ledges (LEDGE_NEAR at most), and counts if it lies near the path's median around it. In
+    each run of one surface with two measured samples or more the ledge is drawn through all of the run, held at its ends."""
+    led = p.join(until.select(*K, F.col("animated_until").alias("_end")), K).filter(F.col("t") <= F.col("_end")).select(*K, "i", "t", "x", "s")
+    times = ledges.select(*K, "t").distinct().withColumn("ledge_t", F.col("t"))
+    at = asof_nearest(led, times, K, "t", LEDGE_NEAR).filter("ledge_t IS NOT NULL").drop("t_found")
+    lines = ledges.select(*K, F.col("t").alias("ledge_t"), F.col("surface").alias("s"), "line", "width", "height")
+    seen = at.join(lines, [*K, "ledge_t", "s"]).withColumn("value", _line_at("line", LEDGE_COLUMNS)).filter("value IS NOT NULL").select(*K, "i", "t", "value")
+    around = range_rows(seen, p.select(*K, "t", "y"), K, "t", LEDGE_REACH).filter(F.col("t_fact") < F.col("t") + LEDGE_REACH)
+    known = around.groupBy(*K, "i", "value").agg(F.expr("percentile(y, 0.5)").alias("_local")).filter(F.abs(F.col("value") - F.col("_local")) < LEDGE_OFF).select(*K, "i", F.col("value").cast("double").alias("_ledge"))
+    w = Window.partitionBy(*K).orderBy("i")
+    runs = p.withColumn("_run", F.sum(F.coalesce((~F.lag("s").over(w).eqNullSafe(F.col("s"))).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = runs.select(*K, "i", "_run").join(known, [*K, "i"])
+    enough = own.groupBy(*K, "_run").agg(F.count("*").alias("_n")).filter("_n >= 2").select(*K, "_run")
+    out = interp_join(runs, own.join(enough, [*K, "_run"]), [*K, "_run"], "i", ["_ledge"])
+    return out.withColumn("y", F.coalesce("_ledge", "y")).drop("_run", "_ledge").select(*p.columns)
+
+
+def ground_edges(p: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """(clip_id, i, edge): the far edge of the visible ground at the samples that name ground, where the frames within EDGE_NEAR agree."""
+    good = surfaces.filter(plausible_ground(F.col("coverage"))).select(*K, "t", "run_line", "width", "height")
+    near = range_rows(p.filter(F.col("s").isin(GROUND)).select(*K, "i", "t", "x"), good, K, "t", EDGE_NEAR).withColumn("edge", _line_at("run_line", EDGE_COLUMNS)).filter("edge IS NOT NULL")
+    agreed = near.groupBy(*K, "i").agg(F.count("*").alias("n"), (F.max("edge") - F.min("edge")).alias("spread"), F.expr("percentile(edge, 0.5)").alias("edge"))
+    return agreed.filter((F.col("n") >= EDGES) & (F.col("spread") <= EDGE_SPREAD) & (F.col("edge") <= EDGE_LOW)).select(*K, "i", "edge")
+
+
+def clamp_to_ground(p: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Samples with y no higher than just inside the visible ground, clamped, settled, clamped again and settled. Where samples stand
+    does not change in between, so the edges are found once."""
+    d = p.join(cut(ground_edges(p, surfaces)), [*K, "i"], "left")
+    for _ in range(2):
+        d = d.withColumn("y", F.greatest("y", F.col("edge") - EDGE_RIM))
+        d = series.gaussian_smooth(d, K, "t", "y", SETTLE)
+    return d.select(*p.columns)
 
 
 @dataclass(frozen=True)
@@ -32,9 +81,12 @@ class PathConfig:
     depth_ramp: float = 0.3
 
 
-def authored_path(level_map: DataFrame, ground: DataFrame, timeline: dict[str, DataFrame], marker: dict[str, DataFrame] | None = None, config: PathConfig = PathConfig()) -> DataFrame:
+def authored_path(level_map: DataFrame, ground: DataFrame, timeline: dict[str, DataFrame], marker: dict[str, DataFrame] | None = None, config: PathConfig = PathConfig(), ledges: DataFrame | None = None, surfaces: DataFrame | None = None) -> DataFrame:
     """(clip_id, i, t, d, y, x, z, s): evenly timed samples of the path.
 
+    With ledges and a marker the path runs on the ledges of the surfaces it names; with surfaces (clip_id, t, run_line, coverage, width,
+    height) it stays inside the ground that is seen.
+
     ground: (clip_id, d, y) of the runnable segments. timeline: surfaces (t, surface), settings (surfaceOffsets,
     post_marker_column), pathAdjust (start, end, dy) and sizeDepth (start, end, y). marker: samples (t, x, y) and clips
     (animated_until), which lead where the marker was animated. z is the line that size is read from: the path, but for
@@ -59,8 +111,13 @@ def authored_path(level_map: DataFrame, ground: DataFrame, timeline: dict[str, D
             "y": F.when(F.col("_my").isNull() | F.col("_end").isNull(), F.col("y")).otherwise(F.col("y") * (1 - w) + F.col("_my") * w),
             "x": F.when(F.col("_mx").isNull() | F.col("_end").isNull(), F.col("x")).otherwise(clip(F.col("_mx"), c.min_column, c.max_column) * (1 - ease) + home * ease),
         }).drop("_my", "_mx", "_end")
-    p = series.gaussian_smooth(series.gaussian_smooth(p.drop("post_marker_column"), K, "t", "y", c.smoothing), K, "t", "x", c.smoothing)
+    p = p.drop("post_marker_column")
+    if ledges is not None and marker is not None:
+        p = snap_to_ledges(cut(p), ledges, marker["clips"])
+    p = series.gaussian_smooth(series.gaussian_smooth(p, K, "t", "y", c.smoothing), K, "t", "x", c.smoothing)
     p = p.withColumn("x", clip(F.col("x"), c.min_column, c.max_column))
+    if surfaces is not None:
+        p = clamp_to_ground(cut(p), surfaces)
     p = spans.span_adjust(p, timeline["pathAdjust"], K, "t", "y", c.adjust_ramp)
     edges = timeline["sizeDepth"].select(*K, "start", "end", F.col("y").alias("depth"))
     edges = interp_join(edges.withColumn("t", F.col("start")), p.select(*K, "t", "y"), K, "t", ["y"]).withColumnRenamed("y", "y0").drop("t")
@@ -98,8 +155,6 @@ def level_events(cues_: DataFrame, level_map: DataFrame, settings: DataFrame) ->
     """Event rows of a level: numbered by time, with distance and the half-window in distance.
 
     A cue without a window takes its type's from settings (eventWindows), else 0.55 seconds."""
-    from pyspark.sql import Window
-
     d = cues_.join(settings.select(*K, "eventWindows"), K, "left").withColumn("type", F.coalesce("type", F.lit("jump")))
     d = d.withColumn("window", F.coalesce("window", F.try_element_at("eventWindows", F.col("type")), F.lit(0.55)))
     d = interp_join(d.withColumn("t", F.col("time")), level_map, K, "t", ["d"]).withColumnRenamed("d", "distance").drop("t")
