@@ -110,7 +110,7 @@ def last_fix_health(spark, sf):
 
 
 @query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice / 7 AS t FROM lineitem WHERE l_linenumber % 2 = 0), b AS (SELECT l_orderkey AS k, l_linenumber AS m, l_extendedprice / 7 + 0.0001 AS t FROM lineitem)
-SELECT a.k, n, m FROM a JOIN b ON a.k = b.k AND round(a.t, 3) = round(b.t, 3)""")
+SELECT a.k, n, m FROM a JOIN b ON a.k = b.k AND round_even(a.t, 3) = round_even(b.t, 3)""")
 def frame_facts(spark, sf):
     d = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), (F.col("l_extendedprice") / 7).alias("t"))
     facts = d.select("k", F.col("n").alias("m"), (F.col("t") + 0.0001).alias("t"))
