@@ -75,6 +75,18 @@ def test_collocations_of_nothing(spark):
     assert collocations(spark.createDataFrame([(None, None), ("", "en")], "text string, lang string")).collect() == []
 
 
+# ---------------------------------------------------------------- mixing
+
+
+def test_mixing_keeps_rows_of_a_null_domain(spark):
+    from tramline.llm.mixing import mix
+
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j", "en", "s1", None if i % 2 else "web") for i in range(10)], "doc_id long, text string, lang string, source string, kind string")
+    out = mix(docs, budget=(5, 10), max_epochs=1, weights={"domain": {"web": 3}}, domain=F.col("kind")).collect()
+    assert sorted((x.doc_id, x.domain) for x in out) == [(i, "" if i % 2 else "web") for i in range(10)]
+    assert sum(x.taken_tokens for x in out) == 49 and sum(x.taken_tokens for x in out if x.domain == "web") == 37  # 37.5 to 12.5, and no halves
+
+
 # ---------------------------------------------------------------- conversations
 
 

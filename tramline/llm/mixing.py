@@ -105,7 +105,7 @@ def mix(docs: DataFrame, budget: tuple[int, int] = (8, 10), max_epochs: int = 2,
     gets no budget. An empty table gives an empty result."""
     keep = [c for c in docs.columns if c not in ADDED]
     named = docs.select(
-        F.struct(*keep).alias("row"), "doc_id", (domain if domain is not None else default_domain()).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
+        F.struct(*keep).alias("row"), "doc_id", F.coalesce(domain if domain is not None else default_domain(), F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
         (tokens if tokens is not None else words_of(F.col("text"))).cast("long").alias("n_tokens"),
     )
     rows = materialize(named.select("doc_id", *_LEVELS, "n_tokens"), "mixing-rows")
