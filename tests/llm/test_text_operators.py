@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -89,6 +90,22 @@ def test_mixing_meets_its_budget(docs, rows, nothing):
     assert mix(nothing).count() == 0
 
 
+def test_mixing_counts_rows_without_id(spark):
+    """Rows that share a doc_id, or have none, do not go beyond their leaf's budget, repeats included."""
+    from tramline.llm.mixing import mix
+
+    text = lambda k: " ".join(f"t{k}" for _ in range(10))
+    rows = [(None, text(k), "en", "s") for k in range(10)] + [(8, text(k), "de", "s") for k in range(10)] + [(3, text(0), "fr", "s")] * 9
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), budget=(1, 2), max_epochs=1).collect()
+    assert len(out) == len(rows)
+    for lang, n in (("en", 10), ("de", 10), ("fr", 9)):
+        leaf = [x for x in out if x.lang == lang]
+        budget, taken = leaf[0].leaf_budget, sum(x.taken_tokens for x in leaf)
+        assert len(leaf) == n and budget - n < taken <= budget
+        assert lang == "fr" or taken == budget and sum(x.prefix_tokens > 0 for x in leaf) <= 1
+    assert len({x.taken_tokens for x in out if x.lang == "fr"}) == 1
+
+
 def test_columns_that_clash(spark):
     """Columns of the caller keep their values, whatever they are called, but for those that are added."""
     from tramline.llm.line_dedup import dedup_lines
@@ -429,32 +446,53 @@ def test_ppm_scores_do_not_depend_on_the_hot_part(docs, rows, monkeypatch, most)
 # ---------------------------------------------------------------- lines
 
 
-def brute_lines(rows, num=8, den=10):
-    lines = sorted(((i if i is not None else -(2**63), k, frozenset(words(l)) if len(words(l)) >= 5 else None) for i, t in set(rows) for k, l in enumerate((t or "").split("\n"))), key=lambda x: x[:2])
-    gone = set()
-    for (i, k, a), (j, m, b) in itertools.combinations(lines, 2):
-        if a and b and (i, k) != (j, m) and den * len(a & b) >= num * len(a | b):
-            gone.add((j, m))
-    return gone
+def mark(t):
+    h = xxhash.xxh64(t.encode(), seed=42).intdigest() if t is not None else 42
+    return h - (1 << 64) if h >> 63 else h
 
 
-def test_lines(docs, rows, nothing):
-    from tramline.llm.line_dedup import dedup_lines
+def brute_lines(rows, num=8, den=10):
+    """{(doc_id, line number, hash of the text)} of the lines to go."""
+    lines = sorted(((i if i is not None else -(2**63), k, mark(t)), frozenset(words(l))) for i, t in set(rows) for k, l in enumerate((t or "").split("\n")))
+    return {y for (x, a), (y, b) in itertools.combinations(sorted(lines, key=lambda e: e[0]), 2) if a and b and den * len(a & b) >= num * len(a | b)}
 
+
+def check_lines(out, rows):
     gone = brute_lines(rows)
-    out = dedup_lines(docs).collect()
-    assert len(out) == len(rows)
     want = collections.Counter()
     for i, t in rows:
         key = i if i is not None else -(2**63)
         ls = [] if t is None else t.split("\n")
-        cut = [k for k in range(len(ls)) if (key, k) in gone and len(words(ls[k])) >= 5]
+        cut = [k for k in range(len(ls)) if (key, k, mark(t)) in gone]
         want[i, None if t is None else "\n".join(l for k, l in enumerate(ls) if k not in cut), len(ls), tuple(cut)] += 1
     assert collections.Counter((x.doc_id, x.text, x.n_lines, tuple(x.removed)) for x in out) == want
+    return gone
+
+
+def test_lines(docs, rows, nothing):
+    from tramline.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(docs).collect()
+    assert len(out) == len(rows)
+    check_lines(out, rows)
     assert all(x.n_removed == len(x.removed) and x.bucket == "b" for x in out)
     assert dedup_lines(nothing).count() == 0
 
 
+def test_repeated_rows_and_rows_without_id(spark, monkeypatch):
+    """A row repeated a thousand times holds its lines once; texts that share a doc_id, or have none, are compared."""
+    from tramline.llm import line_dedup
+
+    sizes = []
+    before = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label, **o: (d := before(df, label, **o), sizes.append(d.count()) if label == "lines-sets" else None)[0])
+    again = "a b c d e f g h i j\nk l m n o p q r s t\na b c d e f g h i z"
+    rows = [(5, again)] * 1000 + [(None, "first line here\nown words one"), (None, "first line here\nother things two"), (7, "left right up down in"), (7, "left right up down in out"), (7, "menu")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    gone = check_lines(out, rows)
+    assert max(sizes) <= 6 and len([g for g in gone if g[0] < 0]) == 1 and len([g for g in gone if g[0] == 7]) == 1
+
+
 def test_crowded_lines(spark):
     """Many similar lines: those that the first partners leave are compared with all others."""
     from tramline.llm.line_dedup import dedup_lines
@@ -467,7 +505,7 @@ def test_crowded_lines(spark):
             w[r.randrange(30)] = f"q{i}_{r.randrange(10**6)}"
         r.shuffle(w)
         rows.append((i, " ".join(w)))
-    gone = {i for i, _ in brute_lines(rows)}
+    gone = {i for i, _, _ in brute_lines(rows)}
     got = {x.doc_id for x in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect() if x.n_removed}
     assert got == gone
 
@@ -655,3 +693,46 @@ def test_folded_is_the_same_both_ways(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     want = F.translate("text", _UPPER + _SPACES, _LOWER + " " * len(_SPACES))
     assert rows.filter(~_folded(F.col("text")).eqNullSafe(want)).count() == 0
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    """One labelled id with many texts does not go beyond the bound; rows that repeat count once."""
+    from tramline.llm.toxicity import _sample
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    hot = known[0]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(hot, f"hot {k}") for k in range(800)] + [(known[1], "same")] * 300, "doc_id long, text string")
+    got = _sample(docs, labels, 60).collect()
+    assert 30 <= len(got) <= 90 and sum(x.text == "same" for x in got) <= 1
+    assert len(_sample(docs, labels, 5000).collect()) == len(known) + 800 + 1
+
+
+def test_toxicity_matches_equal_a_naive_scan():
+    """The automaton's matches, covering by exceptions and damping against a scan of every term at every place."""
+    from tramline.llm.toxicity import Model, fold, matches
+
+    model = Model()
+    model.terms = {**model.terms, " cloud": 2.5, " clo": 1.0, " tras": 1.5}
+    terms = {**model.terms}
+    r = random.Random(31)
+    words_ = [t.strip() for t in terms] + ["can", "trash can", "garbage collector", "circus clown", "cloudy", "closed", "M0R0N", "ıdiot", "calm", "day", "tr4sh", "host and parasite"]
+    automaton = model.automaton()
+    for _ in range(300):
+        text = r.choice([" ", ", ", "\n"]).join(r.choice(words_) for _ in range(r.randint(0, 14)))
+        folded = fold(text)
+        def places(p):
+            return [k for k in range(len(folded)) if folded.startswith(p, k)]
+        covered = [(k, k + len(e) + 1) for e in model.exceptions for k in places(f" {e} ")]
+        best = {}
+        for term, weight in terms.items():
+            for k in places(term):
+                if not any(a <= k and k + len(term) - 1 <= b for a, b in covered):
+                    best[k] = max(best.get(k, (0.0, "")), (weight, term), key=lambda x: x[0])
+        seen = collections.Counter()
+        total = 0.0
+        for k in sorted(best):
+            seen[best[k][1]] += 1
+            total += best[k][0] / seen[best[k][1]]
+        got = matches(text, automaton)
+        assert got[1:] == (len(best), max(1, len(folded.split()))) and math.isclose(got[0], total, abs_tol=1e-9), text

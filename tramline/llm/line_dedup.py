@@ -25,8 +25,8 @@ from tramline.llm._common import materialize
 SLOTS = 1 << 18
 #: Rows, or entries of lists, of a join side that is sent to all tasks rather than shuffled.
 BROADCAST_VALUES = 1_000_000
-#: Lines of fewer words are not compared, unless the caller names another least number.
-MIN_WORDS = 5
+#: Lines of fewer words are not compared: by default every line that has words is.
+MIN_WORDS = 1
 #: Prefix words, least by hash, by which a line first meets one earlier line.
 FIRST_WORDS = 4
 #: Passes over the prefix words of all lines, each over the words of one remainder: only one pass's rows are on disk.
@@ -141,10 +141,11 @@ def _later(pairs: DataFrame, lines: DataFrame, unique: DataFrame, num: int, den:
     """The later lines (line) of those pairs (x, y; distinct) whose word sets reach the threshold."""
     ends = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct()
     wanted = materialize(unique.select("line", "id", "pos", "mark").join(_small(materialize(ends, "lines-ends")), "line"), "lines-wanted")
-    sets = materialize(lines.select("id", "pos", "mark", "words").join(_small(wanted), ["id", "pos", "mark"]).select("line", "id", "pos", "words"), "lines-sets")
+    held = lines.select("id", "pos", "mark", "words").join(_small(wanted), ["id", "pos", "mark"]).select("line", "id", "pos", "mark", "words")
+    sets = materialize(held.dropDuplicates(["line"]), "lines-sets")  # a repeated row holds its lines once more
     joined = pairs
     for s in "xy":
-        joined = joined.join(sets.select(F.col("line").alias(s), F.struct("id", "pos").alias(f"{s}at"), F.col("words").alias(f"{s}words")), s)
+        joined = joined.join(sets.select(F.col("line").alias(s), F.struct("id", "pos", "mark").alias(f"{s}at"), F.col("words").alias(f"{s}words")), s)
     common = F.size(F.array_intersect("xwords", "ywords"))
     found = joined.filter(common * (num + den) >= (F.size("xwords") + F.size("ywords")) * num)
     return found.filter("xat <> yat").select(F.when(F.col("xat") < F.col("yat"), F.col("y")).otherwise(F.col("x")).alias("line")).distinct()
@@ -160,8 +161,8 @@ def later_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_W
     unique = sized.groupBy("key").agg(F.min(F.struct("id", "pos", "mark")).alias("f"), F.count("*").alias("copies"), *whole)
     unique = materialize(unique.select(F.monotonically_increasing_id().alias("line"), "key", "f.*", "copies", "size", "prefix", *_ODD), "lines-unique")
 
-    copied = materialize(unique.filter("copies > 1").select("key", F.struct("id", "pos").alias("first")), "lines-copied")
-    again = lines.select("key", "id", "pos", "mark").join(_small(copied), "key").filter(F.struct("id", "pos") > F.col("first")).select("id", "pos", "mark")
+    copied = materialize(unique.filter("copies > 1").select("key", F.struct("id", "pos", "mark").alias("first")), "lines-copied")
+    again = lines.select("key", "id", "pos", "mark").join(_small(copied), "key").filter(F.struct("id", "pos", "mark") > F.col("first")).select("id", "pos", "mark")
     pairs = materialize(_first_pairs(unique, num, den).distinct(), "lines-first")
     near = materialize(_later(pairs, lines, unique, num, den), "lines-near")
 
@@ -178,12 +179,11 @@ def dedup_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_W
     docs: doc_id, text and any further columns, which are kept whatever their names (but for those three, which
     are replaced). Lines end at '\\n'. Two lines are similar if
     their sets of words (A-Z lower-cased, told apart by 64 bits of a hash) have Jaccard similarity num/den or
-    more. Earlier means a smaller doc_id, then a smaller line number; a null doc_id comes first. It does not
-    matter whether the earlier line goes itself. Lines of fewer words than `least` (five, as the query's SQL has it;
-    1 compares all that have words) always stay. Null texts stay
+    more. Earlier means a smaller doc_id, then a smaller line number, then a smaller hash of the text; a null doc_id
+    comes first. It does not matter whether the earlier line goes itself. Lines of fewer words than `least` (1 compares
+    all that have words) and lines without words always stay. Null texts stay
     null with no lines; an empty text is one empty line. Rows that repeat both doc_id and text are one document
-    and keep the same lines; lines at one place of different texts of one doc_id are not compared with each
-    other. An empty table gives an empty result."""
+    and keep the same lines; different texts of one doc_id, or of none, are compared like any others. An empty table gives an empty result."""
     gone = later_lines(docs, num, den, least)
     lists = materialize(gone.groupBy("id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "lines-lists")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]

@@ -49,8 +49,11 @@ def water_fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 
 def leaf_plan(rows: DataFrame, budget: tuple[int, int], max_epochs: int, weights: Mapping[str, Mapping[str, int]], seed: int) -> DataFrame:
-    """rows (doc_id, domain, lang, source, n_tokens) -> one row for each leaf: its budget, whole epochs, and the
-    order key and tokens at which its last epoch is cut."""
+    """rows (doc_id, domain, lang, source, n_tokens, and mark, which tells rows of one doc_id apart) -> one row for each
+    leaf: its budget, whole epochs, and the order key, mark and tokens at which its last epoch is cut. Rows equal in
+    doc_id and mark share these tokens evenly."""
+    if "mark" not in rows.columns:
+        rows = rows.withColumn("mark", F.lit(0).cast("long"))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     leaves = rows.groupBy(*_LEVELS).agg(F.sum("n_tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
     given = leaves.select(F.lit(total * budget[0] // budget[1]).cast("long").alias("_share")).distinct()
@@ -73,11 +76,11 @@ def leaf_plan(rows: DataFrame, budget: tuple[int, int], max_epochs: int, weights
     w = Window.partitionBy(*_LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     slices = slices.withColumn("upto", F.sum("n").over(w)).filter("upto >= rest and upto - n < rest").select(*_LEVELS, "slice", (F.col("upto") - F.col("n")).alias("base"))
     inside = keyed.withColumn("slice", F.substring("key", 1, 3)).join(slices, [*_LEVELS, "slice"])
-    inside = inside.groupBy(*_LEVELS, "rest", "base", "key").agg(F.sum("n_tokens").alias("n"))
-    w = Window.partitionBy(*_LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.groupBy(*_LEVELS, "rest", "base", "key", "mark").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("copies"))
+    w = Window.partitionBy(*_LEVELS).orderBy("key", "mark").rowsBetween(Window.unboundedPreceding, 0)
     cut = inside.withColumn("upto", F.col("base") + F.sum("n").over(w)).filter("upto >= rest and upto - n < rest")
-    cut = cut.select(*_LEVELS, F.col("key").alias("cut_key"), (F.col("rest") - F.col("upto") + F.col("n")).alias("cut_tokens"))
-    return plan.join(cut, list(_LEVELS), "left").select(*_LEVELS, "tokens", "leaf_budget", "full_epochs", "cut_key", "cut_tokens")
+    cut = cut.select(*_LEVELS, F.col("key").alias("cut_key"), F.col("mark").alias("cut_mark"), F.expr("(rest - upto + n) div copies").alias("cut_tokens"))
+    return plan.join(cut, list(_LEVELS), "left").select(*_LEVELS, "tokens", "leaf_budget", "full_epochs", "cut_key", "cut_mark", "cut_tokens")
 
 
 def order_key(seed: int) -> Column:
@@ -101,17 +104,20 @@ def mix(docs: DataFrame, budget: tuple[int, int] = (8, 10), max_epochs: int = 2,
     where its leaf's budget ends) and taken_tokens.
 
     Null names of a level are the name ''. Documents without words take nothing and are read as often as
-    their place in the order says. Rows that repeat a doc_id in a leaf are taken alike. A leaf without tokens
-    gets no budget. An empty table gives an empty result."""
+    their place in the order says. Rows of one doc_id, or of none, follow each other by the hash of their text; rows that
+    repeat both are taken alike and share the tokens of the cut evenly (less than a token a row is left over). Without
+    a column text, rows of one doc_id are all alike. A leaf without tokens gets no budget. An empty table gives an
+    empty result."""
     keep = [c for c in docs.columns if c not in ADDED]
     named = docs.select(
         F.struct(*keep).alias("row"), "doc_id", F.coalesce(domain if domain is not None else default_domain(), F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
-        (tokens if tokens is not None else words_of(F.col("text"))).cast("long").alias("n_tokens"),
+        (tokens if tokens is not None else words_of(F.col("text"))).cast("long").alias("n_tokens"), (F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")).alias("mark"),
     )
-    rows = materialize(named.select("doc_id", *_LEVELS, "n_tokens"), "mixing-rows")
+    rows = materialize(named.select("doc_id", *_LEVELS, "n_tokens", "mark"), "mixing-rows")
     plan = materialize(leaf_plan(rows, budget, max_epochs, weights or {}, seed), "mixing-plan")
+    same = F.col("key") == F.col("cut_key")
     out = named.join(plan, list(_LEVELS)).withColumn("key", order_key(seed)).withColumns({
-        "epochs": F.col("full_epochs") + F.coalesce((F.col("key") < F.col("cut_key")).cast("long"), F.lit(0)),
-        "prefix_tokens": F.when(F.col("key") == F.col("cut_key"), F.least("cut_tokens", "n_tokens")).otherwise(0).cast("long"),
+        "epochs": F.col("full_epochs") + F.coalesce(((F.col("key") < F.col("cut_key")) | (same & (F.col("mark") < F.col("cut_mark")))).cast("long"), F.lit(0)),
+        "prefix_tokens": F.when(same & (F.col("mark") == F.col("cut_mark")), F.least("cut_tokens", "n_tokens")).otherwise(0).cast("long"),
     }).withColumn("taken_tokens", F.col("epochs") * F.col("n_tokens") + F.col("prefix_tokens"))
     return out.select(*(F.col(c) if c in ("lang", "source") else F.col("row").getField(c).alias(c) for c in keep), *ADDED)

@@ -172,7 +172,7 @@ ORACLES["op7_line_dedup"] = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
 w AS (SELECT doc_id, pos, doc_id * 1000000 + pos AS id, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM l),
-e AS (SELECT doc_id, pos, id, list_distinct(w) AS w FROM w WHERE len(w) >= 5),
+e AS (SELECT doc_id, pos, id, list_distinct(w) AS w FROM w WHERE len(w) >= 1),
 k AS (SELECT id, len(w) AS n, unnest(w) AS w FROM e),
 f AS (SELECT w, count(*) AS f FROM k GROUP BY w),
 o AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY f, w) AS r FROM k JOIN f USING (w)),

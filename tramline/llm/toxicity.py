@@ -114,12 +114,17 @@ def _probability(total: np.ndarray, words: np.ndarray, curve: tuple[float, float
 
 
 def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """(text, toxic) of at most about `bound` labelled training rows, chosen by a hash of the id."""
+    """(text, toxic) of at most about `bound` labelled training rows, chosen by a hash of the id and, where one id has many
+    texts, by a hash of both. Rows that repeat an id and a text count once."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out("doc_id", 5, 0))
     n = known.count()
     if n > bound:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (1 << 40) * bound // n)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark")).join(F.broadcast(known), "doc_id")
+    n = rows.agg(F.count_distinct("mark")).first()[0]
+    if n > bound:
+        rows = rows.filter(F.pmod(F.xxhash64("mark"), F.lit(1 << 40)) < (1 << 40) * bound // n)
+    return rows.dropDuplicates(["mark"]).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
