@@ -71,12 +71,14 @@ def test_detections_round_trip(spark, tmp_path):
 
 
 def test_levels(spark, tmp_path):
-    doc = {"version": 3, "source": "a.mov", "path": [{"d": 0, "y": 0.6, "x": 0, "z": 0, "s": ""}, {"d": 9, "y": 0.7, "x": 0.4, "z": 0.8, "s": "rail"}], "timeToDistance": [{"t": 0, "d": 0}, {"t": 1, "d": 9}], "events": [{"id": 1, "type": "fly", "time": 0.5}]}
+    doc = {"version": 3, "source": {"file": "a.mov"}, "screenSpeed": [{"d": 1, "v": 0.5}], "path": [{"d": 0, "y": 0.6, "x": 0, "z": 0, "s": ""}, {"d": 9, "y": 0.7, "x": 0.4, "z": 0.8, "s": "rail"}], "timeToDistance": [{"t": 0, "d": 0}, {"t": 1, "d": 9}], "events": [{"id": 1, "type": "fly", "time": 0.5}]}
     (tmp_path / "good.json").write_text(json.dumps(doc))
     (tmp_path / "bad.json").write_text(json.dumps({"version": 1, "path": [{"d": 0}]}))
     t = documents.read_level(spark, str(tmp_path))
     p = t["path"].orderBy("d").collect()
     assert (p[0].z, p[0].x, p[0].s, p[1].z) == (0.6, 0.35, "floor", 0.8) and t["events"].first().type == "jump" and t["rejected"].first().clip_id == "bad"
+    c = t["clips"].first()
+    assert (c.playback, c.direction, t["speed"].first().v) == ("a.mov", -1, 0.5)
     text = documents.level_documents(t["clips"].select("clip_id", "direction"), {"path": (t["path"], "d"), "timeToDistance": (t["map"], "t")}, 3).first().value
     assert [x["d"] for x in json.loads(text)["path"]] == [0.0, 9.0]
 

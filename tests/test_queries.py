@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-from tramline.plans import driver_queries, footage_queries, function_queries
+from tramline.plans import driver_queries, footage_queries, function_queries, writing_queries
 
 DIR = "/root/testdata/sf0.001"
-QUERIES = driver_queries.QUERIES | function_queries.QUERIES | footage_queries.QUERIES
-ORACLES = driver_queries.ORACLES | function_queries.ORACLES | footage_queries.ORACLES
+QUERIES = driver_queries.QUERIES | function_queries.QUERIES | footage_queries.QUERIES | writing_queries.QUERIES
+ORACLES = driver_queries.ORACLES | function_queries.ORACLES | footage_queries.ORACLES | writing_queries.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -161,6 +161,13 @@ def top_edges(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     return held.join(frames, [*K, "frame"]).select(*K, "t", "surface", line.alias("line"), "width", "height")
 
 
+def surface_coverage(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """(clip_id, frame, surface, coverage): the share of a frame's pixels that the surface's masks cover; a pixel in several
+    masks counts once. frames: (clip_id, frame, width, height)."""
+    once = pixels.select(*K, "frame", "surface", "col", "row").distinct().groupBy(*K, "frame", "surface").count()
+    return once.join(frames.select(*K, "frame", "width", "height"), [*K, "frame"]).select(*K, "frame", "surface", (F.col("count") / (F.col("width").cast("long") * F.col("height"))).alias("coverage"))
+
+
 def ledge_lines(edges: DataFrame, max_step_share: float = 0.06) -> DataFrame:
     """Ledge lines without jumps and gaps."""
     return edges.withColumn("line", arrays.clean_line(F.col("line"), F.col("height") * max_step_share))

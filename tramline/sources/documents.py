@@ -14,8 +14,14 @@ from tramline import schemas
 
 
 def _clip() -> Column:
-    """A document's clip: its file name without the ending."""
-    return F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^/]*)?$", 1)
+    """A document's clip: that of its folder clip_id=..., as write_documents makes them, else its file name without the ending."""
+    path = F.input_file_name()  # a URI, in which the escapes of the folder's name are escaped once more
+    own = F.regexp_extract(path, r"/clip_id=([^/]+)/[^/]*$", 1)
+
+    def decoded(c: Column) -> Column:
+        return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+    return F.when(own != "", decoded(decoded(own))).otherwise(F.regexp_extract(path, r"([^/]+?)(?:\.[^/]*)?$", 1))
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -46,7 +52,7 @@ def read_marker(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """samples (clip_id, t, x, y, radius), arcs (clip_id, start, peak, end, height), clips (clip_id, animated_until, median_radius)."""
     d = _read(spark, path, schemas.MARKER)
     return {
-        "samples": d.select("clip_id", F.inline("samples")).withColumnRenamed("time", "t"),
+        "samples": d.select("clip_id", F.inline("samples")),
         "arcs": d.select("clip_id", F.inline("arcs")),
         "clips": d.select("clip_id", F.col("animatedUntil").alias("animated_until"), F.col("medianRadius").alias("median_radius")),
     }
@@ -74,10 +80,10 @@ def read_level(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     path_ = good.select("clip_id", F.coalesce("characterColumn", F.lit(0.35)).alias("_c"), F.inline("path"))
     events = good.select("clip_id", F.inline("events")).withColumn("type", F.when(F.col("type").isin("jump", "platform", "hop", "dodge"), F.col("type")).otherwise("jump"))
     return {
-        "clips": good.select("clip_id", "version", F.coalesce(F.nullif("playbackFile", F.lit("")), "source").alias("playback"), F.when(F.coalesce("direction", F.lit(1.0)) >= 0, 1).otherwise(-1).alias("direction"), F.coalesce(F.nullif("markerDiameter", F.lit(0.0)), F.lit(0.173)).alias("marker_diameter")),
+        "clips": good.select("clip_id", "version", F.coalesce(F.nullif("playbackFile", F.lit("")), "source.file").alias("playback"), F.when(F.coalesce("travelDirection", F.lit(-1.0)) >= 0, 1).otherwise(-1).alias("direction"), F.coalesce(F.nullif("markerDiameter", F.lit(0.0)), F.lit(0.173)).alias("marker_diameter")),
         "map": good.select("clip_id", F.inline("timeToDistance")),
         "path": path_.select("clip_id", "d", "y", F.when(F.col("x") > 0, F.col("x")).otherwise(F.col("_c")).alias("x"), F.when(F.col("z") > 0, F.col("z")).otherwise(F.col("y")).alias("z"), F.coalesce(F.nullif("s", F.lit("")), F.lit("floor")).alias("s")),
-        "speed": good.select("clip_id", F.inline("speedCurve")), "ambient": good.select("clip_id", F.inline("ambient")), "events": events,
+        "speed": good.select("clip_id", F.inline("screenSpeed")), "ambient": good.select("clip_id", F.inline("ambient")), "events": events,
         "hidden": good.select("clip_id", F.inline("hidden")), "foreground": good.select("clip_id", F.inline("foreground")),
         "rejected": d.filter("coalesce(size(path), 0) < 2").select("clip_id", F.lit("path of fewer than two points").alias("reason")),
     }
@@ -95,6 +101,24 @@ def level_documents(clips: DataFrame, children: dict[str, tuple[DataFrame, str]]
     return out.select("clip_id", F.to_json(F.struct(F.lit(version).alias("version"), *fields)).alias("value"))
 
 
+def assemble(clips: DataFrame, children: dict[str, tuple[DataFrame, list[str], Column]]) -> DataFrame:
+    """(clip_id, value): the JSON of clips (clip_id and any fields, nested ones too) with an array for each child.
+
+    children: field -> (table with clip_id, columns that order it, value of an element). A clip without rows of a child
+    gets an empty array. A clip's document is one value, so its children meet in one task."""
+    out = clips
+    for name, (table, order, value) in children.items():
+        rows = table.select("clip_id", F.struct(F.struct(*order).alias("o"), value.alias("v")).alias("_e"))
+        rows = rows.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["v"]).alias(name))
+        out = out.join(rows, "clip_id", "left").withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+    return out.select("clip_id", F.to_json(F.struct(*[c for c in out.columns if c != "clip_id"])).alias("value"))
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Documents (clip_id, value) as text, a folder clip_id=... for each clip, which the readers tell the clip from."""
+    docs.select("clip_id", "value").write.partitionBy("clip_id").text(path)
+
+
 def quantized_path(path: DataFrame) -> DataFrame:
     """Path samples rounded as they are stored: 3 places of d, 5 of y, x and z, half to even."""
     return path.withColumns({"d": F.bround("d", 3), **{c: F.bround(c, 5) for c in ("y", "x", "z") if c in path.columns}})
