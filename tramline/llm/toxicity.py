@@ -121,10 +121,12 @@ def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     if n > bound:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (1 << 40) * bound // n)
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark")).join(F.broadcast(known), "doc_id")
-    n = rows.agg(F.count_distinct("mark")).first()[0]
+    every, n = rows.agg(F.count("*"), F.count_distinct("mark")).first()
     if n > bound:
         rows = rows.filter(F.pmod(F.xxhash64("mark"), F.lit(1 << 40)) < (1 << 40) * bound // n)
-    return rows.dropDuplicates(["mark"]).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    if every > n:
+        rows = rows.dropDuplicates(["mark"])
+    return rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
