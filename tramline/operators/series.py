@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.arrays import array_median
 from tramline.functions.geo import bearing_deg, haversine_m
-from tramline.operators.asof import interp_join
+from tramline.operators.asof import asof_backward, interp_join
 
 _PAST = (Window.unboundedPreceding, 0)
 
@@ -126,7 +126,9 @@ def find_arcs(df: DataFrame, keys: Sequence[str], t: str, y: str, baseline: str,
 
     d = df.withColumn("_rise", F.col(baseline) - F.col(y)).withColumn("_up", F.col("_rise") > min_height)
     runs = merge_runs(d, keys, t, "_up", merge_gap, min_duration, by="time").select(*keys, "run", "start", "end")
-    inside = d.join(runs, list(keys)).filter(F.col(t).between(F.col("start"), F.col("end")))
+    # runs of a key are disjoint: the last one begun is the only one that can hold a row
+    runs = runs.withColumn(t, F.col("start"))
+    inside = asof_backward(d, runs, keys, t).filter(F.col(t).between(F.col("start"), F.col("end")))
     return inside.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max_by(t, F.struct(F.col("_rise"), -F.col(t))).alias("peak"), F.max("end").alias("end"), F.max("_rise").alias("height")).drop("run")
 
 
