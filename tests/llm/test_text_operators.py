@@ -150,10 +150,19 @@ def test_jaccard_components(docs, rows, nothing, q, num, den, n2):
                 seen.add(j)
                 todo.append(j)
         ids = [rows[j][0] for j in seen if rows[j][0] is not None]
-        want[k, len(sets[i]), min(ids) if ids else None] += 1
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, q, num, den, n2).collect())
+        want[k, len(sets[i]), min(ids) if ids else None, len(near[i])] += 1
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(docs, q, num, den, n2, links=True).collect())
     assert got == want
-    assert jaccard_components(nothing, q, num, den).count() == 0
+    assert jaccard_components(nothing, q, num, den, links=True).count() == 0
+
+
+def test_a_text_without_id_links_its_neighbours(spark):
+    from tramline.llm.jaccard_join import jaccard_components
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (None, " ".join(words[3:] + ["x", "y", "z"])), (2, " ".join(words[6:] + ["x", "y", "z", "u", "v", "t"]))]
+    got = {(r.doc_id, r.component_id, r.n_links) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, links=True).collect()}
+    assert got == {(1, 1, 1), (None, 1, 2), (2, 1, 1)}
 
 
 def test_similar_sets_share_a_signature():
@@ -183,9 +192,13 @@ def test_components_of_a_long_chain(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
-def test_group_of_near_copies_without_all_pairs(spark):
+@pytest.mark.parametrize("block", [512, 7])
+def test_group_of_near_copies_without_all_pairs(spark, monkeypatch, block):
+    from tramline.llm import jaccard_join
     from tramline.llm.jaccard_join import jaccard_components
 
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+
     r = random.Random(2)
     base = [f"t{i}" for i in range(150)]
     rows = []
@@ -193,9 +206,9 @@ def test_group_of_near_copies_without_all_pairs(spark):
         w = list(base)
         for _ in range(r.randint(0, 4)):
             w[r.randrange(len(w))] = f"n{i}_{r.random()}"
-        rows.append((i, " ".join(w)))
+        rows.append((i, " ".join(w + [f"e{j}" for j in range(i // 10)])))
     sets = [grams(t, 3) for _, t in rows]
-    parent = list(range(len(rows)))
+    parent, degree = list(range(len(rows))), collections.Counter()
 
     def find(i):
         while parent[i] != i:
@@ -207,8 +220,10 @@ def test_group_of_near_copies_without_all_pairs(spark):
         if 100 * c >= 90 * (len(sets[i]) + len(sets[j]) - c):
             a, b = sorted((find(i), find(j)))
             parent[b] = a
-    got = {x.doc_id: x.component_id for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
-    assert got == {i: find(i) for i in range(len(rows))}
+            degree.update((i, j))
+    got = {x.doc_id: (x.component_id, x.n_links) for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100, links=True).collect()}
+    assert got == {i: (find(i), degree[i]) for i in range(len(rows))}
+    assert max(degree.values()) > 20
 
 
 # ---------------------------------------------------------------- packing

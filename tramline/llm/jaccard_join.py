@@ -10,7 +10,7 @@ similar sets share one. A set whose size lies near the end of its band also emit
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -228,8 +228,8 @@ def signed(docs: DataFrame, q: int, num: int, den: int, n2: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, q: int) -> DataFrame:
     """(set_id, features) of the wanted sets, once for each task that meets one. wanted: (doc_id, set_id)."""
     n = wanted.count()
-    ids = wanted.select("doc_id").distinct()
-    some = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+    some = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -274,12 +274,93 @@ def _linked(docs: DataFrame, pairs: DataFrame, owners: DataFrame, q: int, num: i
     return joined.withColumn("common", common).filter(den * F.col("common") >= num * (both - F.col("common"))).select("a", "b").distinct()
 
 
-def jaccard_components(docs: DataFrame, q: int = 5, num: int = 8, den: int = 10, n2: int = 3, label: str = "jaccard") -> DataFrame:
+#: A block of sets of one component: about so many sets, and so many features, are compared in one step.
+BLOCK_SETS, BLOCK_FEATURES = 512, 1 << 18
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Number of common features of each set of left with each of right, by products of incidence matrices.
+
+    Only features that both sides have are columns, `width` of them at a time: memory is bounded by the sets and width."""
+    sizes = [len(v) for v in left + right]
+    _, column = np.unique(np.concatenate(left + right), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    mine = row < len(left)
+    both = np.bincount(column[mine], minlength=column.max() + 1).astype(bool) & np.bincount(column[~mine], minlength=column.max() + 1).astype(bool)
+    rank = np.cumsum(both) - 1
+    keep = both[column]
+    row, column = row[keep], rank[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, int(both.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        part = np.zeros((len(sizes), min(width, int(both.sum()) - lo)), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += (part[: len(left)] @ part[len(left) :].T).astype(np.int64)
+    return out
+
+
+def _block_links(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
+    """For the one or two blocks of a step: (set_id, links), each link counted as often as the other text occurs."""
+    def run(blocks: pa.Table) -> pa.Table:
+        sides = []
+        for block in range(blocks.num_rows):
+            ids, copies, features = (blocks.column(c)[block].values for c in ("ids", "copies", "features"))
+            # A set that several tasks have made is there more than once.
+            ids, first = np.unique(ids.to_numpy(), return_index=True)
+            sides.append((ids, copies.to_numpy()[first], [features[int(i)].values.to_numpy().view(_U) for i in first]))
+        (ia, ca, fa), (ib, cb, fb) = sides[0], sides[-1]
+        na, nb = np.array([len(v) for v in fa], np.int64), np.array([len(v) for v in fb], np.int64)
+        common = _common(fa, fb)
+        linked = den * common >= num * (na[:, None] + nb[None, :] - common)
+        if len(sides) == 1:
+            np.fill_diagonal(linked, False)
+            return pa.table({"set_id": ia, "links": linked @ ca})
+        return pa.table({"set_id": np.concatenate([ia, ib]), "links": np.concatenate([linked @ cb, linked.T @ ca])})
+
+    return run
+
+
+def set_links(docs: DataFrame, owners: DataFrame, parts: DataFrame, q: int, num: int, den: int, label: str = "jaccard") -> DataFrame:
+    """(set_id, links): rows of docs with another set that links directly with this one; sets without a link may be left out.
+
+    owners: (set_id, doc_id, size, copies), once for each set. parts: (node, component) of sets in components of two or
+    more. All links lie inside a component. Its sets are dealt to bands of sizes, of which only neighbours can link, and
+    bands by hash to blocks of about BLOCK_SETS sets and BLOCK_FEATURES features; each block meets the others of its own
+    and the next band in a step of its own, so a group of any size is spread over tasks, and no pair leaves a step. The
+    steps of a component grow with the square of its blocks: exact counts of links compare all of its pairs."""
+    # A little wider than the ratio of sizes, so that rounding cannot put two linked sets two bands apart.
+    band = F.floor(F.log(F.col("size").cast("double")) / (math.log(den / num) * 1.0001)) if num < den else F.col("size")
+    placed = owners.join(parts, F.col("set_id") == F.col("node")).select("set_id", "doc_id", "copies", "size", F.col("component").alias("part"), band.cast("long").alias("band"))
+    placed = materialize(placed, f"{label}-placed")
+    cuts = placed.groupBy("part", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_FEATURES)).cast("int").alias("blocks"))
+    near = cuts.select("part", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")).unionByName(cuts.select("part", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below")), allowMissingColumns=True)
+    near = near.groupBy("part", "band").agg(F.coalesce(F.max("above"), F.lit(0)).alias("above"), F.coalesce(F.max("below"), F.lit(0)).alias("below"))
+    cuts = materialize(cuts.join(near, ["part", "band"], "left").na.fill(0, ["above", "below"]), f"{label}-cuts")
+    dealt = placed.join(cuts, ["part", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    wanted = materialize(dealt.drop("size"), f"{label}-dealt")
+    named = wanted.drop("doc_id")
+    sets = _sets(docs, wanted.select("doc_id", "set_id"), q).join(F.broadcast(named) if wanted.count() * 6 <= BROADCAST_IDS else named, "set_id")
+    packed = sets.groupBy("part", "band", "block", "blocks", "above", "below").agg(F.collect_list(F.struct("set_id", "copies", "features")).alias("rows"))
+    packed = packed.select("part", "band", "block", "blocks", "above", "below", F.col("rows.set_id").alias("ids"), F.col("rows.copies").alias("copies"), F.col("rows.features").alias("features"))
+    packed = materialize(packed, f"{label}-packed")
+    own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("band").alias("b1"), F.least("block", b).alias("k1"), F.col("band").alias("b2"), F.greatest("block", b).alias("k2")))
+    up = F.transform(F.when(F.col("above") > 0, F.sequence(F.lit(0), F.col("above") - 1)).otherwise(F.array()), lambda b: F.struct(F.col("band").alias("b1"), F.col("block").alias("k1"), (F.col("band") + 1).alias("b2"), b.alias("k2")))
+    down = F.transform(F.when(F.col("below") > 0, F.sequence(F.lit(0), F.col("below") - 1)).otherwise(F.array()), lambda b: F.struct((F.col("band") - 1).alias("b1"), b.alias("k1"), F.col("band").alias("b2"), F.col("block").alias("k2")))
+    steps = packed.select("part", "ids", "copies", "features", F.explode(F.concat(own, up, down)).alias("step"))
+    steps = steps.filter((F.size("ids") > 1) | (F.col("step.b1") != F.col("step.b2")) | (F.col("step.k1") != F.col("step.k2")))
+    found = steps.groupBy("part", "step").applyInArrow(_block_links(num, den), "set_id long, links long")
+    return materialize(found.filter("links > 0").groupBy("set_id").agg(F.sum("links").alias("links")), f"{label}-links")
+
+
+def jaccard_components(docs: DataFrame, q: int = 5, num: int = 8, den: int = 10, n2: int = 3, label: str = "jaccard", links: bool = False) -> DataFrame:
     """Link texts whose sets of word q-grams have Jaccard similarity of num/den or more, and name components.
 
     docs: doc_id (an integer), text; other columns are ignored. n2: partitions of a group, 2 or 3; with 3 there
     are more signatures, each of more features. Returns one row for each row of docs: doc_id, n_shingles, set_id
-    (0 for texts without words), component_id: the smallest doc_id reachable by links, itself included.
+    (0 for texts without words), component_id: the smallest doc_id reachable by links, itself included; with `links`
+    also n_links: the other rows whose texts link directly with this one's, rows that repeat it included (see set_links).
 
     Texts without words, empty and null ones link with nothing and keep their own doc_id. Rows that
     repeat a text share a component. Rows of one doc_id with different texts are texts of their own.
@@ -293,7 +374,7 @@ def jaccard_components(docs: DataFrame, q: int = 5, num: int = 8, den: int = 10,
     """
     small_batches(docs.sparkSession)
     table = materialize(sketch(docs, q), f"{label}-sketch")
-    owners = table.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.max("parity").alias("parity"), F.max("wide").alias("wide"))
+    owners = table.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"), F.count("*").alias("copies"), F.max("parity").alias("parity"), F.max("wide").alias("wide"))
     owners = materialize(owners, f"{label}-owners")
     rows = signed(docs, q, num, den, n2)
     same = Window.partitionBy("signature")
@@ -323,4 +404,9 @@ def jaccard_components(docs: DataFrame, q: int = 5, num: int = 8, den: int = 10,
     least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     names = named.join(least, "part").select(F.col("set_id").alias("_set"), "component_id")
     out = table.select("doc_id", "n_shingles", "set_id").join(names, F.col("set_id") == F.col("_set"), "left")
-    return out.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    if not links:
+        return out
+    counted = set_links(docs, owners.select("set_id", "doc_id", "size", "copies"), parts, q, num, den, label)
+    counted = owners.join(counted, "set_id", "left").select("set_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return out.join(counted, "set_id", "left").select("doc_id", "n_shingles", "set_id", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

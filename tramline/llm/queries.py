@@ -12,7 +12,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.jaccard_join import jaccard_components
 
-    return jaccard_components(_docs(spark, sf_dir), q=3, num=90, den=100, n2=3, label="op2").select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(_docs(spark, sf_dir), q=3, num=90, den=100, n2=3, label="op2", links=True).drop("set_id")
 
 
 #: Target weights of the mixing query and stage.
@@ -129,7 +129,8 @@ e AS (SELECT doc_id, hash(unnest(g)) AS s FROM g),
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM e x JOIN e y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 90 * (p.n + q.n - i)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id, (SELECT count(*) FROM l WHERE l.a = n.doc_id)::BIGINT AS n_links
+FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
 """
 
 
