@@ -251,3 +251,20 @@ def test_clean_line_by_its_median(spark):
     line = list(range(100))
     out = spark.createDataFrame([(line, 20.0)], "l array<int>, s double").select(arrays.clean_line("l", "s").alias("o")).first().o
     assert [i for i, v in enumerate(out) if v != -1] == [i for i in range(100) if abs(i - 49.5) <= 20]
+
+
+def test_spans_that_overlap_touch_or_have_nulls_equal_loops(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), i, r.choice([None, *range(12)])) for i in range(150)]
+    held = [(r.choice(["a", "b", "c", None]), a, None if r.random() < 0.1 else a + r.randint(-1, 5), float(n)) for n, a in enumerate(r.randint(0, 11) for _ in range(14))]
+    df = spark.createDataFrame([(k, i, None if t is None else float(t)) for k, i, t in rows], "k string, i int, t double")
+    given = spark.createDataFrame([(k, float(a), None if b is None else float(b), n) for k, a, b, n in held], "k string, start double, end double, dy double")
+
+    def holds(k, t):
+        return [n for q, a, b, n in held if k is not None and q == k and t is not None and b is not None and a <= t <= b]
+
+    assert sorted(x.i for x in spans.in_spans(df, given, ["k"], "t").collect()) == [i for k, i, t in rows if holds(k, t)]
+    assert sorted(x.i for x in spans.not_in_spans(df, given, ["k"], "t").collect()) == [i for k, i, t in rows if not holds(k, t)]
+    assert sorted((x.i, x.dy) for x in spans.spans_at(df, given, ["k"], "t").collect()) == sorted((i, n) for k, i, t in rows for n in holds(k, t))
+    assert spans.in_spans(df, given.limit(0), ["k"], "t").count() == 0 and spans.not_in_spans(df, given.limit(0), ["k"], "t").count() == len(rows)
+    assert set(spans.spans_at(df, given, ["k"], "t").columns) == {"k", "i", "t", "start", "end", "dy"}
