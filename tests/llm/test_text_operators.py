@@ -539,6 +539,19 @@ def test_short_lines(spark):
     assert {x.doc_id: x.text for x in out}[103] == "\n"
 
 
+def test_word_classes_stay_out_of_plans(spark, monkeypatch):
+    """The table of word classes is no constant that descriptions of plans spell out, and no column of the lines either."""
+    from tramline.llm import line_dedup
+
+    texts, before = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label, **o: (texts.append((label, df._jdf.queryExecution().toString())), before(df, label, **o))[1])
+    rows = [(i, f"one two three four five {i // 2}") for i in range(6)]
+    assert sum(x.n_removed for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 3
+    assert len(texts) > 8 and max(len(t) for _, t in texts) < 100_000
+    physical = next(t for label, t in texts if label == "lines-unique").split("== Physical Plan ==")[1]
+    assert "transform(words" in physical and "AS classes" not in physical
+
+
 # ---------------------------------------------------------------- licenses
 
 

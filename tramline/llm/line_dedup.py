@@ -78,19 +78,18 @@ def line_sets(docs: DataFrame) -> DataFrame:
     return words.withColumns({"key": F.xxhash64("words"), **_parities("words")})
 
 
-def rarity(lines: DataFrame, slots: int = SLOTS) -> Column:
-    """For each slot a class of its count over the words of all lines, rarer words first. It has `slots` small numbers
-    whatever the corpus holds, and is a constant of the plans it is used in."""
+def rarity(lines: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """One row of classes: for each slot a class of its count over the words of all lines, rarer words first, in the upper
+    12 bits. It has `slots` numbers whatever the corpus holds."""
     counts = lines.select(F.explode("words").alias("h")).groupBy(F.col("h").bitwiseAND(slots - 1).alias("slot")).count()
-    classes = counts.select("slot", F.floor(F.log2("count") * 3 + 1).cast("int").alias("c"))
-    every = lines.sparkSession.range(slots).select(F.col("id").alias("slot")).join(classes, "slot", "left").select("slot", F.coalesce("c", F.lit(0)).alias("c"))
-    packed = every.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("slot", "c"))), lambda e: e["c"])).alias("j")).first()[0]
-    return F.from_json(F.lit(packed), "array<int>")
+    classes = counts.select("slot", F.shiftleft(F.floor(F.log2("count") * 3 + 1).cast("long"), 52).alias("c"))
+    every = lines.sparkSession.range(slots).select(F.col("id").alias("slot")).join(classes, "slot", "left").select("slot", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "c"))), lambda e: e["c"]).alias("classes"))
 
 
-def prefix(words: str, classes: Column, num: int, den: int, slots: int = SLOTS) -> Column:
+def prefix(words: str, classes: str, num: int, den: int, slots: int = SLOTS) -> Column:
     """32 bits of each prefix word: the words are put in order, rarest first, by the class of their slot, then their hash."""
-    code = F.transform(words, lambda x: F.coalesce(F.shiftleft(F.get(classes, x.bitwiseAND(slots - 1).cast("int")).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(x, 12)), F.lit(0).cast("long")))
+    code = F.transform(words, lambda x: F.coalesce(F.col(classes)[x.bitwiseAND(slots - 1)].bitwiseOR(F.shiftrightunsigned(x, 12)), F.lit(0).cast("long")))
     size = F.size(words)
     some = F.slice(F.sort_array(code), 1, size - F.ceil(size * F.lit(num) / den).cast("int") + 1)
     return F.transform(some, lambda w: w.bitwiseXOR(F.shiftrightunsigned(w, 21)).bitwiseAND(0x7FFFFFFF).cast("int"))
@@ -155,8 +154,9 @@ def later_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_W
     """(id, pos, mark) of every line with an earlier one of similarity num/den: id and mark tell the rows of docs, pos
     is the line's number."""
     lines = materialize(line_sets(docs), "lines-words", **{"parquet.dictionary.page.size": 16 << 20}).filter(F.col("n") >= max(1, least))
-    classes = rarity(lines)
-    sized = lines.select("key", "id", "pos", "mark", F.size("words").alias("size"), prefix("words", classes, num, den).alias("prefix"), *_ODD)
+    classes = materialize(rarity(lines), "lines-classes")  # read by a subquery: as a constant, every description of the plan would spell it out
+    sized = lines.select("key", "id", "pos", "mark", "words", *_ODD, classes.scalar().alias("classes"))
+    sized = sized.select("key", "id", "pos", "mark", F.size("words").alias("size"), prefix("words", "classes", num, den).alias("prefix"), *_ODD)
     whole = [F.first(c).alias(c) for c in ("size", "prefix", *_ODD)]  # the same for all lines of a word set
     unique = sized.groupBy("key").agg(F.min(F.struct("id", "pos", "mark")).alias("f"), F.count("*").alias("copies"), *whole)
     unique = materialize(unique.select(F.monotonically_increasing_id().alias("line"), "key", "f.*", "copies", "size", "prefix", *_ODD), "lines-unique")
