@@ -552,6 +552,29 @@ def test_word_classes_stay_out_of_plans(spark, monkeypatch):
     assert "transform(words" in physical and "AS classes" not in physical
 
 
+def test_word_sets_are_read_without_a_shuffle(spark, monkeypatch):
+    """The sets of the compared lines come by their rows' numbers; they are not sorted or shuffled to drop repeats."""
+    from tramline.llm import line_dedup
+
+    plans, before = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label, **o: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), before(df, label, **o))[1])
+    rows = [(i % 4, f"one two three four five {i % 4 // 2}\nsix seven eight nine ten {i % 4}") for i in range(12)]
+    check_lines(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    sets = [p for label, p in plans if label == "lines-sets"]
+    assert len(sets) == 2 and not any("Aggregate" in p or "hashpartitioning" in p for p in sets)
+
+
+def test_words_are_spelt_apart_as_they_are_folded(spark):
+    """Two words are spelt alike if and only if they are the same with A-Z lower-cased, in texts of ASCII and others."""
+    from tramline.llm.line_dedup import _folded, _spelt
+
+    some = ["A", "a", "I", "i", "É", "é", "Á", "á", "ã", "Ã", "\u3042", "\u3041", "\xb5", "ß", "ẞ", "ÿ", "Ÿ", "×", "÷", "İ", "ı", "\u212a", "Σ", "ς", "σ", "\U0001f600", "\U00010400", "\U00010428", "日", "\xa0"]
+    texts = [*some, *(a + b for a in some for b in some), "Tab\tÉ\x0bB\fC\rD", "tab é b c d", "tab É b c d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(_folded(F.col("text")).alias("f"), _spelt(F.col("text")).alias("s")).distinct().collect()
+    assert len(rows) == len({r.f for r in rows}) == len({r.s for r in rows}) and len(rows) > 800
+    assert spark.range(1).filter(_spelt(F.lit(None).cast("string")).isNull()).count() == 1
+
+
 # ---------------------------------------------------------------- licenses
 
 

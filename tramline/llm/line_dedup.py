@@ -60,6 +60,17 @@ def _folded(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER + _SPACES, _LOWER + " " * len(_SPACES)))
 
 
+def _spelt(text: Column) -> Column:
+    """_folded for ASCII texts; others have a Latin-1 letter for each byte of UTF-8 before they are lower-cased and spaced alike.
+
+    Words are the same so if they are the same folded. Beyond A-Z only the first bytes of two-byte characters change, to those
+    of longer characters, and these are followed by more bytes. This takes less than looking up each character."""
+    low = F.lower(F.decode(F.make_valid_utf8(text).cast("binary"), "ISO-8859-1"))
+    spaced = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in _SPACES])
+    other = F.when(spaced, F.translate(low, _SPACES, " " * len(_SPACES))).otherwise(low)
+    return F.when(F.octet_length(text) == F.char_length(text), _folded(text)).otherwise(other)
+
+
 def _parities(words: str) -> dict[str, Column]:
     """odd0: 64 parities of the words; odd1: the same of half of them, for long lines. Every word that only one of two
     lines has flips one bit of odd0, and one of 128 if odd1 is taken apart from it."""
@@ -71,7 +82,7 @@ def _parities(words: str) -> dict[str, Column]:
 def line_sets(docs: DataFrame) -> DataFrame:
     """(id, mark, pos, n, words, key, odd0, odd1) of every line of docs (doc_id, text) that has words: n words, of which
     words are the distinct ones' hashes, in order; key stands for the set."""
-    lines = docs.select(*_keyed(), F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("pos", "line"))
+    lines = docs.select(*_keyed(), F.posexplode(F.split(_spelt(F.col("text")), "\n")).alias("pos", "line"))
     hashes = F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
     words = lines.select("id", "mark", "pos", hashes.alias("h"))
     words = words.select("id", "mark", "pos", F.size("h").alias("n"), F.sort_array(F.array_distinct("h")).alias("words"))
@@ -139,9 +150,9 @@ def _all_pairs(lines: DataFrame, num: int, den: int, part: int) -> DataFrame:
 def _later(pairs: DataFrame, lines: DataFrame, unique: DataFrame, num: int, den: int) -> DataFrame:
     """The later lines (line) of those pairs (x, y; distinct) whose word sets reach the threshold."""
     ends = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct()
-    wanted = materialize(unique.select("line", "id", "pos", "mark").join(_small(materialize(ends, "lines-ends")), "line"), "lines-wanted")
-    held = lines.select("id", "pos", "mark", "words").join(_small(wanted), ["id", "pos", "mark"]).select("line", "id", "pos", "mark", "words")
-    sets = materialize(held.dropDuplicates(["line"]), "lines-sets")  # a repeated row holds its lines once more
+    wanted = materialize(unique.select("line", "row", "id", "pos", "mark").join(_small(materialize(ends, "lines-ends")), "line"), "lines-wanted")
+    held = lines.select("row", "words").join(_small(wanted), "row").select("line", "id", "pos", "mark", "words")
+    sets = materialize(held, "lines-sets")  # row is one written line, also where a row of docs is repeated
     joined = pairs
     for s in "xy":
         joined = joined.join(sets.select(F.col("line").alias(s), F.struct("id", "pos", "mark").alias(f"{s}at"), F.col("words").alias(f"{s}words")), s)
@@ -153,12 +164,13 @@ def _later(pairs: DataFrame, lines: DataFrame, unique: DataFrame, num: int, den:
 def later_lines(docs: DataFrame, num: int = 8, den: int = 10, least: int = MIN_WORDS) -> DataFrame:
     """(id, pos, mark) of every line with an earlier one of similarity num/den: id and mark tell the rows of docs, pos
     is the line's number."""
-    lines = materialize(line_sets(docs), "lines-words", **{"parquet.dictionary.page.size": 16 << 20}).filter(F.col("n") >= max(1, least))
+    numbered = line_sets(docs).withColumn("row", F.monotonically_increasing_id())
+    lines = materialize(numbered, "lines-words", **{"parquet.dictionary.page.size": 16 << 20}).filter(F.col("n") >= max(1, least))
     classes = materialize(rarity(lines), "lines-classes")  # read by a subquery: as a constant, every description of the plan would spell it out
-    sized = lines.select("key", "id", "pos", "mark", "words", *_ODD, classes.scalar().alias("classes"))
-    sized = sized.select("key", "id", "pos", "mark", F.size("words").alias("size"), prefix("words", "classes", num, den).alias("prefix"), *_ODD)
+    sized = lines.select("key", "id", "pos", "mark", "row", "words", *_ODD, classes.scalar().alias("classes"))
+    sized = sized.select("key", "id", "pos", "mark", "row", F.size("words").alias("size"), prefix("words", "classes", num, den).alias("prefix"), *_ODD)
     whole = [F.first(c).alias(c) for c in ("size", "prefix", *_ODD)]  # the same for all lines of a word set
-    unique = sized.groupBy("key").agg(F.min(F.struct("id", "pos", "mark")).alias("f"), F.count("*").alias("copies"), *whole)
+    unique = sized.groupBy("key").agg(F.min(F.struct("id", "pos", "mark", "row")).alias("f"), F.count("*").alias("copies"), *whole)
     unique = materialize(unique.select(F.monotonically_increasing_id().alias("line"), "key", "f.*", "copies", "size", "prefix", *_ODD), "lines-unique")
 
     copied = materialize(unique.filter("copies > 1").select("key", F.struct("id", "pos", "mark").alias("first")), "lines-copied")
