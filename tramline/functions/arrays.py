@@ -55,10 +55,10 @@ def displaced(values: Column, baseline: Column, threshold: float = 0.035) -> tup
 
 
 def column_median(line: Column, window: int = 9) -> Column:
-    """Running median along the columns, ends repeated; lines shorter than the window stay as they are."""
+    """Running median along the columns, ends repeated, columns without value left out; lines shorter than the window stay as they are."""
     h = window // 2
     padded = F.concat(F.array_repeat(F.element_at(line, 1), h), line, F.array_repeat(F.element_at(line, -1), h))
-    run = F.transform(F.sequence(F.lit(1), F.size(line)), lambda i: array_median(F.slice(padded, i, window)))
+    run = F.transform(F.sequence(F.lit(1), F.size(line)), lambda i: array_median(F.filter(F.slice(padded, i, window), lambda v: v.isNotNull())))
     return F.when(F.size(line) >= window, run).otherwise(line.cast("array<double>"))
 
 
