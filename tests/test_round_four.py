@@ -1,4 +1,8 @@
+import collections
+import types
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tramline.plans import function_queries
@@ -18,3 +22,40 @@ def test_smoothed_columns_equal_sql_to_the_sign_of_zero(spark, tmp_path):
     want = con.sql(f"SELECT vec_id, line::VARCHAR FROM ({function_queries.ORACLES['smoothed_columns']}) ORDER BY 1").fetchall()
     assert "-0.0," in want[0][1]
     assert con.sql(f"SELECT vec_id, line::VARCHAR FROM '{out}/*.parquet' ORDER BY 1").fetchall() == want
+
+
+# ---------------------------------------------------------------- collocations
+
+
+def test_collocations_sketch_of_pairs_holds_where_counters_are_few():
+    """Random words: each is frequent, hardly a pair is, and no longer window. With twelve windows of a length for each counter
+    all windows once kept their four words; now what is longer than a pair is counted only where its pairs may be frequent."""
+    from tramline.llm import collocations as c
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 2500, 4000)) for _ in range(200)] + ["new york is big"] * 40
+    batch = pa.record_batch([pa.array(texts), pa.array(["en"] * len(texts))], ["text", "lang"])
+    slots, box = 1 << 16, types.SimpleNamespace
+
+    def bits(short=None):
+        made = np.zeros(slots // 8, np.uint8)
+        for found in c._frequent_bits(30)(c._sketch(slots, short)([batch])):
+            for block, raw in zip(found["block"].to_pylist(), found["bits"].to_pylist()):
+                made[block * c.BLOCK // 8 : (block + 1) * c.BLOCK // 8] = np.frombuffer(raw, np.uint8)
+        return box(value=made.tobytes())
+
+    short = bits()
+    out = pa.Table.from_batches(c._windows(short, bits(short))([batch])).to_pylist()
+    four = collections.Counter((x["w1"], x["w2"], x["w3"], x["w4"]) for x in out if x["w4"])
+    assert ("new", "york", "is", "big") in four and len(four) < 100_000
+    assert sum(x["n"] for x in out) == 200 * 4000 + 160
+
+
+def test_collocations_of_a_least_count_beyond_a_counter(spark, monkeypatch):
+    from tramline.llm import collocations as c
+
+    monkeypatch.setattr(c, "SLOTS", 1 << 16)
+    monkeypatch.setattr(c, "MOST", 1 << 16)
+    docs = spark.createDataFrame([("one two one two", "en")] * 200 + [("one three", "en")] * 20, "text string, lang string")
+    found = {tuple(x["words"]): x["f"] for x in c.count_phrases(docs, 300).collect()}
+    assert found == {(): 840, ("one",): 420, ("two",): 400, ("one", "two"): 400}

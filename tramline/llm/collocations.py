@@ -5,9 +5,10 @@ to the longest phrase. Windows are all that is counted. Spark's ROLLUP then sums
 the count of a phrase is the sum of the windows that begin with it, and the sum of all windows is the number
 of words. No table of shorter n-grams is made.
 
-A window is also padded from where its phrase cannot reach the least count. A sketch of saturating
-counters, summed over the whole corpus, tells this: it never undercounts, so no phrase of the least count
-is lost, and a collision only keeps a window that could have been shorter. The sketch has a fixed size.
+A window is also padded from where its phrase cannot reach the least count. Sketches of saturating
+counters, summed over the whole corpus, tell this: they never undercount, so no phrase of the least count
+is lost, and a collision only keeps a window that could have been shorter. The first counts words and pairs; the
+second counts longer windows, and only those whose pairs all may be frequent. Their size grows with the corpus, up to a bound.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from tramline.llm._common import LOWER, chunks, materialize, mix, small_batches,
 
 _U = np.uint64
 LONGEST = 4
-#: Counters of the sketch (one byte each in a task, one bit each in what all tasks get: 8 MB), and those of a block.
-SLOTS, BLOCK = 1 << 26, 1 << 16
+#: Counters of a sketch at least and at most (a bit each in what all tasks get: 8 to 64 MB a sketch), and those of a block.
+SLOTS, MOST, BLOCK = 1 << 26, 1 << 29, 1 << 16
+#: Bytes of text for each counter, and counted slots that a task holds before it sends them on.
+TEXT, HELD = 20, 1 << 22
 #: Bytes of text whose equal windows are counted together before they leave a task.
 BUFFER = 4 << 20
 #: Phrases of one language are ranked first inside so many parts of them.
@@ -91,20 +94,67 @@ def _read(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[Words, list[str]]
         yield Words(data, offsets, langs[lo:hi], hashes), names
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's counters, saturated at 255, as the blocks that hold any."""
-    counters, used = np.zeros(SLOTS, np.uint8), False
-    for batch in batches:
-        for words, _ in _read(batch, BUFFER):
-            for k in range(1, LONGEST + 1):
-                slots, n = np.unique((words.of(k) & _U(SLOTS - 1)).astype(np.uint32), return_counts=True)
-                counters[slots] = np.minimum(255, counters[slots] + n).astype(np.uint8)
-                used |= len(slots) > 0
-    if used:
-        pack = zstandard.ZstdCompressor(level=1)
-        for b in range(0, SLOTS, 64 * BLOCK):
-            rows = [(x // BLOCK, pack.compress(part.tobytes())) for x in range(b, b + 64 * BLOCK, BLOCK) if (part := counters[x : x + BLOCK]).any()]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "counters"])
+def _slots(grams: np.ndarray, slots: int) -> np.ndarray:
+    return (grams & _U(slots - 1)).astype(np.uint32)
+
+
+def _lit(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Whether the counter of each hash reached the least count."""
+    slot = _slots(grams, len(bits) * 8)
+    return ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _later(x: np.ndarray, k: int) -> np.ndarray:
+    """x of the window k words on; false beyond the last."""
+    return np.append(x[k:], np.zeros(min(k, len(x)), bool))
+
+
+def _pairs(words: Words, short: np.ndarray) -> np.ndarray:
+    """Whether the window of two words from each word on may reach the least count."""
+    return (words.have >= 2) & _lit(short, words.grams[1])
+
+
+def _packed(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Counted slots (slot * 256 + count, 255 at most) summed and cut into blocks: gaps between slots, then counts, byte by byte."""
+    key = np.sort(np.concatenate(found))
+    slot = key >> _U(8)
+    first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+    n = np.minimum(255, np.add.reduceat((key & _U(255)).astype(np.int64), first)).astype(np.uint8)
+    block, low = (slot[first] // _U(BLOCK)).astype(np.int32), (slot[first] % _U(BLOCK)).astype(np.int64)
+    edges = [*np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)]
+    pack = zstandard.ZstdCompressor(level=1)
+    rows = []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        gaps = np.diff(low[lo:hi], prepend=0).astype("<u2").view(np.uint8)
+        rows.append((int(block[lo]), pack.compress(gaps[0::2].tobytes() + gaps[1::2].tobytes() + n[lo:hi].tobytes())))
+    for lo in range(0, len(rows), 256):
+        yield pa.record_batch([pa.array([r[0] for r in rows[lo : lo + 256]], pa.int32()), pa.array([r[1] for r in rows[lo : lo + 256]], pa.binary())], ["block", "counters"])
+
+
+def _sketch(slots: int, short):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counters of the windows of one and two words; with the bits of those, of the longer windows whose pairs all may be frequent."""
+        bits = np.frombuffer(short.value, np.uint8) if short is not None else None
+        found, held = [], 0
+        for batch in batches:
+            for words, _ in _read(batch, BUFFER):
+                if bits is None:
+                    grams = [words.of(1), words.of(2)]
+                else:
+                    two = _pairs(words, bits)
+                    three = two & _later(two, 1)
+                    grams = [words.grams[2][three & (words.have >= 3)], words.grams[3][three & _later(two, 2) & (words.have >= 4)]]
+                slot, n = np.unique(_slots(np.concatenate(grams), slots), return_counts=True)
+                if len(slot):
+                    found.append((slot.astype(_U) << _U(8)) | np.minimum(n, 255).astype(_U))
+                    held += len(slot)
+                if held > HELD:
+                    yield from _packed(found)
+                    found, held = [], 0
+        if found:
+            yield from _packed(found)
+
+    return run
 
 
 def _frequent_bits(least: int):
@@ -114,14 +164,27 @@ def _frequent_bits(least: int):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = np.frombuffer(unpack.decompress(raw), np.uint8)
-                total[block] = np.minimum(255, total[block].astype(np.uint16) + more).astype(np.uint8) if block in total else more
+                raw = np.frombuffer(unpack.decompress(raw), np.uint8)
+                n = len(raw) // 3
+                at = np.cumsum(raw[:n].astype(np.int64) + (raw[n : 2 * n].astype(np.int64) << 8))
+                sums = total.setdefault(block, np.zeros(BLOCK, np.uint8))
+                sums[at] = np.minimum(255, sums[at].astype(np.uint16) + raw[2 * n :])
         if total:
-            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([np.packbits(t >= least, bitorder="little").tobytes() for t in total.values()], pa.binary())], ["block", "bits"])
+            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([np.packbits(t >= min(least, 255), bitorder="little").tobytes() for t in total.values()], pa.binary())], ["block", "bits"])
 
     return run
 
 
+def _frequent(slim: DataFrame, least: int, slots: int, label: str, short=None):
+    """The bits of one sketch of `slots` counters, sent to all tasks."""
+    sketch = slim.mapInArrow(_sketch(slots, short), "block int, counters binary").repartition("block")
+    found = materialize(sketch.mapInArrow(_frequent_bits(least), "block int, bits binary"), label)
+    bits = np.zeros(slots // 8, np.uint8)
+    for row in found.toLocalIterator():  # slots / BLOCK rows of BLOCK / 8 bytes at most
+        bits[row.block * (BLOCK // 8) : (row.block + 1) * (BLOCK // 8)] = np.frombuffer(row.bits, np.uint8)
+    return slim.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
 def _take(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The given spans of bytes as a string column."""
     size = ends - starts
@@ -131,19 +194,22 @@ def _take(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes()))
 
 
-def _windows(bits):
+def _windows(short, long):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct padded windows of each buffer and how often they occur in it."""
-        frequent = np.frombuffer(bits.value, np.uint8)
+        few, many = np.frombuffer(short.value, np.uint8), np.frombuffer(long.value, np.uint8)
         for batch in batches:
             for words, names in _read(batch, BUFFER):
                 n = len(words.h)
                 if not n:
                     continue
-                lead, going = np.zeros(n, np.int64), np.ones(n, bool)
-                for k in range(1, LONGEST + 1):
-                    slot = words.grams[k - 1] & _U(SLOTS - 1)
-                    going &= (words.have >= k) & ((frequent[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1).astype(bool)
+                one, two = _lit(few, words.grams[0]), _pairs(words, few)
+                three = two & _later(two, 1) & (words.have >= 3)
+                three[three] = _lit(many, words.grams[2][three])
+                four = three & _later(three, 1) & (words.have >= 4)
+                four[four] = _lit(many, words.grams[3][four])
+                lead = np.zeros(n, np.int64)
+                for going in (one, one & two, one & three, one & four):
                     lead += going
                 key = np.where(lead > 0, np.stack(words.grams)[np.maximum(lead, 1) - 1, np.arange(n)], words.lang.astype(_U))
                 _, at, count = np.unique(mix(key + lead.astype(_U) * _STEP[0]), return_index=True, return_counts=True)
@@ -166,13 +232,14 @@ def count_phrases(docs: DataFrame, least: int, label: str = "collocations", text
     spark = docs.sparkSession
     small_batches(spark)
     slim = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
-    sketch = slim.mapInArrow(_sketch, "block int, counters binary").repartition("block")
-    found = materialize(sketch.mapInArrow(_frequent_bits(least), "block int, bits binary"), f"{label}-sketch")
-    bits = np.zeros(SLOTS // 8, np.uint8)
-    for row in found.toLocalIterator():  # SLOTS / BLOCK rows of BLOCK / 8 bytes at most
-        bits[row.block * (BLOCK // 8) : (row.block + 1) * (BLOCK // 8)] = np.frombuffer(row.bits, np.uint8)
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = SLOTS
+    while slots < MOST and slots * TEXT < size:
+        slots *= 2
+    short = _frequent(slim, least, slots, f"{label}-sketch")
+    long = _frequent(slim, least, slots, f"{label}-sketch", short)
     leads = [f"w{k}" for k in range(1, LONGEST + 1)]
-    windows = slim.mapInArrow(_windows(spark.sparkContext.broadcast(bits.tobytes())), "lang string, " + ", ".join(f"{w} string" for w in leads) + ", n long")
+    windows = slim.mapInArrow(_windows(short, long), "lang string, " + ", ".join(f"{w} string" for w in leads) + ", n long")
     windows = windows.groupBy("lang", *leads).agg(F.sum("n").alias("n"))
     sums = windows.rollup("lang", *leads).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
     kept = F.lit(False)
