@@ -59,3 +59,36 @@ def test_collocations_of_a_least_count_beyond_a_counter(spark, monkeypatch):
     docs = spark.createDataFrame([("one two one two", "en")] * 200 + [("one three", "en")] * 20, "text string, lang string")
     found = {tuple(x["words"]): x["f"] for x in c.count_phrases(docs, 300).collect()}
     assert found == {(): 840, ("one",): 420, ("two",): 400, ("one", "two"): 400}
+
+
+# ---------------------------------------------------------------- jump windows
+
+
+def test_cues_of_many_clips_are_solved_together():
+    """A call for thousands of clips, in batches that cut clips anywhere, does what a call for each clip does, in seconds."""
+    import time
+
+    from tramline.plans import jumps
+
+    rng = np.random.default_rng(4)
+    rows, cue = [], {"type": "jump", "label": "x", "height": 0.3, "airTime": None, "window": 0.5}
+    for clip in range(3000):
+        for i in range(12):
+            t = i * 0.15
+            rows.append((clip, 0, t, 0.5 + 0.01 * (i % 7), 0.4, None, None, None))
+            rows.append((clip, 1, t, None, None, None, None, None))
+            if rng.random() < 0.5:
+                rows.append((clip, 2, t, x := rng.random(), y := rng.random() / 2, x + 0.1, y + 0.3, None))
+        rows += [(clip, 3, None, 0.17 if clip % 9 else None, None, None, None, {"clip_id": clip, "time": 0.3 + k, **cue}) for k in range(2)]
+    rows.sort(key=lambda r: (r[0], r[1], r[2] or 0))
+    kinds = [pa.int64(), pa.int32(), *[pa.float64()] * 5, pa.struct([("clip_id", pa.int64()), ("time", pa.float64()), ("type", pa.string()), ("label", pa.string()), ("height", pa.float64()), ("airTime", pa.float64()), ("window", pa.float64())])]
+    names = ["_clip", "kind", "t", *"abcd", "_cue"]
+    table = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    began = time.monotonic()
+    together = pa.Table.from_batches(jumps._solve(iter(table.to_batches(max_chunksize=977)))).to_pylist()
+    assert time.monotonic() - began < 20 and len(together) == 6000
+    few = 40
+    ends = np.flatnonzero(np.diff([r[0] for r in rows], append=-1)) + 1
+    alone = [x for lo, hi in zip([0, *ends[:few]], ends[:few]) for x in jumps._solved(table.slice(lo, hi - lo)).to_pylist()]
+    assert together[: 2 * few] == alone
+    assert sum(x["window"] != 0.5 for x in together) > 1000 and all(x["window"] == 0.5 for x in together if x["clip_id"] % 9 == 0)
