@@ -120,3 +120,38 @@ def test_disc_hits_equal_a_decoded_mask(spark):
     assert "aggregate" not in str(masks.disc_hits(F.col("runs"), "w", "h", "cx", "cy", "rx", "ry"))
     assert {r.i: r.hit for r in df.collect()} == want
     assert 30 < sum(bool(x) for x in want.values()) < 270
+
+
+# ---------------------------------------------------------------- occlusion
+
+
+def test_a_chain_of_lookups_deals_rows_out_once(spark):
+    """What a lookup gives lies by clip already; the next one used to deal all of it out again."""
+    from tramline.operators.asof import interp_join
+
+    rows = lambda names: spark.createDataFrame([("c", 0.0, 0.0), ("c", 10.0, 5.0)], f"clip_id string, {names}").repartition("clip_id")
+    at = rows("t double, n double")
+    for x, y in (("t", "d"), ("d", "y")):
+        at = interp_join(at, rows(f"{x} double, {y} double"), ["clip_id"], x, [y])
+    assert [(r.t, r.d, r.y) for r in at.orderBy("t").collect()] == [(0.0, 0.0, 0.0), (10.0, 5.0, 2.5)]
+    assert at._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+
+
+def test_cut_leaves_no_shuffle_files(spark, tmp_path):
+    """The shuffle files of a table that is written go with the write; settings come back as they were."""
+    from tramline.operators.lineage import ALL_KEYS, CLEANUP, cut
+
+    before = [spark.conf.get(name, None) for name in (CLEANUP, ALL_KEYS)]
+    d = spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").agg({"id": "sum"})
+    plain = {tuple(r) for r in d.collect()}
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return sum("shuffle_" in found.apply(i).getName() for i in range(found.size()))
+
+    had = files()
+    out = cut(d, grouped=True)
+    assert files() <= had
+    assert {tuple(r) for r in out.collect()} == plain
+    assert [spark.conf.get(name, None) for name in (CLEANUP, ALL_KEYS)] == before
