@@ -155,3 +155,32 @@ def test_cut_leaves_no_shuffle_files(spark, tmp_path):
     assert files() <= had
     assert {tuple(r) for r in out.collect()} == plain
     assert [spark.conf.get(name, None) for name in (CLEANUP, ALL_KEYS)] == before
+
+
+# ---------------------------------------------------------------- near vectors
+
+
+def test_searches_hold_a_bounded_part_of_a_crowded_graph(monkeypatch):
+    """Wide beams and comparisons with all nodes go by few queries at a time: what is found stays, what is held does not grow with it."""
+    import tracemalloc
+
+    from tramline.llm import hnsw
+
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((1000, 8)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    graph = hnsw.Graph.build(v, np.sort(hnsw._heights(np.arange(len(v))))[::-1])
+    q, low = v[:256], np.full(256, 0.6, np.float32)
+
+    def found():
+        tracemalloc.start()
+        i, j = hnsw.hits(graph, q, low, 32)
+        held = tracemalloc.get_traced_memory()[1] - 4 * i.nbytes
+        tracemalloc.stop()
+        return set(zip(i.tolist(), j.tolist())), held
+
+    whole, much = found()
+    monkeypatch.setattr(hnsw, "AT_ONCE", 1 << 16)
+    some, little = found()
+    assert some == whole and little < much / 2
+    assert hnsw.audited(graph, q, low, np.arange(32)) >= 32

@@ -28,7 +28,10 @@ WIDE, INSERT, ASK = 4, 512, 512
 #: Sampled queries of a block's audit, and as many probes, and the recall it must reach.
 AUDIT, RECALL = 128, 0.98
 #: Shards at least, leaders of a shard, queries of a block.
-SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 100_000, 16_384
+SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 100_000, 65_536
+#: Numbers of a table that a step of a search holds at once (queries times nodes, or times the beam), and partitions of the search: few
+#: enough that a shuffle writes graphs as they come, without sorting them in memory.
+AT_ONCE, PARTS = 1 << 24, 200
 #: Planes whose signs make a bundle's key, and the least cosine of a member to its leader.
 PLANES, TIGHT = 32, 0.99
 
@@ -155,8 +158,9 @@ def hits(graph: Graph, q: np.ndarray, least: np.ndarray, width: int) -> tuple[np
     out, todo, n = [], np.arange(len(q)), len(graph.v)
     while len(todo):
         again = []
-        for lo in range(0, len(todo), ASK):
-            part = todo[lo : lo + ASK]
+        step = max(8, min(ASK, AT_ONCE // max(n, 64 * width)))
+        for lo in range(0, len(todo), step):
+            part = todo[lo : lo + step]
             if width >= n:
                 r, c = np.nonzero(q[part] @ graph.v.T >= least[part, None])
                 out.append((part[r], c))
@@ -181,7 +185,10 @@ def audited(graph: Graph, q: np.ndarray, least: np.ndarray, sample: np.ndarray,
     aside -= np.einsum("ij,ij->i", aside, of)[:, None] * of
     probes = low[:, None] * of + np.sqrt(1 - low**2)[:, None] * aside / np.maximum(np.linalg.norm(aside, axis=1), 1e-9)[:, None]
     asked, low = np.concatenate([q[sample], probes.astype(np.float32)]), np.concatenate([low, low]) - np.float32(1e-5)
-    truth = set(zip(*np.nonzero(asked @ graph.v.T >= low[:, None])))
+    truth, step = set(), max(8, AT_ONCE // (4 * n))
+    for lo in range(0, len(asked), step):
+        i, j = np.nonzero(asked[lo : lo + step] @ graph.v.T >= low[lo : lo + step, None])
+        truth |= set(zip(i + lo, j))
     while width < n:
         i, j = hits(graph, asked, low, width)
         if len(truth & set(zip(i, j))) >= RECALL * len(truth):
@@ -220,27 +227,41 @@ def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([float(np.frombuffer(x) @ np.frombuffer(y)) for x, y in zip(a, b)], dtype="float64")
 
 
-def _built(rows: pd.DataFrame) -> pd.DataFrame:
-    high = _heights(rows["leader"].to_numpy())
-    order = np.lexsort((rows["leader"], -high))
-    rows, high = rows.iloc[order], high[order]
-    v = np.stack([np.frombuffer(x) for x in rows["unit"]])
-    g = Graph.build(v.astype(np.float32), high)
+def _vectors(units: pa.ChunkedArray) -> np.ndarray:
+    """A row for each vector of one length, without a copy of the column."""
+    units = units.combine_chunks()
+    _, offsets, data = units.buffers()
+    at = np.frombuffer(offsets, np.int32)[units.offset : units.offset + len(units) + 1]
+    return np.frombuffer(data, np.float64, (at[-1] - at[0]) // 8, at[0]).reshape(len(units), -1)
+
+
+def _built(rows: pa.Table) -> pa.Table:
+    leader, r = rows["leader"].to_numpy(), rows["r"].to_numpy()
+    high = _heights(leader)
+    order = np.lexsort((leader, -high))
+    v = _vectors(rows["unit"])[order]
+    head = rows.select(["dim", "shard"]).slice(0, 1)
+    del rows
+    g = Graph.build(v.astype(np.float32), high[order])
     blob = io.BytesIO()
-    np.savez(blob, v=v, leader=rows["leader"].to_numpy(), r=rows["r"].to_numpy(), **{f"links{k}": x for k, x in enumerate(g.links)})
-    return pd.DataFrame({"dim": rows["dim"].iloc[:1], "shard": rows["shard"].iloc[:1], "graph": [blob.getvalue()]})
+    np.savez(blob, v=v, leader=leader[order], r=r[order], **{f"links{k}": x for k, x in enumerate(g.links)})
+    whole = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, blob.tell()], np.int32)), pa.py_buffer(blob.getbuffer())])
+    return head.append_column("graph", whole)
 
 
 def _asked(least: float):
-    def run(asked: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
+    def run(asked: pa.Table, graphs: pa.Table) -> pa.Table:
         """Pairs of leaders that may be linked: `full` if all members are, by the bundles' angles."""
+        kind = pa.schema({"a": pa.int64(), "b": pa.int64(), "full": pa.bool_(), "width": pa.int32()})
         if not len(asked) or not len(graphs):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "full": pd.Series(dtype="bool"), "width": pd.Series(dtype="int32")})
-        z = np.load(io.BytesIO(graphs["graph"].iloc[0]))
+            return kind.empty_table()
+        z = np.load(pa.BufferReader(graphs["graph"][0].as_buffer()))
         v, node, r = z["v"], z["leader"], z["r"]
         graph = Graph(v.astype(np.float32), [z[f"links{k}"] for k in range(sum(x.startswith("links") for x in z.files))])
-        asked = asked.sort_values("leader")
-        q, me, mine = np.stack([np.frombuffer(x) for x in asked["unit"]]), asked["leader"].to_numpy(), asked["r"].to_numpy()
+        del graphs
+        order = np.argsort(asked["leader"].to_numpy(), kind="stable")
+        q, me, mine = _vectors(asked["unit"])[order], asked["leader"].to_numpy()[order], asked["r"].to_numpy()[order]
+        del asked
         angle = np.arccos(least)
         low = np.cos(np.minimum(np.pi, angle + mine + r.max())).astype(np.float32) - np.float32(1e-5)
         q32 = q.astype(np.float32)
@@ -253,7 +274,7 @@ def _asked(least: float):
         full = np.where(slack == 0, cos >= least, between + slack <= angle - 1e-9)
         maybe = full | (slack > 0) & (between - slack <= angle + 1e-9)
         a, b = me[i][maybe], node[j][maybe]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "full": full[maybe], "width": np.int32(width)})
+        return pa.table([np.minimum(a, b), np.maximum(a, b), full[maybe], np.full(len(a), width, np.int32)], schema=kind)
 
     return run
 
@@ -265,8 +286,8 @@ def near_vectors(rows: DataFrame, least: float = 0.9, label: str = "hnsw", vec_i
     lengths. Rows that share a vec_id are vectors of their own. component_id is the smallest vec_id (nulls aside) that
     links reach; a row without vec_id is kept if that is null too. An empty table gives an empty result.
 
-    Bounds: a shard's graph holds about SHARD_ROWS leaders (some 900 bytes each at 64 numbers), a task asks BLOCK_ROWS
-    queries of one graph. Members of two bundles are compared one by one only where the leaders' angle leaves it open.
+    Bounds: a shard's graph holds about SHARD_ROWS leaders (some 800 bytes each at 64 numbers), a task asks BLOCK_ROWS
+    queries of one graph, AT_ONCE numbers at a time. Members of two bundles are compared one by one only where the leaders' angle leaves it open.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -289,10 +310,12 @@ def near_vectors(rows: DataFrame, least: float = 0.9, label: str = "hnsw", vec_i
     n = leaders.count()
     shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK_ROWS))
     dealt = leaders.select("leader", "unit", "r", "dim", F.pmod(F.xxhash64("leader"), F.lit(shards)).cast("int").alias("shard"))
-    graphs = materialize(dealt.groupBy("dim", "shard").applyInPandas(_built, "dim int, shard int, graph binary"), f"{label}-graphs")
+    graphs = materialize(dealt.groupBy("dim", "shard").applyInArrow(_built, "dim int, shard int, graph binary"), f"{label}-graphs")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     asked = leaders.select("leader", "unit", "r", "dim", F.pmod(F.xxhash64("leader", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
-    pairs = asked.groupBy("dim", "shard", "block").cogroup(graphs.withColumn("block", every(blocks)).groupBy("dim", "shard", "block")).applyInPandas(_asked(least), "a long, b long, full boolean, width int")
+    key, parts = ["dim", "shard", "block"], min(PARTS, shards * blocks)
+    graphs = graphs.withColumn("block", every(blocks)).repartition(parts, *key)
+    pairs = asked.repartition(parts, *key).groupBy(*key).cogroup(graphs.groupBy(*key)).applyInArrow(_asked(least), "a long, b long, full boolean, width int")
     pairs = materialize(pairs.select("a", "b", "full").distinct(), f"{label}-pairs")
 
     whole = pairs.filter("full").select("a", "b")
